@@ -107,7 +107,7 @@ add("p17_bin_right_closed",
 add("p18_delay_metrics",
     lambda T: T.bus_delays.select("trip_instance_id", "from_seq", "segment_delay_seconds", "delay_per_km", "scheduled_speed_kmh",
                                   "actual_speed_kmh", "speed_reduction_pct", "delay_severity"),
-    f"""SELECT trip_instance_id, CAST(stop_sequence AS BIGINT) AS from_seq, {r('actual_seconds - scheduled_seconds', 'segment_delay_seconds')},
+    f"""SELECT trip_instance_id, CAST(stop_sequence AS BIGINT) AS from_seq, CAST(actual_seconds - scheduled_seconds AS DOUBLE) AS segment_delay_seconds,
         {r('(actual_seconds - scheduled_seconds) / (seg_length / 1000)', 'delay_per_km', 3)}, {r('scheduled_speed', 'scheduled_speed_kmh', 3)},
         {r('actual_speed', 'actual_speed_kmh', 3)}, {r('reduction', 'speed_reduction_pct', 3)}, {SEVERITY_SQL('delay_minutes')} AS delay_severity FROM x_bus_delays""",
     delay_per_km=3, scheduled_speed_kmh=3, actual_speed_kmh=3, speed_reduction_pct=3)

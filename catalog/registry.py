@@ -23,7 +23,7 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType)
 
 
 def comparable(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Whole numbers as bigint and rounded doubles, so both engines can be compared pby value."""
+    """Whole numbers as bigint and rounded doubles, so both engines can be compared by value."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -131,6 +131,7 @@ E2 = 0.0066943799901413165
 
 def dist(x1: str, y1: str, x2: str, y2: str) -> str:
     """Mid-latitude ellipsoid distance as SQL."""
+    x1, y1, x2, y2 = (f"({v})" for v in (x1, y1, x2, y2))
     w = f"(1 - {E2} * pow(sin(radians(({y1} + {y2}) / 2)), 2))"
     north = f"6335439.3272928195 / pow({w}, 1.5) * radians({y2} - {y1})"
     east = f"6378137.0 / sqrt({w}) * cos(radians(({y1} + {y2}) / 2)) * radians({x2} - {x1})"
@@ -138,6 +139,7 @@ def dist(x1: str, y1: str, x2: str, y2: str) -> str:
 
 
 def sphere(x1: str, y1: str, x2: str, y2: str) -> str:
+    x1, y1, x2, y2 = (f"({v})" for v in (x1, y1, x2, y2))
     return (f"2 * 6371008.77141506 * asin(sqrt(least(1, pow(sin(radians({y2} - {y1}) / 2), 2) + "
             f"cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2))))")
 
@@ -219,6 +221,9 @@ FROM x_lead l JOIN x_cuts c ON c.line_id = l.line_id AND c.stop1_id = l.stop1_id
 WHERE l.trip_id NOT IN (SELECT trip_id FROM x_bad)""")
 cte("x_bus_segments", "SELECT s.*, r.route_short_name FROM x_segments s JOIN x_routes r ON r.route_id = s.route_id WHERE r.route_type = '3'")
 
+cte("x_edge_metres", f"""
+SELECT line_id, edge_no, {dist('x1', 'y1', 'x1 + dx', 'y1 + dy')} AS m FROM x_edges""")
+
 # ---- live feed ----------------------------------------------------------------------------
 PERIOD = ("CASE WHEN hour_of_day BETWEEN 7 AND 9 THEN 'Morning Rush' WHEN hour_of_day BETWEEN 16 AND 18 THEN 'Evening Rush' "
           "WHEN hour_of_day BETWEEN 9 AND 16 THEN 'Midday' WHEN hour_of_day BETWEEN 18 AND 22 THEN 'Evening' ELSE 'Night' END")

@@ -323,9 +323,14 @@ def area_m2(multipolygon) -> Column:
 
 
 def centroid(multipolygon) -> Column:
-    """Planar area-weighted centroid of a multipolygon."""
+    """Planar area-weighted centroid of a multipolygon, measured from its first vertex."""
+    geom = _col(multipolygon)
+    origin = F.get(F.get(F.get(geom, F.lit(0)), F.lit(0)), F.lit(0))
+
     def moments(ring: Column, sign: Column) -> Column:
-        pairs = vertex_pairs(ring)
+        pairs = F.transform(vertex_pairs(ring), lambda v: F.struct(
+            (v["x1"] - origin["lon"]).alias("x1"), (v["y1"] - origin["lat"]).alias("y1"),
+            (v["x2"] - origin["lon"]).alias("x2"), (v["y2"] - origin["lat"]).alias("y2")))
         cross = lambda v: v["x1"] * v["y2"] - v["x2"] * v["y1"]
         area = _sum(F.transform(pairs, cross))
         turn = F.when(area < 0, -sign).otherwise(sign)
@@ -335,12 +340,12 @@ def centroid(multipolygon) -> Column:
             (turn * _sum(F.transform(pairs, lambda v: (v["y1"] + v["y2"]) * cross(v)))).alias("my"),
         )
 
-    parts = F.flatten(F.transform(_col(multipolygon), lambda part: F.transform(
+    parts = F.flatten(F.transform(geom, lambda part: F.transform(
         part, lambda ring, i: moments(ring, F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))))))
     total = lambda name: _sum(F.transform(parts, lambda m: m[name]))
     return F.struct(
-        F.try_divide(total("mx"), 3 * total("a")).alias("lon"),
-        F.try_divide(total("my"), 3 * total("a")).alias("lat"),
+        (origin["lon"] + F.try_divide(total("mx"), 3 * total("a"))).alias("lon"),
+        (origin["lat"] + F.try_divide(total("my"), 3 * total("a"))).alias("lat"),
     )
 
 

@@ -286,8 +286,9 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def quantile_trim(df: DataFrame, cols: list[str], share: float = 0.95) -> DataFrame:
     """Rows strictly below a percentile of every listed column."""
-    for limit_col, limit in [(c, percentile_value(df, c, share)) for c in cols]:
-        df = df.where(F.col(limit_col) < limit)
+    limits = [F.col(c) < percentile_value(df, c, share) for c in cols]
+    for below in limits:
+        df = df.where(below)
     return df
 
 
