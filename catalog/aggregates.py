@@ -93,7 +93,7 @@ add("a03_shared_segments",
 add("a03_shared_segments_two_routes",
     lambda T: y.shared_segments(T.segments, T.routes).select("segment_id", "num_routes_sharing"),
     "SELECT segment_id, num_routes AS num_routes_sharing FROM x_density WHERE num_routes >= 2")
-add("a04_speed_segments", lambda T: T.speed_layer.select("segment_id", "route_id", "route_short_name", "speed_kmh"),
+add("a04_speed_segments", lambda T: y.speed_segments(T.segments, T.routes).select("segment_id", "route_id", "route_short_name", "speed_kmh"),
     f"SELECT segment_id, route_id, route_short_name, {r('speed', 'speed_kmh', 4)} FROM x_speed_layer", speed_kmh=4)
 add("a05_route_speed_stats",
     lambda T: y.route_speed_stats(T.speed_layer, T.routes),
@@ -144,7 +144,7 @@ add("a14_scheduled_headway", lambda T: t.scheduled_headway(T.transit_stops, T.ro
 HVS = (f"route_id, route_short_name, stop_id, stop_name, {r('stop_lat', 'stop_lat')}, {r('stop_lon', 'stop_lon')}, observations, {r('actual', 'avg_actual_headway_min')}, "
        f"{r('median_actual', 'median_actual_headway_min')}, {r('std_actual', 'std_actual_headway_min')}, {r('sched', 'scheduled_headway_minutes')}, "
        f"{r('delta', 'headway_delta_min')}, {r('bunching', 'bunching_rate_pct')}, {r('gaps', 'gap_rate_pct')}")
-add("a15_headway_vs_schedule", lambda T: T.hvs, f"SELECT {HVS} FROM x_hvs")
+add("a15_headway_vs_schedule", lambda T: y.headway_vs_schedule(T.headways, T.scheduled_headways), f"SELECT {HVS} FROM x_hvs")
 add("a16_trip_instances",
     lambda T: m.trip_instances(T.positions.withColumn("trip_instance_id", F.when(F.col("tie1") % 3 != 0, F.col("trip_instance_id"))))
     .select("trip_instance_id", "trip_id", "route_id", "vehicle_id", "first_observed"),

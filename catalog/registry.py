@@ -70,7 +70,7 @@ def add(name: str, build: Callable[[Transit], DataFrame], sql: str | None = None
     run.__name__ = name
     QUERIES[name] = run
     if sql is not None:
-        ORACLE[name] = with_ctes(sql)
+        ORACLE[name] = sql
 
 
 # ---- stand-in tables ----------------------------------------------------------------------

@@ -341,9 +341,9 @@ STATS = (f"CAST(poi_id AS BIGINT) AS poi_id, name AS poi_name, team, areas AS nu
          f"{r('max_d', 'max_density_connected', 3)}, segs AS total_connecting_segments, {r('km', 'total_route_length_km', 3)}, {r('avg_m', 'avg_distance_to_dense_areas_m', 3)}, "
          f"{r('min_m', 'nearest_dense_area_distance_m', 3)}, {r('people_once', 'population_distinct')}")
 SD = {"avg_density_connected": 3, "max_density_connected": 3, "total_route_length_km": 3, "avg_distance_to_dense_areas_m": 3, "nearest_dense_area_distance_m": 3}
-add("a23_poi_connectivity_stats", lambda T: sp.poi_connectivity_stats(_links(T)), f"SELECT {STATS} FROM x_stats", **SD)
+add("a23_poi_connectivity_stats", lambda T: sp.poi_connectivity_stats(T.connectivity), f"SELECT {STATS} FROM x_stats", **SD)
 SCORE = r("CASE WHEN people > 0 THEN segs / (people / 1e6) ELSE 0 END", "connectivity_score_segments_per_million", 4)
-add("a24_connectivity_score", lambda T: sp.connectivity_score(sp.poi_connectivity_stats(_links(T))).select("poi_id", "connectivity_score_segments_per_million"),
+add("a24_connectivity_score", lambda T: sp.connectivity_score(sp.poi_connectivity_stats(T.connectivity)).select("poi_id", "connectivity_score_segments_per_million"),
     f"SELECT CAST(poi_id AS BIGINT) AS poi_id, {SCORE} FROM x_stats", connectivity_score_segments_per_million=4)
 cte("x_coverage", """
 SELECT a.id, a.population_density, a.pop, a.a, count(DISTINCT i.segment_id) AS segs, coalesce(sum(i.m) / 1000, 0) AS km, coalesce(sum(i.m) / 1000, 0) / nullif(a.a, 0) AS density
@@ -357,16 +357,16 @@ def _coverage(T):
 add("a25_population_coverage", lambda T: _coverage(T),
     f"""SELECT CAST(id AS BIGINT) AS id, {r('population_density', 'population_density', 4)}, {r('a', 'area_km2', 4)}, segs AS num_segments, {r('km', 'route_length_km', 4)},
         {r('density', 'route_density_km_per_km2', 5)} FROM x_coverage""", population_density=4, area_km2=4, route_length_km=4, route_density_km_per_km2=5)
-add("a37_density_category_stats", lambda T: sp.density_category_stats(_coverage(T)).select("density_category", "mean_route_density", "mean_segments", "mean_population_density"),
+add("a37_density_category_stats", lambda T: sp.density_category_stats(T.coverage).select("density_category", "mean_route_density", "mean_segments", "mean_population_density"),
     f"""SELECT c.density_category, {r('avg(density)', 'mean_route_density', 4)}, {r('avg(segs)', 'mean_segments', 4)}, {r('avg(population_density)', 'mean_population_density', 3)}
         FROM (VALUES ('Low (<1k)'), ('Medium (1k-5k)'), ('High (5k-10k)'), ('Very High (>10k)')) c(density_category)
         LEFT JOIN x_coverage ON {DENSITY_SQL('population_density')} = c.density_category GROUP BY 1""", mean_route_density=4, mean_segments=4, mean_population_density=3)
-add("a38_correlation", lambda T: sp.correlation(_coverage(T), "population_density", "route_density_km_per_km2"),
+add("a38_correlation", lambda T: sp.correlation(T.coverage, "population_density", "route_density_km_per_km2"),
     f"SELECT {r('corr(population_density, density)', 'correlation')} FROM x_coverage")
-add("a38_correlation_connected", lambda T: sp.correlation(sp.poi_connectivity_stats(_links(T)), "total_population_connected", "total_connecting_segments"),
+add("a38_correlation_connected", lambda T: sp.correlation(sp.poi_connectivity_stats(T.connectivity), "total_population_connected", "total_connecting_segments"),
     f"SELECT {r('corr(people, segs)', 'correlation')} FROM x_stats")
-add("a39_quantile_trim", lambda T: sp.quantile_trim(_coverage(T), ["population_density", "route_density_km_per_km2"]).select("id"),
+add("a39_quantile_trim", lambda T: sp.quantile_trim(T.coverage, ["population_density", "route_density_km_per_km2"]).select("id"),
     """SELECT CAST(id AS BIGINT) AS id FROM x_coverage WHERE population_density < (SELECT quantile_cont(population_density, 0.95) FROM x_coverage)
        AND density < (SELECT quantile_cont(density, 0.95) FROM x_coverage)""")
-add("a43_transit_coverage_flags", lambda T: sp.coverage_flags(_coverage(T)),
+add("a43_transit_coverage_flags", lambda T: sp.coverage_flags(T.coverage),
     "SELECT count(*) AS areas, count(*) FILTER (segs > 0) AS with_transit, count(*) FILTER (segs = 0) AS without_transit FROM x_coverage")

@@ -13,6 +13,7 @@ from transitloom.functions import geometry as g
 from transitloom.operators import layers as y
 from transitloom.operators import lines as l
 from transitloom.operators import realtime as r
+from transitloom.operators import spatial as sp
 from transitloom.operators import timetable as t
 from transitloom.plans import timetable as pt
 from transitloom.session import configure, scratch_path, store_and_reload
@@ -351,11 +352,22 @@ class Transit:
     def scheduled_headways(self) -> DataFrame:
         return t.scheduled_headway(self.transit_stops, self.routes)
 
-    @cached_property
+    @stored_view
     def hvs(self) -> DataFrame:
         return y.headway_vs_schedule(self.headways, self.scheduled_headways)
 
-    @cached_property
+    @stored_view
+    def coverage(self) -> DataFrame:
+        return sp.population_coverage(self.segments, self.routes, self.areas)
+
+    @stored_view
+    def connectivity(self) -> DataFrame:
+        dense = sp.high_density_areas(self.areas)
+        near = sp.routes_near_pois(self.pois, self.stops, self.stop_times, self.trips, self.routes)
+        through = sp.routes_through_areas(self.segments, self.routes, dense)
+        return sp.poi_area_connectivity(near, through, dense, self.segments)
+
+    @stored_view
     def speed_layer(self) -> DataFrame:
         return y.speed_segments(self.segments, self.routes)
 

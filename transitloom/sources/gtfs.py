@@ -69,15 +69,18 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
+_AS_IS = {"header": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_gtfs(tables: dict[str, DataFrame], path: str, backup_of: str | None = None) -> None:
     """Write every table as CSV below a new folder; missing values stay empty. Sources can be copied first."""
     base = path.rstrip("/")
     if backup_of is not None:
         spark = next(iter(tables.values())).sparkSession
         for name, df in read_gtfs(spark, backup_of)[0].items():
-            df.write.mode("errorifexists").csv(f"{base}_backup/{name}.txt", header=True, emptyValue="")
+            df.write.mode("errorifexists").csv(f"{base}_backup/{name}.txt", **_AS_IS)
     for name, df in tables.items():
-        df.write.mode("errorifexists").csv(f"{base}/{name}.txt", header=True, emptyValue="")
+        df.write.mode("errorifexists").csv(f"{base}/{name}.txt", **_AS_IS)
 
 
 # ---- typed tables -------------------------------------------------------------------------

@@ -92,16 +92,17 @@ def rebuild_window(positions: DataFrame, trips: DataFrame, shape_tracks: DataFra
 def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shape_tracks: DataFrame, path: str,
                   checkpoint: str, hours: float = 3, **trigger_args):
     """After every micro-batch: append it, then rebuild the window that ends at its newest time."""
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = batch.agg(F.max("entity_timestamp")).first()[0]
-        if newest is None:
-            return
-        tables.append_sink(batch, positions_path)
+        # the batch number is part of the path, so a repeated batch overwrites itself
+        dated = batch.withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp"))
+        dated.write.mode("overwrite").partitionBy(tables.DATE_COLUMN).parquet(f"{positions_path}/batch={batch_id:08d}")
         landed = spark.read.parquet(positions_path)
-        begin = newest - timedelta(hours=hours)
-        landed = landed.where(F.col(tables.DATE_COLUMN) >= F.lit(begin.date()))
-        rebuild_window(landed, trips, shape_tracks, path, newest, hours)
+        newest = landed.where(F.col("batch") == batch_id).agg(F.max("entity_timestamp")).first()[0]
+        if newest is not None:
+            begin = newest - timedelta(hours=hours)
+            window = landed.where(F.col(tables.DATE_COLUMN) >= F.lit(begin.date())).drop("batch", tables.DATE_COLUMN)
+            rebuild_window(window, trips, shape_tracks, path, newest, hours)
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
