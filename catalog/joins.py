@@ -87,19 +87,13 @@ add("j16_drop_trips_with_bad_segment",
     """SELECT trip_id, CAST(stop1_sequence AS BIGINT) AS stop1_sequence FROM x_segments
        WHERE trip_id NOT IN (SELECT trip_id FROM x_segments WHERE seg_length <= 30000)""")
 add("j17_trip_to_line_cascade", lambda T: _cascade(T),
-    """SELECT CAST(tie1 AS BIGINT) AS tie1, t.shape_id IS NOT NULL AS on_shape, t.shape_id IS NULL AND b.trip_id IS NOT NULL AS on_schedule
+    """SELECT p.tie1, t.shape_id IS NOT NULL AS on_shape, t.shape_id IS NULL AND b.trip_id IS NOT NULL AS on_schedule
        FROM x_positions p LEFT JOIN x_trips t ON t.trip_id = p.trip_id
-       LEFT JOIN (SELECT DISTINCT trip_id FROM x_transit_stops WHERE shape_id IS NULL) b ON b.trip_id = p.trip_id""")
+       LEFT JOIN (SELECT trip_id, date FROM x_scheduled GROUP BY 1, 2 HAVING count(*) > 1) b ON b.trip_id = p.trip_id AND b.date = CAST(p.entity_timestamp AS DATE)""")
 
 
 def _cascade(T):
-    """Trips without a shape fall back to the line through their own stops, standing for the scheduled path."""
-    from transitloom.operators import lines as l
-
-    bare = T.trips.where(F.col("shape_id").isNull()).select("trip_id").join(T.stop_times.select("trip_id").distinct(), "trip_id", "left_semi")
-    track = l.tracks(t.shape_edges(T.shapes), "line_id").limit(1).select(F.col("track").alias("scheduled_track")).scalar()
-    seen = T.positions.select("trip_id", F.to_date("entity_timestamp").alias("date")).distinct()
-    scheduled = seen.join(bare, "trip_id", "left_semi").withColumn("scheduled_track", track)
+    scheduled = pt.scheduled_tracks(pt.scheduled_trajectories(T.points, T.service_days))
     rows = T.positions.withColumn("service_date", s.service_date("start_date", "entity_timestamp"))
     out = m.trip_to_line(rows, T.trips, T.shape_tracks, scheduled)
     return out.select("tie1", F.col("shape_track").isNotNull().alias("on_shape"),

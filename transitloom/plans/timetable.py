@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from transitloom.functions import geometry as g
 from transitloom.functions import scalars as s
 from transitloom.operators import timetable as t
+from transitloom.operators.lines import edge_table, tracks
 from transitloom.operators.moving import moving_point, path_of, start_time
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -47,11 +48,13 @@ def route_segments(trips: DataFrame, stop_times: DataFrame, stops: DataFrame, sh
                    stage: Stage = _as_is) -> DataFrame:
     """Stop-to-stop segments with geometry, length and scheduled times.
 
-    Geometry is cut once per distinct (line, stop pair) and joined back. The segment rows feed three
-    branches; pass ``stage=store_and_reload``-style writing to compute them once on a large feed.
+    Geometry is cut once per distinct (line, stop pair) and joined back. Segment rows and edges feed
+    several branches: on a large feed pass a ``stage`` that writes them to the shared folder and
+    reads them back, so that each is computed once.
     """
     segments = stage(t.with_pattern(t.segments_lead(t.transit_stops(trips, stop_times))))
-    patterns = stage(t.pattern_geometry(segments, t.trip_edges(trips, stop_times, stops, shapes), stops))
+    edges = stage(t.trip_edges(trips, stop_times, stops, shapes))
+    patterns = stage(t.pattern_geometry(segments, edges, stops))
     broken = segments.join(patterns.select(*t.PATTERN), t.PATTERN, "left_anti").select("trip_id").distinct()
     return (
         segments.join(broken, "trip_id", "left_anti")
@@ -108,3 +111,11 @@ def scheduled_trajectories(points: DataFrame, dates: DataFrame, on_dates: list |
     first = t.distinct_on(timed, keys, ["point_sequence", "stop1_sequence"])
     trips = moving_point(first, ["trip_id", "route_id", "date"])
     return trips.withColumns({"path": path_of("trip"), "starttime": start_time("trip")})
+
+
+def scheduled_tracks(scheduled: DataFrame) -> DataFrame:
+    """Scheduled paths packed for snapping, one per (trip, date)."""
+    points = scheduled.select(F.struct("trip_id", "date").alias("run"), F.posexplode("path").alias("i", "p")).select(
+        "run", "i", "p.lon", "p.lat")
+    return tracks(edge_table(points, "run", "i"), "run").select(
+        "run.trip_id", "run.date", F.col("track").alias("scheduled_track"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transitloom.operators.ordering import order_nulls
-from transitloom.session import scratch_path
+from transitloom.session import scratch_path, store_and_reload
 
 DATE_COLUMN = "entity_date"
 
@@ -84,7 +85,8 @@ def truncate(df: DataFrame, confirm: bool = False) -> DataFrame:
 
 # ---- versioned snapshots of a keyed table -------------------------------------------------
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """Complete versions of a table; one without its success marker is still being written or broken."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/touched")
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(base):
         return []
@@ -96,20 +98,56 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(done)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """Latest complete version of a keyed table; a version without its success marker is ignored."""
+def read_snapshot(spark: SparkSession, path: str, part: str = "service_date") -> DataFrame | None:
+    """Current state of a keyed table: for each partition value, the newest version that wrote it.
+
+    Version and partition are folder names, so superseded files are pruned, not read.
+    """
     done = _versions(spark, path)
-    return spark.read.parquet(f"{path}/version={done[-1]:08d}") if done else None
+    if not done:
+        return None
+    # one row per (version, partition it replaced): as small as the list of folders
+    touched = spark.read.parquet(f"{path}/touched").where(F.col("version").isin(done))
+    newest = touched.groupBy(part).agg(F.max("version").alias("version"))
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("version").isin(done))
+    return rows.join(newest, [part, "version"], "left_semi").drop("version")
+
 
+def write_snapshot(df: DataFrame, path: str, touched: DataFrame | None = None, part: str = "service_date") -> int:
+    """Write the next version: the new rows of every touched partition, then the list of those partitions.
 
-def write_snapshot(df: DataFrame, path: str) -> int:
-    """Write the next version next to the one being read, so a reader never sees half a table."""
-    done = _versions(df.sparkSession, path)
+    The list is written last and makes the version visible, so a reader never sees half a change.
+    """
+    spark = df.sparkSession
+    done = _versions(spark, path)
     number = (done[-1] if done else 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/version={number:08d}")
+    rows = f"{path}/rows/version={number:08d}"
+    df.hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(rows)
+    if touched is None:
+        touched = spark.read.parquet(rows).select(part)
+    touched.select(F.col(part).cast("date").alias(part)).distinct().write.mode("overwrite").parquet(
+        f"{path}/touched/version={number:08d}")
     return number
 
 
+def merge_snapshot(fresh: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
+                   part: str = "service_date") -> int:
+    """Merge new rows into a keyed table, rewriting only the partitions that change.
+
+    Those are the partitions of the new rows and of the old rows they replace; finding the latter
+    reads the key columns only.
+    """
+    spark = fresh.sparkSession
+    fresh = store_and_reload(fresh, "merge")
+    current = read_snapshot(spark, path, part)
+    if current is None:
+        return write_snapshot(merge(fresh.limit(0), fresh), path, part=part)
+    replaced = current.join(fresh.select(*keys).distinct(), keys, "left_semi").select(part)
+    touched = store_and_reload(fresh.select(part).union(replaced).distinct(), "touched")
+    affected = current.join(touched, part, "left_semi").select(*current.columns)
+    return write_snapshot(merge(affected, fresh), path, touched, part)
+
+
 def export_summary(summaries: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
     """Write summaries as CSV folders, each in its order."""
     for name, (df, keys) in summaries.items():

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transitloom.functions import scalars as s
 from transitloom.operators import moving as m
 from transitloom.operators import realtime as r
 from transitloom.sources import feed, tables
@@ -50,21 +51,21 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, ts: str = "entit
 def start_latest_updates(stream: DataFrame, path: str, checkpoint: str, **trigger_args):
     """Keep the latest fetch per (trip instance, stop sequence) as a versioned table.
 
-    Each batch is merged with the last version; a repeated batch changes nothing because the newest
-    row wins either way. The table holds one row per key, not the history.
+    Each batch is merged into the service dates it touches; a repeated batch changes nothing because
+    the newest row wins either way. The table holds one row per key, not the history.
     """
     keys = ["trip_instance_id", "stop_sequence"]
 
+    def newest(old: DataFrame, new: DataFrame) -> DataFrame:
+        rest = [c for c in new.columns if c not in keys and c != "fetch_timestamp"]
+        last = F.max(F.struct("fetch_timestamp", *rest)).alias("__r")
+        return old.unionByName(new).groupBy(*keys).agg(last).select(
+            *keys, "__r.fetch_timestamp", *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*new.columns)
+
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         rows = batch.where(F.col("arrival_time").isNotNull())
-        current = tables.read_snapshot(spark, path)
-        both = rows if current is None else current.unionByName(rows)
-        rest = [c for c in rows.columns if c not in keys and c != "fetch_timestamp"]
-        newest = F.max(F.struct("fetch_timestamp", *rest)).alias("__r")
-        merged = both.groupBy(*keys).agg(newest).select(
-            *keys, "__r.fetch_timestamp", *[F.col(f"__r.{c}").alias(c) for c in rest])
-        tables.write_snapshot(merged.select(*rows.columns), path)
+        rows = rows.withColumn("service_date", s.service_date("start_date", "entity_timestamp"))
+        tables.merge_snapshot(rows, path, keys, newest)
 
     return (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -82,11 +83,9 @@ def rebuild_window(positions: DataFrame, trips: DataFrame, shape_tracks: DataFra
                    end: datetime, hours: float = 3, start: datetime | None = None, **options) -> int:
     """Rebuild trajectories of the last hours from the landed table and upsert them as a new version."""
     begin = start or end - timedelta(hours=hours)
-    spark = positions.sparkSession
     fresh = m.actual_trajectories(positions, trips, shape_tracks, begin, end, **options)
-    current = tables.read_snapshot(spark, path)
-    merged = fresh if current is None else m.upsert_trips(current, fresh, truncate=False)
-    return tables.write_snapshot(merged, path)
+    return tables.merge_snapshot(
+        fresh, path, ["trip_instance_id"], lambda old, new: m.upsert_trips(old, new, truncate=False))
 
 
 def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shape_tracks: DataFrame, path: str,
