@@ -14,6 +14,11 @@ WEEKDAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "s
 # -------------------------------------------------------------------------------------------
 
 
+def semi(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """Rows whose key occurs in another table, columns in their own order."""
+    return df.join(ids.select(col).distinct(), col, "left_semi").select(*df.columns)
+
+
 def filter_bbox(stops: DataFrame, box: dict[str, float] = REGION_BOX) -> DataFrame:
     """Stops in a closed lon/lat box."""
     return stops.where(
@@ -24,7 +29,7 @@ def filter_bbox(stops: DataFrame, box: dict[str, float] = REGION_BOX) -> DataFra
 
 def bus_only(df: DataFrame, routes: DataFrame) -> DataFrame:
     """Rows whose route exists and is a bus route."""
-    return df.join(routes.where(F.col("route_type") == s.BUS).select("route_id"), "route_id", "left_semi")
+    return semi(df, routes.where(F.col("route_type") == s.BUS), "route_id")
 
 
 def resolve_route_ids(routes: DataFrame, ids=(), short_names=()) -> tuple[bool, DataFrame]:
@@ -39,12 +44,11 @@ def resolve_route_ids(routes: DataFrame, ids=(), short_names=()) -> tuple[bool,
 def route_filter(df: DataFrame, routes: DataFrame, ids=(), short_names=()) -> DataFrame:
     """Keep rows of the chosen routes; names that resolve to nothing let nothing pass."""
     on, wanted = resolve_route_ids(routes, ids, short_names)
-    return df.join(wanted, "route_id", "left_semi") if on else df
+    return semi(df, wanted, "route_id") if on else df
 
 
 def keep_referenced(tables: dict[str, DataFrame], stop_ids: DataFrame) -> dict[str, DataFrame]:
     """Cascade of semi-joins from the kept stops to every table that refers to them."""
-    semi = lambda df, ids, col: df.join(ids.select(col).distinct(), col, "left_semi")
     out = dict(tables)
     out["stops"] = semi(tables["stops"], stop_ids, "stop_id")
     out["stop_times"] = semi(tables["stop_times"], stop_ids, "stop_id")
@@ -66,7 +70,7 @@ def keep_referenced(tables: dict[str, DataFrame], stop_ids: DataFrame) -> dict[s
 
 def valid_trips(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
     """Stop times whose trip exists."""
-    return stop_times.join(trips.select("trip_id"), "trip_id", "left_semi")
+    return semi(stop_times, trips, "trip_id")
 
 
 def shape_coverage(trips: DataFrame) -> DataFrame:
@@ -183,7 +187,7 @@ def pattern_geometry(segments: DataFrame, edges: DataFrame, stops: DataFrame) ->
 def drop_trips_with_bad_segment(segments: DataFrame) -> DataFrame:
     """Remove every segment of a trip that has one without geometry."""
     bad = segments.where(F.col("seg_geom").isNull()).select("trip_id").distinct()
-    return segments.join(bad, "trip_id", "left_anti")
+    return segments.join(bad, "trip_id", "left_anti").select(*segments.columns)
 
 
 def expand_calendar(calendar: DataFrame) -> DataFrame:
@@ -212,7 +216,7 @@ def except_removed_days(days: DataFrame, removed: DataFrame, scope: str = "globa
     """
     keys = {"global": ["date"], "service": ["service_id", "date"]}[scope]
     gone = removed.where(F.col("date").isNotNull()).select(*keys).distinct()
-    return days.join(gone, keys, "left_anti")
+    return days.join(gone, keys, "left_anti").select(*days.columns)
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
