@@ -362,9 +362,9 @@ add("a37_density_category_stats", lambda T: sp.density_category_stats(T.coverage
         FROM (VALUES ('Low (<1k)'), ('Medium (1k-5k)'), ('High (5k-10k)'), ('Very High (>10k)')) c(density_category)
         LEFT JOIN x_coverage ON {DENSITY_SQL('population_density')} = c.density_category GROUP BY 1""", mean_route_density=4, mean_segments=4, mean_population_density=3)
 add("a38_correlation", lambda T: sp.correlation(T.coverage, "population_density", "route_density_km_per_km2"),
-    f"SELECT {r('corr(population_density, density)', 'correlation')} FROM x_coverage")
+    f"SELECT {r('covar_pop(population_density, density) / nullif(stddev_pop(population_density) * stddev_pop(density), 0)', 'correlation')} FROM x_coverage")
 add("a38_correlation_connected", lambda T: sp.correlation(sp.poi_connectivity_stats(T.connectivity), "total_population_connected", "total_connecting_segments"),
-    f"SELECT {r('corr(people, segs)', 'correlation')} FROM x_stats")
+    f"SELECT {r('covar_pop(people, segs) / nullif(stddev_pop(people) * stddev_pop(segs), 0)', 'correlation')} FROM x_stats")
 add("a39_quantile_trim", lambda T: sp.quantile_trim(T.coverage, ["population_density", "route_density_km_per_km2"]).select("id"),
     """SELECT CAST(id AS BIGINT) AS id FROM x_coverage WHERE population_density < (SELECT quantile_cont(population_density, 0.95) FROM x_coverage)
        AND density < (SELECT quantile_cont(density, 0.95) FROM x_coverage)""")

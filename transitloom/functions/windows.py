@@ -16,7 +16,8 @@ def sliced_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     windowed per (key, slice). Only the first row of a slice needs the slice before: its value
     comes from a table with one closing row per (key, slice).
     """
-    cols = list(dict.fromkeys([*order, *carry]))
+    # every column takes part, so that both branches need the same input and share its shuffle
+    cols = list(dict.fromkeys([*order, *carry, *[c for c in df.columns if c not in keys]]))
     rows = df.withColumn("__slice", slice_by)
     here = Window.partitionBy(*keys, "__slice").orderBy(*order)
     closing = (

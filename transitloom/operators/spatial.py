@@ -281,7 +281,10 @@ def density_category_stats(coverage: DataFrame) -> DataFrame:
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(F.corr(x, y).alias("correlation"))
+    """Pearson correlation; NULL when either side does not vary."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return both.agg(F.try_divide(F.covar_pop(x, y), spread).alias("correlation"))
 
 
 def quantile_trim(df: DataFrame, cols: list[str], share: float = 0.95) -> DataFrame:
