@@ -1,5 +1,6 @@
 """Live-feed operators on hand-made rows, hot keys against brute force, streams against batch."""
 
+import os
 import random
 from collections import defaultdict
 from datetime import date, datetime, timedelta, timezone
@@ -265,6 +266,9 @@ def test_streams_equal_batch_with_repeats_and_late_files(spark, tmp_path):
     for n, (fetched, seqs) in enumerate(polls):
         entities = [prediction("t", q, fetched + 100 * q, 10 * n + q) for q in seqs] + [vehicle("t", base + 10 * q) for q in seqs]
         (folder / f"{n}.json").write_text(document(fetched, *entities, header=fetched))
+    # files are picked up by age: the longest trip is seen before the last, late file
+    for age, n in enumerate((1, 2, 0)):
+        os.utime(folder / f"{n}.json", (base + age, base + age))
     batch = spark.read.schema(feed.SNAPSHOT_SCHEMA).json(str(folder))
     shared = lambda name: scratch_path(spark, name)
 

@@ -90,14 +90,16 @@ def rebuild_window(positions: DataFrame, trips: DataFrame, shape_tracks: DataFra
 
 def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shape_tracks: DataFrame, path: str,
                   checkpoint: str, hours: float = 3, **trigger_args):
-    """After every micro-batch: append it, then rebuild the window that ends at its newest time."""
+    """After every micro-batch: append it, then rebuild the window that ends at the newest landed time."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the batch number is part of the path, so a repeated batch overwrites itself
         dated = batch.withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp"))
         dated.write.mode("overwrite").partitionBy(tables.DATE_COLUMN).parquet(f"{positions_path}/batch={batch_id:08d}")
         landed = spark.read.parquet(positions_path)
-        newest = landed.where(F.col("batch") == batch_id).agg(F.max("entity_timestamp")).first()[0]
+        # the window ends at the newest landed time, so a late file never cuts a longer trip short
+        last_day = landed.agg(F.max(tables.DATE_COLUMN)).first()[0]
+        newest = landed.where(F.col(tables.DATE_COLUMN) == last_day).agg(F.max("entity_timestamp")).first()[0]
         if newest is not None:
             begin = newest - timedelta(hours=hours)
             window = landed.where(F.col(tables.DATE_COLUMN) >= F.lit(begin.date())).drop("batch", tables.DATE_COLUMN)
