@@ -84,14 +84,25 @@ def _count(pattern: str) -> Column:
     return F.regexp_count(blank(F.col("text")), F.lit(pattern))
 
 
-NO_LETTER = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
+def _marks(mark: str) -> Column:
+    return F.length(blank(F.col("text"))) - F.length(F.replace(blank(F.col("text")), F.lit(mark), F.lit("")))
+
+
+def _guarded_ellipses() -> Column:
+    """Lines that end in an ellipsis; a search for bytes passes over texts without any."""
+    text = blank(F.col("text"))
+    return F.when(text.contains("...") | text.contains("…"), _count(r"(?:\.\.\.|…)[\x20\t\r]*(?:\n|$)")).otherwise(0)
+
+
+# A word without a letter, with the white space before it.
+NO_LETTER = r"(?:^|[\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 RULES = [
     Rule("alphabetic", lambda: _share(_count(NO_LETTER), 40, "n_words"), True),
     Rule("bullets", lambda: _share(_count(r"(?m)^[\x20\t]*[-*•]\x20"), 90, "n_lines"), True),
     Rule("capitals", lambda: _share(F.length(F.regexp_replace(blank(F.col("text")), r"\P{Lu}+", "")), 50, "word_chars"), True),
     Rule("duplicate_lines", lambda: _share(F.col("n_dup_lines"), 40, "n_lines"), False),
-    Rule("ellipses", lambda: _share(_count(r"(?:\.\.\.|…)[\x20\t\r]*(?:\n|$)"), 30, "n_lines"), True),
-    Rule("exclamations", lambda: _share(_count("!"), 50, "n_words"), True),
+    Rule("ellipses", lambda: _share(_guarded_ellipses(), 30, "n_lines"), True),
+    Rule("exclamations", lambda: _share(_marks("!"), 50, "n_words"), True),
     Rule("symbols", lambda: _share(F.col("n_symbols"), 10, "n_words"), False),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")), False),
 ]
