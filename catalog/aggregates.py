@@ -298,8 +298,8 @@ add("a46_trips_per_route_distribution", lambda T: histogram(pl.route_layer(T.rou
 
 # ---- order and top-n ----------------------------------------------------------------------
 add("o01_order_nulls",
-    lambda T: o.order_nulls(T.updates.groupBy("arrival_delay_seconds").agg(F.count("*").alias("n")), "-arrival_delay_seconds").limit(5),
-    "SELECT delay AS arrival_delay_seconds, count(*) AS n FROM x_updates GROUP BY 1 ORDER BY delay DESC NULLS FIRST LIMIT 5")
+    lambda T: o.order_nulls(T.updates.groupBy("arrival_delay_seconds").agg(F.count("*").alias("n")), "-arrival_delay_seconds"),
+    "SELECT delay AS arrival_delay_seconds, count(*) AS n FROM x_updates GROUP BY 1")
 add("o02_top_n", lambda T: o.top_n(T.hvs.select("route_id", "stop_id", "observations", "headway_delta_min"), 15, "-headway_delta_min!", "-observations", "route_id", "stop_id"),
     f"""SELECT route_id, stop_id, observations, {r('delta', 'headway_delta_min')} FROM x_hvs ORDER BY delta DESC NULLS LAST, observations DESC, route_id, stop_id LIMIT 15""")
 add("o02_top_duplicated_segments", lambda T: o.top_n(y.shared_segments(T.segments, T.routes, 1).select("segment_id", "num_routes_sharing"), 50, "-num_routes_sharing", "segment_id"),

@@ -229,12 +229,12 @@ add("st04_latest_update_state", _latest,
 
 def _unrepeated(T):
     folder, out = T.landed(T.position_snapshots, "repeats"), scratch_path(T.spark, "repeats-table")
-    stream = feeds.drop_repeats(feeds.stream_positions(T.spark, folder), "60 days")
-    _run(feeds.start_append(stream, out, scratch_path(T.spark, "repeats-checkpoint")))
-    return T.spark.read.parquet(out).select("trip_instance_id", "entity_timestamp")
+    _run(feeds.start_first_sightings(feeds.stream_positions(T.spark, folder), out, scratch_path(T.spark, "repeats-checkpoint")))
+    return tables.read_snapshot(T.spark, out, tables.DATE_COLUMN).select("trip_instance_id", "entity_timestamp", "fetch_timestamp")
 
 
-add("st05_drop_repeats", _unrepeated, f"SELECT DISTINCT trip_instance_id, entity_timestamp FROM ({_LANDED})")
+add("st05_drop_repeats", _unrepeated, f"""SELECT trip_instance_id, entity_timestamp, min(fetch_timestamp) AS fetch_timestamp FROM ({_LANDED})
+    GROUP BY trip_instance_id, entity_timestamp""")
 
 
 def _rebuilt(T):

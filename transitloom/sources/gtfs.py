@@ -37,8 +37,11 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return [] if first is None else [(v or "").lstrip("﻿").strip() for v in first]
 
 
-def read_gtfs(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
-    """All timetable files under a folder as text columns, and the names of those missing."""
+def read_gtfs(spark: SparkSession, path: str, line_breaks: bool = False) -> tuple[dict[str, DataFrame], list[str]]:
+    """All timetable files under a folder as text columns, and the names of those missing.
+
+    A quote within quotes is doubled. `line_breaks` allows quoted line ends, at the cost that a file is read by one task.
+    """
     tables, missing = {}, []
     for name in KEEP:
         file = f"{path.rstrip('/')}/{name}.txt"
@@ -46,7 +49,8 @@ def read_gtfs(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], lis
             missing.append(name)
             continue
         schema = T.StructType([T.StructField(c, T.StringType()) for c in _header(spark, file)])
-        tables[name] = spark.read.schema(schema).option("nullValue", MISSING_TEXT).csv(file, header=True, enforceSchema=True)
+        tables[name] = spark.read.schema(schema).option("nullValue", MISSING_TEXT).option("escape", '"').option(
+            "multiLine", line_breaks).csv(file, header=True, enforceSchema=True)
     return tables, missing
 
 
@@ -69,7 +73,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
-_AS_IS = {"header": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_AS_IS = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_gtfs(tables: dict[str, DataFrame], path: str, backup_of: str | None = None) -> None:

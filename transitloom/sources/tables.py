@@ -110,7 +110,9 @@ def read_snapshot(spark: SparkSession, path: str, part: str = "service_date") ->
     touched = spark.read.parquet(f"{path}/touched").where(F.col("version").isin(done))
     newest = touched.groupBy(part).agg(F.max("version").alias("version"))
     rows = spark.read.parquet(f"{path}/rows").where(F.col("version").isin(done))
-    return rows.join(newest, [part, "version"], "left_semi").drop("version")
+    newest = newest.select(F.col(part).alias("__part"), F.col("version").alias("__version"))
+    same = F.col(part).eqNullSafe(F.col("__part")) & (F.col("version") == F.col("__version"))
+    return rows.join(newest, same, "left_semi").drop("version")
 
 
 def write_snapshot(df: DataFrame, path: str, touched: DataFrame | None = None, part: str = "service_date") -> int:
@@ -139,12 +141,15 @@ def merge_snapshot(fresh: DataFrame, path: str, keys: list[str], merge: Callable
     """
     spark = fresh.sparkSession
     fresh = store_and_reload(fresh, "merge")
+    if fresh.isEmpty():
+        return max(_versions(spark, path), default=0)
     current = read_snapshot(spark, path, part)
     if current is None:
         return write_snapshot(merge(fresh.limit(0), fresh), path, part=part)
     replaced = current.join(fresh.select(*keys).distinct(), keys, "left_semi").select(part)
     touched = store_and_reload(fresh.select(part).union(replaced).distinct(), "touched")
-    affected = current.join(touched, part, "left_semi").select(*current.columns)
+    named = touched.select(F.col(part).alias("__part"))
+    affected = current.join(named, F.col(part).eqNullSafe(F.col("__part")), "left_semi").select(*current.columns)
     return write_snapshot(merge(affected, fresh), path, touched, part)
 
 

@@ -74,11 +74,35 @@ def start_latest_updates(stream: DataFrame, path: str, checkpoint: str, **trigge
 
 
 def drop_repeats(stream: DataFrame, delay: str = "3 hours") -> DataFrame:
-    """First sighting of each (trip instance, entity time) across polls; state is dropped after the delay."""
+    """One sighting of each (trip instance, entity time) across polls, the first to come.
+
+    State is dropped after the delay, and so are rows later than it; `start_first_sightings` keeps both
+    the earliest fetch and late rows.
+    """
     return stream.where(F.col("trip_instance_id").isNotNull()).withWatermark("entity_timestamp", delay).dropDuplicates(
         ["trip_instance_id", "entity_timestamp"])
 
 
+def start_first_sightings(stream: DataFrame, path: str, checkpoint: str, **trigger_args):
+    """Keep the earliest fetch per (trip instance, entity time) as a versioned table, however late it comes."""
+    keys = ["trip_instance_id", "entity_timestamp"]
+
+    def earliest(old: DataFrame, new: DataFrame) -> DataFrame:
+        rest = [c for c in new.columns if c not in keys and c != "fetch_timestamp"]
+        first = F.min(F.struct("fetch_timestamp", *rest)).alias("__r")
+        return old.unionByName(new).groupBy(*keys).agg(first).select(
+            *keys, "__r.fetch_timestamp", *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*new.columns)
+
+    def merge(batch: DataFrame, _: int) -> None:
+        rows = batch.where(F.col("trip_instance_id").isNotNull()).withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp"))
+        tables.merge_snapshot(rows, path, keys, earliest, tables.DATE_COLUMN)
+
+    return (
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger_args or trigger())).start()
+    )
+
+
 def rebuild_window(positions: DataFrame, trips: DataFrame, shape_tracks: DataFrame, path: str,
                    end: datetime, hours: float = 3, start: datetime | None = None, **options) -> int:
     """Rebuild trajectories of the last hours from the landed table and upsert them as a new version."""
@@ -113,7 +137,12 @@ def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shap
 
 def refresh_views(updates: DataFrame, segments: DataFrame, ts: DataFrame, routes: DataFrame, stops: DataFrame,
                   folder: str, service_dates: list | None = None, ties: list[str] = ()) -> dict[str, int]:
-    """Rebuild the base views, whole or only for the given service dates (dynamic partition overwrite)."""
+    """Rebuild the base views, whole or only for the given service dates (dynamic partition overwrite).
+
+    Headways are always rebuilt whole, since one may reach back into the day before. No dates, no work.
+    """
+    if service_dates is not None and not service_dates:
+        return {}
     rows = updates if service_dates is None else updates.where(F.col("service_date").isin(service_dates))
     latest = r.dedup_updates(rows, list(ties))
     views = {
@@ -121,15 +150,14 @@ def refresh_views(updates: DataFrame, segments: DataFrame, ts: DataFrame, routes
         "delay_analysis": r.delay_analysis(latest, segments, routes, stops),
         "schedule_times": r.schedule_times(latest, ts, routes, stops),
     }
-    if service_dates is None:
-        # a headway may reach back into the day before, so this view is only rebuilt whole
-        views["headway_stats"] = r.headway_stats(rows, routes, stops)
+    views["headway_stats"] = r.headway_stats(updates, routes, stops)
     sizes = {}
     for name, view in views.items():
         seen = tables.Observation()
         writer = view.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
         if "service_date" in view.columns:
-            writer = writer.partitionBy("service_date").option("partitionOverwriteMode", "dynamic" if service_dates else "static")
+            writer = writer.partitionBy("service_date").option(
+                "partitionOverwriteMode", "static" if service_dates is None or name == "headway_stats" else "dynamic")
         writer.parquet(f"{folder.rstrip('/')}/{name}")
         sizes[name] = int(seen.get["n"])
     return sizes
