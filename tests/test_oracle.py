@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from catalog import registry
 
 FOLDER = os.environ.get("TRANSITLOOM_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,5 +46,5 @@ def test_query_matches_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_and_the_flagship_has_rows(spark):
-    assert set(ORACLE) == set(QUERIES)
+    assert set(registry.ORACLE) == set(registry.QUERIES)
     assert contract.entry(spark).count() > 0
