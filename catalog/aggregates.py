@@ -102,9 +102,9 @@ add("a05_route_speed_stats",
         FROM x_speed_layer q JOIN x_routes r ON r.route_id = q.route_id GROUP BY r.route_id, r.route_short_name, r.route_long_name, r.route_type""",
     avg_speed_kmh=4, min_speed_kmh=4, max_speed_kmh=4, median_speed_kmh=4)
 add("a06_high_speed_segments",
-    lambda T: y.high_speed_segments(T.speed_layer, 60.0, 1, digits=3),
+    lambda T: y.high_speed_segments(T.speed_layer, 60.0, 3, digits=3),
     f"""SELECT route_id, route_short_name, {r('speed', 'speed_kmh', 3)}, count(*) AS segment_count FROM x_speed_layer WHERE speed > 60
-        GROUP BY route_id, route_short_name, round(speed, 3) + 0.0""", speed_kmh=3)
+        GROUP BY route_id, route_short_name, round(speed, 3) + 0.0 HAVING count(*) >= 3""", speed_kmh=3)
 add("a07_speed_bands", lambda T: y.speed_bands(T.speed_layer),
     """SELECT CASE WHEN speed < 20 THEN 'slow' WHEN speed < 40 THEN 'medium' WHEN speed < 60 THEN 'fast' ELSE 'very fast' END AS band, count(*) AS qty,
        round(count(*) * 100e0 / sum(count(*)) OVER (), 2) AS perc FROM x_speed_layer GROUP BY 1""", perc=2)
@@ -159,9 +159,9 @@ add("a18_route_statistics", lambda T: y.route_statistics(T.segments),
 add("a19_route_duplication", lambda T: T.pairs,
     f"""SELECT route1, route2, shared AS shared_segments, total1 AS route1_total_segments, total2 AS route2_total_segments, {r('overlap', 'overlap_percentage')} FROM x_pairs""")
 cte("x_ends", "SELECT route1 AS route_id, overlap, shared FROM x_pairs UNION ALL SELECT route2, overlap, shared FROM x_pairs")
-add("a20_highly_duplicated_routes", lambda T: y.highly_duplicated_routes(T.pairs, 1),
+add("a20_highly_duplicated_routes", lambda T: y.highly_duplicated_routes(T.pairs),
     f"""SELECT route_id, count(*) AS num_duplicate_pairs, {r('max(overlap)', 'max_overlap_percentage')}, {r('avg(overlap)', 'avg_overlap_percentage')},
-        CAST(sum(shared) AS BIGINT) AS total_shared_segments FROM x_ends GROUP BY 1""")
+        CAST(sum(shared) AS BIGINT) AS total_shared_segments FROM x_ends GROUP BY 1 HAVING count(*) >= 3""")
 # ---- summaries ----------------------------------------------------------------------------
 BUNCHED = "count(*) FILTER (headway_minutes <= 3) * 100e0 / count(*)"
 add("a26_route_summary_stats", lambda T: k.route_summary_stats(T.bus_headways),
@@ -302,8 +302,8 @@ add("o01_order_nulls",
     "SELECT delay AS arrival_delay_seconds, count(*) AS n FROM x_updates GROUP BY 1")
 add("o02_top_n", lambda T: o.top_n(T.hvs.select("route_id", "stop_id", "observations", "headway_delta_min"), 15, "-headway_delta_min!", "-observations", "route_id", "stop_id"),
     f"""SELECT route_id, stop_id, observations, {r('delta', 'headway_delta_min')} FROM x_hvs ORDER BY delta DESC NULLS LAST, observations DESC, route_id, stop_id LIMIT 15""")
-add("o02_top_duplicated_segments", lambda T: o.top_n(y.shared_segments(T.segments, T.routes, 1).select("segment_id", "num_routes_sharing"), 50, "-num_routes_sharing", "segment_id"),
-    "SELECT segment_id, num_routes AS num_routes_sharing FROM x_density ORDER BY num_routes DESC, segment_id LIMIT 50")
+add("o02_top_duplicated_segments", lambda T: o.top_n(y.shared_segments(T.segments, T.routes, 5).select("segment_id", "num_routes_sharing"), 50, "-num_routes_sharing", "segment_id"),
+    "SELECT segment_id, num_routes AS num_routes_sharing FROM x_density WHERE num_routes >= 5 ORDER BY num_routes DESC, segment_id LIMIT 50")
 add("o02_bunching_top_routes", lambda T: k.bunching_top_routes(T.bus_headways, 5).select("route_short_name", "bunching_rate_pct"),
     f"SELECT route_short_name, {r(BUNCHED, 'bunching_rate_pct')} FROM x_bus_headways GROUP BY 1 HAVING count(*) >= 10 ORDER BY {BUNCHED} DESC, route_short_name LIMIT 5")
 add("o03_worst_segments", lambda T: k.worst_segments(T.bus_delays),

@@ -123,9 +123,8 @@ cte("x_calendar", """
 SELECT service_id, DATE '2024-01-01' AS start_date, DATE '2024-01-01' + CAST(count(*) % 60 + 30 AS INTEGER) AS end_date
 FROM x_trips GROUP BY service_id""")
 cte("x_calendar_dates", """
-SELECT substr(o_orderpriority, 1, 1) AS service_id, DATE '2024-01-01' + CAST(o_custkey % 120 + 1 AS INTEGER) AS date,
-  CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 2 END AS exception_type
-FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 997 = 1""")
+SELECT DISTINCT substr(o_orderpriority, 1, 1) AS service_id, DATE '2024-01-01' + CAST(o_custkey % 40 * 3 + 1 AS INTEGER) AS date,
+  CASE WHEN (o_custkey % 40 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) % 8 = 5 THEN 2 ELSE 1 END AS exception_type FROM orders""")
 E2 = 0.0066943799901413165
 
 

@@ -158,12 +158,13 @@ class Transit:
 
     @cached_property
     def calendar_dates(self) -> DataFrame:
-        k = F.col("o_orderkey")
-        return self.read("orders").where((k % 50 == 0) | (k % 997 == 1)).select(
-            F.substring("o_orderpriority", 1, 1).alias("service_id"),
-            F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_custkey") % 120 + 1).cast("int")).alias("date"),
-            F.when(k % 50 == 0, 1).otherwise(2).alias("exception_type"),
-        )
+        """Exceptions on every third day at most, from all orders; a few of them, by day and service, are removals."""
+        slot, service = F.col("o_custkey") % 40, F.substring("o_orderpriority", 1, 1)
+        return self.read("orders").select(
+            service.alias("service_id"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (slot * 3 + 1).cast("int")).alias("date"),
+            F.when((slot + service.cast("int")) % 8 == 5, 2).otherwise(1).alias("exception_type"),
+        ).distinct()
 
     # ---- live feed ------------------------------------------------------------------------
     @cached_property

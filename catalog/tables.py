@@ -149,11 +149,12 @@ add("c14_upsert_trips", _upserted,
        WHERE entity_timestamp BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' AND NOT (entity_timestamp > TIMESTAMP '2024-01-15' AND entity_timestamp < TIMESTAMP '2024-01-10')
        GROUP BY 1 HAVING count(*) > 1""")
 add("c14_upsert_trips_keeps_id",
+    # keys of orders and of parts overlap in part; both tables are whole
     lambda T: m.upsert_trips(
-        T.read("orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("trip_instance_id"), F.col("o_custkey").alias("trip_id"), F.col("o_orderstatus").alias("state")),
-        T.read("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("trip_instance_id"), (F.col("o_custkey") + 1).alias("trip_id"), F.lit("new").alias("state")), truncate=False),
-    """SELECT o_orderkey AS trip_instance_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey ELSE o_custkey + 1 END AS trip_id,
-       CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""")
+        T.read("orders").select((F.col("o_orderkey") * 2).alias("trip_instance_id"), F.col("o_custkey").alias("trip_id"), F.col("o_orderstatus").alias("state")),
+        T.read("part").select((F.col("p_partkey") * 3).alias("trip_instance_id"), F.col("p_partkey").alias("trip_id"), F.lit("new").alias("state")), truncate=False),
+    """SELECT coalesce(o_orderkey * 2, p_partkey * 3) AS trip_instance_id, CASE WHEN o_orderkey IS NOT NULL THEN o_custkey ELSE p_partkey END AS trip_id,
+       CASE WHEN p_partkey IS NOT NULL THEN 'new' ELSE o_orderstatus END AS state FROM orders FULL JOIN part ON o_orderkey * 2 = p_partkey * 3""")
 
 
 def _aging(T):
@@ -204,6 +205,9 @@ def _streamed(T, snapshots, landing, name, wanted, ts="entity_timestamp"):
 
 
 add("st01_stream_positions", lambda T: _streamed(T, T.position_snapshots, feeds.stream_positions, "positions", _POS), _LANDED)
+add("st01_stream_positions_filtered",
+    lambda T: _streamed(T, T.position_snapshots, lambda spark, folder: feeds.stream_positions(spark, folder, routes=T.routes.where("route_type = '1'")), "positions-1", _POS),
+    _LANDED + " WHERE route_id IN (SELECT route_id FROM x_routes WHERE route_type = '1')")
 add("st02_stream_updates", lambda T: _streamed(T, T.update_snapshots, feeds.stream_updates, "updates", _UPD, "arrival_time"), _UPDATES)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitloom.functions import scalars as s
@@ -172,8 +172,10 @@ def describe(df: DataFrame, values: list[str], distinct: list[str] = ()) -> Data
 
 def category_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows per class and their percentage of all rows."""
-    total = df.agg(F.count("*")).scalar()
-    return _named(df, key).groupBy(key).agg(F.count("*").alias("n")).withColumn("share_pct", F.col("n") * 100.0 / total)
+    # the window holds one row per class, so the table is read once
+    counted = df.groupBy(key).agg(F.count("*").alias("n")).withColumn(
+        "share_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    return _named(counted, key)
 
 
 def speed_by_route(speeds: DataFrame, n: int = 20) -> DataFrame:

@@ -96,6 +96,24 @@ def snap_positions(placed: DataFrame, lon: str = "longitude", lat: str = "latitu
     ).drop("__p", "shape_track", "scheduled_track")
 
 
+def snap_to_lines(positions: DataFrame, trips: DataFrame, shape_tracks: DataFrame, scheduled: DataFrame | None = None,
+                  lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """Snap positions to the trip's shape, else to its scheduled path, else leave them where they are.
+
+    A line is dropped as soon as it was used, so no later exchange carries one, and scheduled paths are
+    attached only to rows that have no shape. Equals `snap_positions` of `trip_to_line`.
+    """
+    out = trip_to_line(positions, trips, shape_tracks).withColumn("__p", g.snap_point("shape_track", lon, lat)).drop(
+        "shape_track", "scheduled_track")
+    if scheduled is not None:
+        paths = scheduled.select(F.col("trip_id").alias("__trip"), F.col("date").alias("__date"), F.col("scheduled_track").alias("__track"))
+        wanted = (F.col("trip_id") == F.col("__trip")) & (F.col("service_date") == F.col("__date")) & F.col("__p").isNull()
+        out = out.join(paths, wanted, "left").withColumn(
+            "__p", F.coalesce("__p", g.snap_point("__track", lon, lat))).drop("__trip", "__date", "__track")
+    return out.withColumn("__p", F.coalesce("__p", g.make_point(lon, lat))).withColumns(
+        {"lon": F.col("__p.lon"), "lat": F.col("__p.lat")}).drop("__p")
+
+
 def actual_trajectories(positions: DataFrame, trips: DataFrame, shape_tracks: DataFrame, start, end,
                         scheduled: DataFrame | None = None, routes: DataFrame | None = None,
                         route_ids=(), route_names=(), ties: list[str] = (), now: Column | None = None) -> DataFrame:
@@ -106,7 +124,7 @@ def actual_trajectories(positions: DataFrame, trips: DataFrame, shape_tracks: Da
     rows = rows.withColumn("service_date", s.service_date("start_date", "entity_timestamp"))
     columns = ["trip_instance_id", *WHO, "entity_timestamp", "fetch_timestamp", *ties, "longitude", "latitude"]
     first = dedup_positions(rows.select(*columns), list(ties))
-    snapped = snap_positions(trip_to_line(first, trips, shape_tracks, scheduled))
+    snapped = snap_to_lines(first, trips, shape_tracks, scheduled)
     return _assemble(snapped.withColumn("t", F.col("entity_timestamp")), now)
 
 

@@ -52,7 +52,7 @@ def _who(part: str) -> dict[str, F.Column]:
 
 
 def _only_routes(df: DataFrame, routes: DataFrame | None) -> DataFrame:
-    return df if routes is None else df.join(routes.select("route_id"), "route_id", "left_semi")
+    return df if routes is None else df.join(routes.select("route_id"), "route_id", "left_semi").select(*df.columns)
 
 
 def land_vehicle_positions(snapshots: DataFrame, routes: DataFrame | None = None) -> DataFrame:

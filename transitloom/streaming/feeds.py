@@ -21,12 +21,14 @@ def read_snapshots(spark: SparkSession, folder: str, max_files: int | None = Non
     return reader.json(folder)
 
 
-def stream_positions(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    return feed.land_vehicle_positions(read_snapshots(spark, folder, max_files))
+def stream_positions(spark: SparkSession, folder: str, max_files: int | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """Positions as they land, of the given routes only if ``routes`` (route_id) is given."""
+    return feed.land_vehicle_positions(read_snapshots(spark, folder, max_files), routes)
 
 
-def stream_updates(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    return feed.land_trip_updates(read_snapshots(spark, folder, max_files))
+def stream_updates(spark: SparkSession, folder: str, max_files: int | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """Predictions as they land, of the given routes only if ``routes`` (route_id) is given."""
+    return feed.land_trip_updates(read_snapshots(spark, folder, max_files), routes)
 
 
 def trigger(once: bool = True, interval_s: int | None = None) -> dict:
@@ -113,8 +115,11 @@ def rebuild_window(positions: DataFrame, trips: DataFrame, shape_tracks: DataFra
 
 
 def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shape_tracks: DataFrame, path: str,
-                  checkpoint: str, hours: float = 3, **trigger_args):
-    """After every micro-batch: append it, then rebuild the window that ends at the newest landed time."""
+                  checkpoint: str, hours: float = 3, options: dict | None = None, **trigger_args):
+    """After every micro-batch: append it, then rebuild the window that ends at the newest landed time.
+
+    ``options`` go to `actual_trajectories`: scheduled paths, a route filter, ties.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the batch number is part of the path, so a repeated batch overwrites itself
@@ -127,7 +132,7 @@ def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shap
         if newest is not None:
             begin = newest - timedelta(hours=hours)
             window = landed.where(F.col(tables.DATE_COLUMN) >= F.lit(begin.date())).drop("batch", tables.DATE_COLUMN)
-            rebuild_window(window, trips, shape_tracks, path, newest, hours)
+            rebuild_window(window, trips, shape_tracks, path, newest, hours, **(options or {}))
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
