@@ -116,6 +116,6 @@ def _refresh(T):
 
 add("v13_refresh_all", _refresh,
     """SELECT 'speed_comparison' AS layer, 'ok: ' || (SELECT count(*) FROM x_observed) || ' rows' AS status
-       UNION ALL SELECT 'headway_stats', 'ok: ' || (SELECT count(*) FROM x_headways) || ' rows' UNION ALL SELECT 'broken', 'failed: RuntimeError'
+       UNION ALL SELECT 'headway_stats', 'ok: ' || (SELECT count(*) FROM x_headways) || ' rows' UNION ALL SELECT 'broken', 'failed: RuntimeError: a layer that cannot be built'
        UNION ALL SELECT 'headway_by_stop', 'ok: ' || (SELECT count(*) FROM (SELECT 1 FROM x_bus_headways GROUP BY stop_id, route_short_name, stop_name, stop_lat, stop_lon HAVING count(*) >= 5)) || ' rows'
        UNION ALL SELECT 'delay_by_stop', 'ok: ' || (SELECT count(*) FROM (SELECT 1 FROM x_bus_schedule GROUP BY stop_id, route_short_name, stop_name, stop_lat, stop_lon HAVING count(*) >= 3)) || ' rows'""")

@@ -7,7 +7,7 @@ from transitloom.functions import scalars as s
 from transitloom.operators import moving
 from transitloom.plans import timetable
 from transitloom.session import store_and_reload
-from transitloom.sources import feed
+from transitloom.sources import census, feed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,3 +31,8 @@ def test_the_route_filter_leaves_the_columns_in_place(spark):
     assert some.columns == whole.columns
     ids = [r.route_id for r in routes.collect()]
     assert some.count() == whole.where(F.col("route_id").isin(ids)).count() > 0
+
+
+def test_headers_that_become_the_same_name_stay_apart(spark):
+    made = census.normalise_columns(spark.createDataFrame([(1, 2, 3)], ["a b", "a-b", "a_b_2"]))
+    assert made.columns == ["a_b", "a_b_2", "a_b_2_2"] and tuple(made.first()) == (1, 2, 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitloom.functions import scalars as s
@@ -186,11 +186,9 @@ def speed_bands(speed_layer: DataFrame) -> DataFrame:
 
 def share_of_total(df: DataFrame, key: str, digits: int = 2) -> DataFrame:
     """Rows per value and their percentage of all rows; NULL keys are left out."""
-    src = df.where(F.col(key).isNotNull())
-    total = src.groupBy().agg(F.count("*").alias("n")).scalar()
-    return src.groupBy(key).agg(F.count("*").alias("qty")).withColumn(
-        "perc", F.round(F.col("qty") * 100.0 / total, digits)
-    )
+    # the window holds one row per value, so the table is read once
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("qty"))
+    return counted.withColumn("perc", F.round(F.col("qty") * 100.0 / F.sum("qty").over(Window.partitionBy()), digits))
 
 
 def route_type_share(routes: DataFrame) -> DataFrame:

@@ -75,5 +75,5 @@ def refresh_all(builders: dict[str, Callable[[], DataFrame]], write: Callable[[D
         try:
             status[name] = f"ok: {write(build(), name)} rows"
         except Exception as problem:  # noqa: BLE001 - the status is the result
-            status[name] = f"failed: {type(problem).__name__}"
+            status[name] = f"failed: {type(problem).__name__}: {problem}".removesuffix(": ")
     return status

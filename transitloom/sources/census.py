@@ -74,7 +74,16 @@ def plain_name(name: str, position: int = 0) -> str:
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[plain_name(c, i) for i, c in enumerate(df.columns)])
+    """Plain names for all columns; one that is taken already gets a number."""
+    names: list[str] = []
+    for i, column in enumerate(df.columns):
+        plain, n = plain_name(column, i), 1
+        name = plain
+        while name in names:
+            n += 1
+            name = f"{plain[:NAME_LIMIT - len(str(n)) - 1]}_{n}"
+        names.append(name)
+    return df.toDF(*names)
 
 
 def poi_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:

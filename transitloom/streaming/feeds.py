@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from transitloom.functions import scalars as s
 from transitloom.operators import moving as m
 from transitloom.operators import realtime as r
+from transitloom.session import store_and_reload
 from transitloom.sources import feed, tables
 
 
@@ -149,7 +150,8 @@ def refresh_views(updates: DataFrame, segments: DataFrame, ts: DataFrame, routes
     if service_dates is not None and not service_dates:
         return {}
     rows = updates if service_dates is None else updates.where(F.col("service_date").isin(service_dates))
-    latest = r.dedup_updates(rows, list(ties))
+    # three views start from the latest predictions, which are found once
+    latest = store_and_reload(r.dedup_updates(rows, list(ties)), "latest")
     views = {
         "speed_comparison": r.speed_comparison(latest, segments, routes, stops),
         "delay_analysis": r.delay_analysis(latest, segments, routes, stops),
