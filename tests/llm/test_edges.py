@@ -38,6 +38,16 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, bench, tmp_path):
             docs = after
 
 
+def test_copies_are_one_page_and_shared_lines_go(spark):
+    rows = [(i, f"menu\nown words of page {i}", "x") for i in range(40)] + [(100 + i, "copied\ntext", "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 AS _gone", "2 AS _kept", "3 AS site", "4 AS host")
+    got = lines.drop_boilerplate(df)
+    assert got.columns == [*df.columns, "dropped_lines"]
+    found = {r.doc_id: (r.text, r.dropped_lines, r._gone, r._kept) for r in got.collect()}
+    assert found == {i: (t.removeprefix("menu\n"), int(i < 40), 1, 2) for i, t, _ in rows}
+    assert [(r.holding, r.pages) for r in lines.boilerplate(df).collect()] == [(40, 41)]
+
+
 def test_values_of_odd_rows(odd, bench):
     got = {(r.doc_id, r.n_words): r for r in decontam.report(odd, bench).collect()}
     assert got[1, 90].n_hit == 90 and got[2, 0].n_hit == 0 and got[3, 20000].n_hit > 0

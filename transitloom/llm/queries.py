@@ -97,10 +97,10 @@ FROM placed, range(0, 3) passes(p) GROUP BY doc_id, size, source_size, target, b
 
 LINES_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, *, string_split(coalesce(text, ''), chr(10)) AS lines FROM {{documents}}),
-held AS (SELECT DISTINCT row, source, unnest(lines) AS line FROM d),
+held AS (SELECT DISTINCT source, coalesce(text, '') AS page, unnest(lines) AS line FROM d),
 often AS (SELECT source, line, count(*) AS holding FROM held WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY source, line HAVING count(*) >= {lines.FEWEST}),
 bad AS (
-  SELECT o.source, list(o.line) AS bad FROM often o JOIN (SELECT source, count(*) AS pages FROM {{documents}} GROUP BY source) p
+  SELECT o.source, list(o.line) AS bad FROM often o JOIN (SELECT source, count(DISTINCT coalesce(text, '')) AS pages FROM {{documents}} GROUP BY source) p
     ON o.source IS NOT DISTINCT FROM p.source WHERE holding > {lines.RATIO} * pages GROUP BY o.source)
 SELECT d.doc_id, d.source,
   len(lines) - len(list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false))) AS dropped_lines,
