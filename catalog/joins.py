@@ -12,6 +12,7 @@ from transitloom.operators import realtime as rt
 from transitloom.operators import spatial as sp
 from transitloom.operators import timetable as t
 from transitloom.plans import timetable as pt
+from transitloom.session import store_and_reload
 
 SEQ = "CAST(stop_sequence AS BIGINT) AS stop_sequence"
 
@@ -38,13 +39,13 @@ def _sizes(tables):
     return out
 
 
-def _referenced(T):
+def _referenced(T, stage=lambda df: df):
     tables = {"agency": T.agency, "stops": T.stops, "stop_times": T.stop_times, "trips": T.trips, "routes": T.routes,
               "calendar": T.calendar, "calendar_dates": T.calendar_dates, "shapes": T.shapes}
-    return t.keep_referenced(tables, t.filter_bbox(T.stops).select("stop_id"))
+    return t.keep_referenced(tables, t.filter_bbox(T.stops).select("stop_id"), stage)
 
 
-add("j02_keep_referenced", lambda T: _sizes(_referenced(T)), "SELECT table_name, n FROM x_kept_sizes")
+add("j02_keep_referenced", lambda T: _sizes(_referenced(T, lambda df: store_and_reload(df, "kept"))), "SELECT table_name, n FROM x_kept_sizes")
 add("j02_kept_trips", lambda T: _referenced(T)["trips"].select("trip_id", "route_id"), "SELECT trip_id, route_id FROM x_kept_trips")
 add("j03_valid_trips", lambda T: t.valid_trips(T.stop_times, _referenced(T)["trips"]).select("trip_id", "stop_sequence"),
     f"SELECT trip_id, {SEQ} FROM x_stop_times WHERE trip_id IN (SELECT trip_id FROM x_kept_trips)")

@@ -171,6 +171,17 @@ add("c16_retain_by_age_dry_run", lambda T: tables.retain_by_age(_aging(T), "enti
     "SELECT count(*) AS rows_to_delete FROM x_aging WHERE t < TIMESTAMP '2024-01-15'")
 add("c17_retain_by_range", lambda T: tables.retain_by_range(_aging(T), "entity_timestamp", NOW - timedelta(days=10), NOW).select("tie1"),
     "SELECT tie1 FROM x_aging WHERE t IS NULL OR NOT t BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
+
+
+def _retained(T):
+    """The aged positions as a stored table, after the deletion of what is older than a cutoff at noon."""
+    path = scratch_path(T.spark, "retained")
+    tables.write_snapshot(_aging(T).withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp")), path, part=tables.DATE_COLUMN)
+    tables.retain_snapshot(T.spark, path, F.col("entity_timestamp") < F.lit(NOW - timedelta(days=4, hours=12)), tables.DATE_COLUMN)
+    return tables.read_snapshot(T.spark, path, tables.DATE_COLUMN).select("tie1")
+
+
+add("c16_retain_stored", _retained, "SELECT tie1 FROM x_aging WHERE t IS NULL OR t >= TIMESTAMP '2024-01-15 12:00:00'")
 add("c18_truncate", lambda T: tables.truncate(T.positions, confirm=True).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM x_positions WHERE false")
 
 

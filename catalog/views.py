@@ -10,6 +10,7 @@ from transitloom.operators import layers as y
 from transitloom.operators import realtime as rt
 from transitloom.plans import layers as pl
 from transitloom.plans import timetable as pt
+from transitloom.session import store_and_reload
 
 SEQ = "CAST(stop_sequence AS BIGINT) AS stop_sequence"
 
@@ -17,7 +18,7 @@ SEQ = "CAST(stop_sequence AS BIGINT) AS stop_sequence"
 def _cleaned(T):
     from catalog.joins import _sizes
 
-    return pt.clean_timetable(T.raw), _sizes
+    return pt.clean_timetable(T.raw, stage=lambda df: store_and_reload(df, "kept")), _sizes
 
 
 add("v01_clean_timetable", lambda T: (lambda c, sizes: sizes(c))(*_cleaned(T)), "SELECT table_name, n FROM x_kept_sizes")

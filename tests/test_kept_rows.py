@@ -19,6 +19,23 @@ def test_rows_without_a_partition_value_stay(spark):
     assert got == {("a", 1), ("b", 2), ("c", 3)}
 
 
+def test_retention_of_a_stored_table(spark):
+    path = scratch_path(spark, "retain")
+    rows = spark.createDataFrame([("a", date(2025, 1, 1), 1), ("b", date(2025, 1, 1), 2), ("c", date(2025, 1, 2), 3), ("d", date(2025, 1, 2), None),
+                                  ("e", None, 1), ("f", date(2025, 1, 3), 9)], "k string, service_date date, n int")
+    tables.write_snapshot(rows, path)
+    left = lambda: {r.k for r in tables.read_snapshot(spark, path).collect()}
+    told = tables.retain_snapshot(spark, path, F.col("n") < 4, dry_run=True)
+    assert {tuple(r) for r in told.collect()} == {(date(2025, 1, 1), 2), (date(2025, 1, 2), 1), (None, 1)} and left() == set("abcdef")
+    tables.retain_snapshot(spark, path, F.col("n") < 4)
+    assert left() == {"d", "f"}
+    assert tables.retain_snapshot(spark, path, F.col("n") < 4).isEmpty() and left() == {"d", "f"}
+    tables.retain_snapshot(spark, path, F.lit(True))
+    assert left() == set()
+    tables.merge_snapshot(rows.limit(1), path, ["k"], lambda old, new: old.join(new.select("k"), "k", "left_anti").unionByName(new))
+    assert len(left()) == 1
+
+
 def test_no_dates_leave_the_views_alone(spark):
     assert feeds.refresh_views(None, None, None, None, None, "/nowhere", service_dates=[]) == {}
 

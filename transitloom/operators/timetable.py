@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,17 @@ def route_filter(df: DataFrame, routes: DataFrame, ids=(), short_names=()) -> Da
     return semi(df, wanted, "route_id") if on else df
 
 
-def keep_referenced(tables: dict[str, DataFrame], stop_ids: DataFrame) -> dict[str, DataFrame]:
-    """Cascade of semi-joins from the kept stops to every table that refers to them."""
+def keep_referenced(tables: dict[str, DataFrame], stop_ids: DataFrame,
+                    stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """Cascade of semi-joins from the kept stops to every table that refers to them.
+
+    Every table hangs on the kept trips, and those on the kept stop times. When all are written, pass a ``stage``
+    that writes these two to the shared folder and reads them back, so that each is found once.
+    """
     out = dict(tables)
     out["stops"] = semi(tables["stops"], stop_ids, "stop_id")
-    out["stop_times"] = semi(tables["stop_times"], stop_ids, "stop_id")
-    out["trips"] = semi(tables["trips"], out["stop_times"], "trip_id")
+    out["stop_times"] = stage(semi(tables["stop_times"], stop_ids, "stop_id"))
+    out["trips"] = stage(semi(tables["trips"], out["stop_times"], "trip_id"))
     out["routes"] = semi(tables["routes"], out["trips"], "route_id")
     for name in ("calendar", "calendar_dates"):
         if name in tables:

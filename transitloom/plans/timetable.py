@@ -14,14 +14,20 @@ from transitloom.operators.lines import edge_table, tracks
 from transitloom.operators.moving import moving_point, path_of, start_time
 
 Stage = Callable[[DataFrame], DataFrame]
+# Service days up to this number are broadcast: a few dozen megabytes.
+MOST_DAYS_BROADCAST = 500_000
 
 
 def _as_is(df: DataFrame) -> DataFrame:
     return df
 
 
-def clean_timetable(tables: dict[str, DataFrame], box: dict[str, float] = t.REGION_BOX) -> dict[str, DataFrame]:
-    """Prune columns, drop empty rows, keep what lies in the box and what refers to it, clean times."""
+def clean_timetable(tables: dict[str, DataFrame], box: dict[str, float] = t.REGION_BOX,
+                    stage: Stage = _as_is) -> dict[str, DataFrame]:
+    """Prune columns, drop empty rows, keep what lies in the box and what refers to it, clean times.
+
+    ``stage`` is that of `keep_referenced`: pass one when several of the tables are used.
+    """
     from transitloom.sources.gtfs import KEEP, drop_empty_rows, prune_columns
 
     pruned = {n: drop_empty_rows(prune_columns(df, KEEP[n])) for n, df in tables.items() if n in KEEP}
@@ -29,7 +35,7 @@ def clean_timetable(tables: dict[str, DataFrame], box: dict[str, float] = t.REGI
     located = pruned["stops"].withColumns(
         {c: F.col(c).try_cast("double") for c in ("stop_lat", "stop_lon")}
     )
-    kept = t.keep_referenced(pruned, t.filter_bbox(located, box).select("stop_id"))
+    kept = t.keep_referenced(pruned, t.filter_bbox(located, box).select("stop_id"), stage)
     times = kept["stop_times"].withColumns(
         {c: s.normalise_time(c) for c in ("arrival_time", "departure_time")}
     )
@@ -94,13 +100,19 @@ def trip_points(segments: DataFrame, fraction_units: str = "consistent") -> Data
 
 
 def points_to_dates(points: DataFrame, dates: DataFrame, on_dates: list | None = None) -> DataFrame:
-    """Timed points on real dates: the given ones, or the earliest service date."""
+    """Timed points on real dates: the given ones, or the earliest service date.
+
+    A handful of services holds all points, so a shuffle on the service would end in a few tasks. The days are
+    broadcast if they are counted to be few; beyond that, their join is the planner's.
+    """
     if on_dates:
         chosen = dates.where(F.col("date").isin([F.lit(d).cast("date") for d in on_dates]))
     else:
         chosen = dates.where(F.col("date") == dates.agg(F.min("date")).scalar())
     micros = F.round(F.col("point_arrival") * 1e6).cast("long")
     midnight = F.unix_date("date").cast("long") * 86_400_000_000
+    if chosen.limit(MOST_DAYS_BROADCAST + 1).count() <= MOST_DAYS_BROADCAST:
+        chosen = F.broadcast(chosen)
     return points.join(chosen, "service_id").withColumn("t", F.timestamp_micros(midnight + micros))
 
 

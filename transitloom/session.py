@@ -25,8 +25,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = 8, name: str = "transitloom") -> SparkSession:
-    """A single-JVM session for tests and the bench."""
+def local_session(cores: int | str = 8, name: str = "transitloom", shared: str | None = None) -> SparkSession:
+    """A single-JVM session for tests and the bench; ``shared`` is its folder for staged data."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -34,7 +34,7 @@ def local_session(cores: int | str = 8, name: str = "transitloom") -> SparkSessi
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
-    for key, value in REQUIRED.items():
+    for key, value in (REQUIRED | ({"spark.checkpoint.dir": shared} if shared else {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -153,6 +153,25 @@ def merge_snapshot(fresh: DataFrame, path: str, keys: list[str], merge: Callable
     return write_snapshot(merge(affected, fresh), path, touched, part)
 
 
+def retain_snapshot(spark: SparkSession, path: str, doomed: Column, part: str = "service_date", dry_run: bool = False) -> DataFrame:
+    """Delete the rows of a stored keyed table for which a condition holds; returns the rows deleted by partition.
+
+    A partition that loses all its rows is listed as touched and written without any, one that loses some is
+    rewritten, and the others are neither read whole nor written. A condition that is null keeps its row. A
+    dry run only counts.
+    """
+    current = read_snapshot(spark, path, part)
+    if current is None:
+        raise ValueError(f"no table at {path}")
+    gone = F.coalesce(doomed, F.lit(False))
+    lost = store_and_reload(current.where(gone).groupBy(part).agg(F.count("*").alias("rows_to_delete")), "retained")
+    if not dry_run and not lost.isEmpty():
+        named = lost.select(F.col(part).alias("__part"))
+        kept = current.where(~gone).join(named, F.col(part).eqNullSafe(F.col("__part")), "left_semi")
+        write_snapshot(kept, path, lost.select(part), part)
+    return lost
+
+
 def export_summary(summaries: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
     """Write summaries as CSV folders, each in its order."""
     for name, (df, keys) in summaries.items():
