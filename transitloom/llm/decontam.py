@@ -7,7 +7,8 @@ hashes of their last and first pairs, and direct comparison confirms. Items too
 one table for each length.
 
 Benchmark items are a stated query set and are searched in blocks of bounded size: each block is one pass that
-adds its hits to those of the passes before, without a shuffle.
+adds its hits to those of the passes before, without a shuffle. What a pass has found is written before the next
+block is built, so the driver and each worker hold one block at a time.
 
 Nulls: a null text has no words; a null item has none and is never found; a null item id is written as
 "null". Rows that repeat are each searched; equal items are found together. An empty benchmark finds nothing.
@@ -15,7 +16,7 @@ Nulls: a null text has no words; a null item has none and is never found; a null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from transitloom.llm.text import add_columns, as_bytes, blank, free_name
 
+Store = Callable[[DataFrame, str], DataFrame]
 WINDOW = 10
-BLOCK_BYTES = 8_000_000
+# Tables of a block take about 200 bytes of memory for each byte of its text (measured: 1.4 GB for 8 MB).
+BLOCK_BYTES = 2_000_000
 ROWS = 256
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
@@ -108,11 +111,16 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Blo
         yield Block(held)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str, str]:
-    """`docs` with two more columns, whose names are returned too: numbers of the words hit, and items found."""
+def search(docs: DataFrame, benchmark: DataFrame, store: Store, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str, str]:
+    """`docs` with two more columns, whose names are returned too: numbers of the words hit, and items found.
+
+    `store` writes a frame to the shared folder and reads it back; a benchmark of one block needs none.
+    """
     hits, items = free_name(docs.columns, "hits"), free_name(docs.columns, "items")
     out = docs.withColumns({hits: F.array().cast("array<int>"), items: F.array().cast("array<string>")})
-    for block in blocks(benchmark, block_bytes):
+    for n, block in enumerate(blocks(benchmark, block_bytes)):
+        if n:
+            out = store(out, "decontam")
         new_hits, new_items = free_name(out.columns, "new_hits"), free_name(out.columns, "new_items")
 
         def work(batch: pa.RecordBatch, block: Block = block) -> list[pa.Array]:
@@ -124,18 +132,18 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_byte
     return out, hits, items
 
 
-def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, store: Store, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per text: words, words hit, items found, their digest, and whether it is contaminated."""
     n_words = F.size(F.array_remove(F.split(blank(F.col("text")), BETWEEN), "")).cast("long")
     numbered = docs.select("doc_id", "text", n_words.alias("n_words"))
-    out, hits, items = search(numbered, benchmark, block_bytes=block_bytes)
+    out, hits, items = search(numbered, benchmark, store, block_bytes=block_bytes)
     return out.select(
         "doc_id", "n_words", F.size(hits).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(items), ",").cast("binary"), 256).alias("items_sha256"),
         (F.size(hits) > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, store: Store, text: str = "text") -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark, with their columns."""
-    out, hits, _ = search(docs, benchmark, text)
+    out, hits, _ = search(docs, benchmark, store, text)
     return out.where(F.size(hits) == 0).select(*docs.columns)

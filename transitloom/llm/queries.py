@@ -56,7 +56,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontam.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontam.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"), store_and_reload)
 
 
 def op10_pii_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
