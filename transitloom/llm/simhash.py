@@ -11,7 +11,8 @@ held by very many fingerprints are dealt out as pairs of pieces, so no task hold
 `near_duplicates` links texts by the Jaccard similarity of their word shingles, for a pipeline. Texts at
 a similarity of 0.8 differ in about ten bits, beyond the reach of a whole-text fingerprint. So each text has
 several fingerprints, each the SimHash of a small sample of its shingles, drawn alike from equal shingles.
-Texts that share one are compared by their whole sets of shingles.
+Texts that share one are compared by their whole sets of shingles: each with a few others first, which joins nearly
+all copies, then all holders of a fingerprint that are not yet of one class.
 
 Nulls: a null text has no words, and the fingerprint zero. A null id is ignored by the minimum of a component;
 a component of null ids has a null id. Rows that repeat share a fingerprint. Empty tables give empty results.
@@ -20,7 +21,7 @@ a component of null ids has a null id. Rows that repeat share a fingerprint. Emp
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +221,9 @@ def classes(docs: DataFrame, store: Store, k: int = 3) -> DataFrame:
 # ---- near-duplicates by similarity -------------------------------------------------------------------
 VIEWS = 16
 SAMPLE = 4
+# Bounds of a piece of the holders of one fingerprint whose sets meet in one task.
+PIECE_SETS = 512
+PIECE_GRAMS = 2**18
 MIX = np.random.default_rng(21).integers(0, 2**63, size=VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -241,7 +245,7 @@ def views(h: np.ndarray) -> np.ndarray:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs of keys worth comparing (src, dst), from rows of a key and its fingerprints by view.
+    """Pairs of keys to compare first (src, dst), from rows of a key and its fingerprints by view.
 
     The holders of a fingerprint are each paired with the smallest of them and with the one before them in two other
     orders, so candidates follow the holders and not their pairs. Orders are formed in slices of a large group,
@@ -256,12 +260,18 @@ def candidates(signed: DataFrame) -> DataFrame:
         F.least("key", "other").alias("src"), F.greatest("key", "other").alias("dst")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, store: Store, k: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets are that similar. `texts` has a text for each key of the pairs."""
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """The sorted hashes of the different shingles of each text, as bytes (key, grams)."""
 
-    def grams(batch: pa.RecordBatch) -> list[pa.Array]:
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([np.unique(hashes(t, k)).astype("<u8").tobytes() for t in as_bytes(batch, "text")], pa.binary())]
 
+    return add_columns(texts.select("key", "text"), ROWS, ["grams"], "grams binary", work).drop("text")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets are that similar. `sets` has one for each key of the pairs."""
+
     def compare(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for a, b in zip(as_bytes(batch, "a"), as_bytes(batch, "b"), strict=True):
@@ -270,12 +280,74 @@ def verified(pairs: DataFrame, texts: DataFrame, store: Store, k: int, similarit
             out.append(both / (len(x) + len(y) - both))
         return [pa.array(out, pa.float64())]
 
-    sets = store(add_columns(texts.select("key", "text"), ROWS, ["grams"], "grams binary", grams).drop("text"), "near-grams")
     full = pairs.join(sets.select(F.col("key").alias("src"), F.col("grams").alias("a")), "src").join(
         sets.select(F.col("key").alias("dst"), F.col("grams").alias("b")), "dst").select("src", "dst", "a", "b")
     return add_columns(full, ROWS, ["jaccard"], "jaccard double", compare).where(F.col("jaccard") >= similarity).select("src", "dst")
 
 
+def set_forest(sets: list[np.ndarray], tree: np.ndarray, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is similar in one group, as positions. `tree` tells what is connected before.
+
+    Sets are visited in order of size, so each meets only those that are not too large to be similar. With `side`,
+    only pairs of different sides are compared.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in order])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    tree = tree[order]
+    held = np.zeros(len(names), dtype=bool)
+    out = []
+    for i in range(len(order) - 1):
+        end = i + 1 + np.count_nonzero(sizes[i] / sizes[i + 1:] >= similarity)
+        near = tree[i + 1:end] != tree[i]
+        if side is not None:
+            near &= side[order[i + 1:end]] != side[order[i]]
+        if not near.any():
+            continue
+        mine = flat[starts[i]:starts[i + 1]]
+        held[mine] = True
+        both = np.add.reduceat(held[flat[starts[i + 1]:starts[end]]], starts[i + 1:end] - starts[i + 1], dtype=np.int64)
+        held[mine] = False
+        for j in np.flatnonzero(near & (both / (sizes[i] + sizes[i + 1:end] - both) >= similarity)) + i + 1:
+            if tree[j] != tree[i]:
+                out.append((int(order[i]), int(order[j])))
+                tree[tree == tree[j]] = tree[i]
+    return out
+
+
+def remaining(distinct: DataFrame, sets: DataFrame, roots: DataFrame, store: Store, similarity: float) -> DataFrame:
+    """Links between the classes found so far, by all holders of each fingerprint that joins several (src, dst).
+
+    The holders are dealt out as pairs of pieces of bounded size, so no task holds all of a large group. Two holders
+    have been compared already.
+    """
+    sized = sets.select("key", F.expr("octet_length(grams) DIV 8").alias("size")).join(distinct.select("key", "signs"), "key")
+    placed = store(sized.join(roots, F.col("key") == F.col("node"), "left").select("key", "size", "signs", F.coalesce("root", "key").alias("root")), "near-placed")
+    held = placed.select("key", "size", "root", F.explode("signs").alias("sign"))
+    crowd = held.groupBy("sign").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams_held"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low <> high")
+    pieces = F.greatest(F.ceil(F.col("n") / PIECE_SETS), F.ceil(F.col("grams_held") / PIECE_GRAMS)).cast("int")
+    met = held.join(crowd.select("sign", pieces.alias("pieces")), "sign").withColumn("piece", F.pmod(F.xxhash64("key"), "pieces").cast("int"))
+    lower = F.transform(F.sequence(F.lit(0), F.col("piece")), lambda o: F.struct(o.alias("a"), F.col("piece").alias("b")))
+    upper = F.transform(F.sequence(F.col("piece"), F.col("pieces") - 1), lambda o: F.struct(F.col("piece").alias("a"), o.alias("b")))
+    dealt = met.select("sign", "key", "root", "piece", F.array_distinct(F.concat(lower, upper)).alias("pairs")).join(sets, "key").select(
+        "sign", "root", "piece", "grams", F.explode("pairs").alias("pair")).select("sign", "pair.a", "pair.b", "piece", "root", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, a, b), group in groupby(rows, key=lambda r: r[:3]):
+            piece, root, grams = zip(*(r[3:] for r in group), strict=True)
+            tree = np.unique(np.array(root, dtype=object), return_inverse=True)[1]
+            found = set_forest([np.frombuffer(g, "<u8") for g in grams], tree, similarity, np.array(piece) if a != b else None)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f(root[i], root[j]) for i, j in found], pa.binary()) for f in (min, max)], names=["src", "dst"])
+
+    arrow_rows(distinct.sparkSession, ROWS)
+    return dealt.repartition("sign", "a", "b").sortWithinPartitions("sign", "a", "b").mapInArrow(run, "src binary, dst binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, store: Store, k: int = 5, similarity: float = 0.8) -> tuple[DataFrame, str, str]:
     """`docs` with two more columns, whose names are returned too: the smallest doc_id of the row's class of near
     copies, and a key of the class.
@@ -298,8 +370,13 @@ def near_duplicates(docs: DataFrame, store: Store, k: int = 5, similarity: float
     # one row for each wanted text, that with its smallest id
     texts = keyed.select(F.col(fold).alias("own"), F.col("doc_id").alias("id"), "text").join(
         wanted, (F.col("own") == F.col("key")) & F.col("id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"])
-    roots = components(verified(pairs, texts, store, k, similarity), store)
+    sets = store(shingle_sets(texts, k), "near-grams")
+    roots = components(verified(pairs, sets, similarity), store)
     rooted = distinct.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    more = store(remaining(distinct, sets, roots, store, similarity), "near-more")
+    if not more.isEmpty():
+        joined = components(more, store).select("node", F.col("root").alias("joined"))
+        rooted = rooted.join(joined, F.col("root") == F.col("node"), "left").select("key", "least", F.coalesce("joined", "root").alias("root"))
     rooted = store(rooted, "near-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
     of = rooted.join(named, "root").select(F.col("key").alias(mine), F.col("smallest").alias(least), F.hex("root").alias(kind))
