@@ -61,3 +61,24 @@ def test_set_forest_joins_what_all_pairs_join():
             for i, j in links:
                 root = [root[i] if r == root[j] else r for r in root]
             assert all(root[i] == root[j] for i, j in near)
+
+
+def test_short_texts_at_the_bound_share_a_sign():
+    rng = np.random.default_rng(10)
+    for common, mine, other in [(4, 0, 1), (8, 1, 1), (4, 1, 0), (12, 0, 3), (16, 2, 2), (50, 12, 0), (60, 5, 10), (60, 15, 0), (63, 0, 15), (1, 0, 0)]:
+        for _ in range(200):
+            x = rng.integers(0, 2**64, common + mine + other, dtype=np.uint64)
+            a, b = np.sort(x[:common + mine]), np.sort(np.concatenate([x[:common], x[common + mine:]]))
+            assert set(simhash.signs(a, 0.8)) & set(simhash.signs(b, 0.8))
+
+
+def test_short_texts_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = ["a", "a b c d e", "a b c d e f"]
+    for i in range(60):
+        words = [f"w{i}_{j}" for j in range(rng.integers(4, 90))]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(words[1:]), " ".join([*words[:-2], "x", "y", "z"])]
+    texts += [" ".join(f"t{j}" for j in range(8)), " ".join(f"t{j}" for j in range(9))]
+    want = brute(texts)
+    assert want[-1] == want[-2] and len(set(want)) > 60
+    assert found(spark, texts) == want

@@ -10,7 +10,8 @@ held by very many fingerprints are dealt out as pairs of pieces, so no task hold
 
 `near_duplicates` links texts by the Jaccard similarity of their word shingles, for a pipeline. Texts at
 a similarity of 0.8 differ in about ten bits, beyond the reach of a whole-text fingerprint. So each text has
-several fingerprints, each the SimHash of a small sample of its shingles, drawn alike from equal shingles.
+several fingerprints, each the SimHash of a small sample of its shingles, drawn alike from equal shingles. Texts of few
+shingles have the smallest of their hashes instead, of which two similar ones always share one.
 Texts that share one are compared by their whole sets of shingles: each with a few others first, which joins nearly
 all copies, then all holders of a fingerprint that are not yet of one class.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations, groupby
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +223,8 @@ def classes(docs: DataFrame, store: Store, k: int = 3) -> DataFrame:
 # ---- near-duplicates by similarity -------------------------------------------------------------------
 VIEWS = 16
 SAMPLE = 4
+# Texts of fewer different shingles meet by an exact key.
+FEW = 64
 # Bounds of a piece of the holders of one fingerprint whose sets meet in one task.
 PIECE_SETS = 512
 PIECE_GRAMS = 2**18
@@ -229,21 +233,30 @@ MIX = np.random.default_rng(21).integers(0, 2**63, size=VIEWS, dtype=np.uint64)
 
 def views(h: np.ndarray) -> np.ndarray:
     """For each view the SimHash of the few shingles that come first in its order: equal for equal samples."""
-    if len(h) <= SAMPLE:
-        first = np.broadcast_to(h, (VIEWS, len(h)))
-    else:
-        first = np.empty((VIEWS, SAMPLE), dtype=np.uint64)
-        for v, m in enumerate(MIX):
-            order = h * m
-            order ^= order >> np.uint64(29)
-            order *= np.uint64(0x9E3779B97F4A7C15)
-            first[v] = h[np.argpartition(order, SAMPLE - 1)[:SAMPLE]]
-        # a view's sample is told from the same shingles drawn in another view
-        first = first ^ MIX[:, None]
+    first = np.empty((VIEWS, min(SAMPLE, len(h))), dtype=np.uint64)
+    for v, m in enumerate(MIX):
+        order = h * m
+        order ^= order >> np.uint64(29)
+        order *= np.uint64(0x9E3779B97F4A7C15)
+        first[v] = h[np.argpartition(order, first.shape[1] - 1)[:SAMPLE]]
+    # a view's sample is told from the same shingles drawn in another view
+    first ^= MIX[:, None]
     bits = np.unpackbits(np.ascontiguousarray(first).astype("<u8").view(np.uint8).reshape(VIEWS, -1, 8), axis=2, bitorder="little")
     return np.packbits(2 * bits.sum(axis=1) > first.shape[1], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def signs(h: np.ndarray, similarity: float) -> np.ndarray:
+    """What a text of the sorted hashes `h` shares with similar texts.
+
+    Two similar sets share one of the smallest hashes of each, as many as the larger side may lack and one more. Texts
+    of FEW shingles have those instead of views; texts that can be similar to them have both.
+    """
+    n = len(h)
+    fewest = ceil(similarity * n - 1e-9)
+    exact = h[:n - fewest + 1] if n and fewest < FEW else h[:0]
+    return np.concatenate([exact, views(h)]) if n >= FEW else exact
+
+
 def candidates(signed: DataFrame) -> DataFrame:
     """Pairs of keys to compare first (src, dst), from rows of a key and its fingerprints by view.
 
@@ -251,7 +264,7 @@ def candidates(signed: DataFrame) -> DataFrame:
     orders, so candidates follow the holders and not their pairs. Orders are formed in slices of a large group,
     so none is sorted in one task.
     """
-    held = signed.select("key", F.explode("signs").alias("sign"), F.element_at("signs", -1).alias("one"), F.element_at("signs", -2).alias("two"))
+    held = signed.select("key", F.explode("signs").alias("sign"), F.element_at("signs", -1).alias("one"), F.try_element_at("signs", F.lit(-2)).alias("two"))
     crowd = held.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1")
     met = held.join(crowd, "sign").withColumn("slice", F.pmod(F.xxhash64("one"), F.ceil(F.col("n") / PIECE)))
     group = W.partitionBy("sign", "slice")
@@ -361,7 +374,7 @@ def near_duplicates(docs: DataFrame, store: Store, k: int = 5, similarity: float
 
     def sign(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [np.unique(hashes(t, k)) for t in as_bytes(batch, "text")]
-        return [pa.array([views(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
+        return [pa.array([signs(s, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
     signed = add_columns(keyed.select(F.col(fold).alias("key"), "doc_id", "text"), ROWS, ["signs"], "signs array<bigint>", sign)
     distinct = store(store(signed.drop("text"), "near-signs").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("signs").alias("signs")), "near-texts")
