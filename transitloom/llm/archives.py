@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitloom.llm.text import arrow_rows, as_bytes
+from transitloom.llm.text import as_bytes, sliced
 
 ARC_RECORDS = 256
 WARC_RECORDS = 2000
@@ -91,12 +91,9 @@ def legacy_archives(pages: DataFrame) -> DataFrame:
 
     The table has no dates; a record's date is its page id in seconds after the start of 2020.
     """
-    arrow_rows(pages.sparkSession, ARC_RECORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        for n, batch in enumerate(sliced(batches, ARC_RECORDS)):
             ids, urls = (batch.column(i).to_pylist() for i in (0, 1))
             version, name = n % 2 + 1, f"pages-{ids[0]}-{n}.arc"
             out = [arc_version_block(name, version, "20200101000000")]
@@ -115,7 +112,6 @@ RECORDS = "page_id bigint, url string, date string, record_id string, head binar
 
 def arc_records(archives: DataFrame) -> DataFrame:
     """The records of ARC files (rows with their whole content), with the identifiers and digests a WARC record has."""
-    arrow_rows(archives.sparkSession, ARC_RECORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,10 +162,8 @@ def warc_record(r: dict) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    arrow_rows(records.sparkSession, ROWS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             made = [warc_record(r)[:-1] for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
@@ -228,7 +222,6 @@ PAGES = "page_id bigint, payload_bytes bigint, payload_digest string, record_typ
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives below a path. A response's digest is computed anew and must be right."""
-    arrow_rows(spark, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitloom.llm.text import arrow_rows
+from transitloom.llm.text import sliced
 
 ROWS = 1024
 
@@ -91,7 +91,6 @@ def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
 
     Rows of a conversation stay together and in order within their partition.
     """
-    arrow_rows(turns.sparkSession, ROWS)
     blank = {c: F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")}
     sorted_ = turns.select("conv_id", "turn", blank["role"], blank["text"]).repartition("conv_id").sortWithinPartitions(
         "conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -106,7 +105,7 @@ def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True)],
                 names=["conv_id", "segment", "text", "loss", "problem"])
 
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if machine is None or conv != now:
                     if machine is not None:
@@ -166,11 +165,10 @@ def parse(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     Turns come from the marks in the joined text, not from the borders of segments. Takes what
     `segments` returns, whose rows are in order within their partitions.
     """
-    arrow_rows(formatted.sparkSession, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = None
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             rows = []
             for conv, at, text, loss, problem in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at == 0:

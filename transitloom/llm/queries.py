@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitloom.llm import archives, chat, decontam, lines, mixing, pii, quality, secrets, simhash, tokens
+from transitloom.llm import archives, chat, decontam, langid, lines, mixing, pii, quality, secrets, simhash, tokens, vectorcodes, whitening
 from transitloom.session import scratch_path, store_and_reload
 
 
@@ -63,9 +63,23 @@ def op10_pii_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(table(spark, folder, "documents"), store_and_reload)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, folder, "embeddings"), store_and_reload)
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings"), store_and_reload)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.held_out(table(spark, folder, "documents"), store_and_reload)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_simhash_near_dedup, op3_line_dedup, op4_quality_rules, op5_secret_scan, op6_chat_format,
-    op7_arc_to_warc, op8_token_counts, op9_benchmark_decontamination, op10_pii_weak_supervision)}
+    op7_arc_to_warc, op8_token_counts, op9_benchmark_decontamination, op10_pii_weak_supervision,
+    op11_vector_codes, op12_embedding_whitening, op13_language_id)}
 
 # ---- the checks --------------------------------------------------------------------------------------
 # White space between words; the engine of the checks reads the same classes.
@@ -212,9 +226,44 @@ SELECT doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.
   sha256(coalesce(items, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN words ON words.row = d.row LEFT JOIN items ON items.row = d.row"""
 
+_PART = f"x[p * (len(x) // {vectorcodes.PARTS}) + 1:(p + 1) * (len(x) // {vectorcodes.PARTS})]"
+_PLACES = f"range(0, {vectorcodes.PARTS}) places(p)"
+
+
+def _nearest_sql(book: str) -> str:
+    """Squared distance and entry of the nearest in one number, so that ties go to the lower entry."""
+    apart = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i])))"
+    return f"SELECT row, p, any_value(v) AS v, min(CAST({apart} AS BIGINT) * 256 + k) AS near FROM part JOIN {book} USING (p) GROUP BY row, p"
+
+
+def _refined_sql(near: str, book: str) -> str:
+    mean = "list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i)"
+    return f"""
+SELECT p, k, coalesce(m.e, b.e) AS e FROM {book} b LEFT JOIN (
+  SELECT p, k, {mean} AS e FROM (
+    SELECT p, near % 256 AS k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM {near}) GROUP BY p, near % 256, i)
+  GROUP BY p, k) m USING (p, k)"""
+
+
+CODES_SQL = f"""
+WITH usable AS (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * {vectorcodes.SCALE}) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+part AS (SELECT row, p, {_PART} AS v FROM usable, {_PLACES}),
+first AS (SELECT x, row_number() OVER (ORDER BY vec_id, x) - 1 AS k FROM usable QUALIFY k < {vectorcodes.ENTRIES}),
+book0 AS (SELECT p, k, {_PART} AS e FROM first, {_PLACES}),
+near0 AS ({_nearest_sql("book0")}), book1 AS ({_refined_sql("near0", "book0")}),
+near1 AS ({_nearest_sql("book1")}), book2 AS ({_refined_sql("near1", "book1")}),
+near2 AS ({_nearest_sql("book2")}),
+coded AS (
+  SELECT row, string_agg(printf('%02x', near % 256), '' ORDER BY p) AS code, CAST(sum(near // 256) AS BIGINT) AS error FROM near2 GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN usable USING (row), digest"""
+
 DOCUMENTS_SQL = {
     "op1_mix_sources": MIX_SQL, "op3_line_dedup": LINES_SQL, "op4_quality_rules": QUALITY_SQL,
     "op5_secret_scan": SECRETS_SQL, "op9_benchmark_decontamination": DECONTAM_SQL,
 }
 ORACLE = {name: sql.replace("{documents}", "documents").replace("{{", "{").replace("}}", "}").strip() for name, sql in DOCUMENTS_SQL.items()}
-ORACLE |= {"op6_chat_format": CHAT_SQL.strip(), "op7_arc_to_warc": WARC_SQL.strip()}
+ORACLE |= {"op6_chat_format": CHAT_SQL.strip(), "op7_arc_to_warc": WARC_SQL.strip(), "op11_vector_codes": CODES_SQL.strip()}

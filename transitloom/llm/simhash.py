@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from transitloom.llm.text import add_columns, arrow_rows, as_bytes, free_name, words
+from transitloom.llm.text import add_columns, as_bytes, free_name, sliced, words
 
 Store = Callable[[DataFrame, str], DataFrame]
 SEED = 42
@@ -175,7 +175,6 @@ def links(distinct: DataFrame, store: Store) -> DataFrame:
         if held:
             yield flush(held)
 
-    arrow_rows(distinct.sparkSession, 8192)
     grouped = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return grouped.mapInArrow(run, "src long, dst long").distinct()
 
@@ -348,7 +347,7 @@ def remaining(distinct: DataFrame, sets: DataFrame, roots: DataFrame, store: Sto
         "sign", "root", "piece", "grams", F.explode("pairs").alias("pair")).select("sign", "pair.a", "pair.b", "piece", "root", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = (r for batch in sliced(batches, ROWS) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for (_, a, b), group in groupby(rows, key=lambda r: r[:3]):
             piece, root, grams = zip(*(r[3:] for r in group), strict=True)
             tree = np.unique(np.array(root, dtype=object), return_inverse=True)[1]
@@ -357,7 +356,6 @@ def remaining(distinct: DataFrame, sets: DataFrame, roots: DataFrame, store: Sto
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f(root[i], root[j]) for i, j in found], pa.binary()) for f in (min, max)], names=["src", "dst"])
 
-    arrow_rows(distinct.sparkSession, ROWS)
     return dealt.repartition("sign", "a", "b").sortWithinPartitions("sign", "a", "b").mapInArrow(run, "src binary, dst binary").distinct()
 
 

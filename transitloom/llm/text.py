@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -90,9 +90,12 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of one Arrow batch, so that a batch of long texts fits in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows. What a worker makes of a batch is bounded by this; the size of the batches that
+    Spark sends stays as the session has it, as a setting would reach every other query of the session too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -105,11 +108,10 @@ def add_columns(df: DataFrame, rows: int, names: list[str], types: str,
 
     `names` must be free in `df`; `types` is their schema in the same order.
     """
-    arrow_rows(df.sparkSession, rows)
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(types).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, rows):
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch)], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from transitloom.llm.archives import unzipped
-from transitloom.llm.text import arrow_rows, as_bytes
+from transitloom.llm.text import as_bytes, sliced
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary cuts a text before merging.
@@ -43,11 +43,10 @@ def encoder(path: str):
 
 def write_flat(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> None:
     """Token files below `kind=tokens`, and below `kind=ids` files of the same names with the ids in the same order."""
-    arrow_rows(docs.sparkSession, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at = encoder(vocabulary).encode_ordinary, 0
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             ids, texts = (c.to_pylist() for c in batch.columns)
             flat = [np.array(encode(t or ""), dtype=">u2").tobytes() for t in texts]
             numbers = range(at, at + len(ids))
@@ -67,7 +66,6 @@ def blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tok
 
     A file that doesn't end with a separator gets one behind its end.
     """
-    arrow_rows(spark, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +122,6 @@ IDS = "file string, number long, doc_id long"
 
 def ids(spark: SparkSession, path: str, separator: int = SEPARATOR) -> DataFrame:
     """The ids beside flat files: file, number in the file, doc_id."""
-    arrow_rows(spark, 1)
     mark = separator.to_bytes(2, "big")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
