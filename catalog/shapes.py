@@ -122,7 +122,7 @@ SELECT segment_id, geom, copies, id, {dist('pax + (pbx - pax) * t0', 'pay + (pby
 cte("x_inside", "SELECT segment_id, geom, id, any_value(copies) AS copies, sum(m) AS m FROM x_clip GROUP BY segment_id, geom, id")
 D3 = {"inside_m": 3}
 add("g11_intersection_length_m",
-    lambda T: sp.line_polygon_intersects(sp.distinct_segments(T.segments, T.routes), sp.LINE, sp.prepare_areas(T.areas), "id").select("segment_id", "id", "inside_m"),
+    lambda T: sp.line_polygon_intersects(sp.distinct_segments(T.segments, T.routes), sp.LINE, sp.area_cover(T.areas, "id"), "id").select("segment_id", "id", "inside_m"),
     f"SELECT segment_id, CAST(id AS BIGINT) AS id, {r('m', 'inside_m', 3)} FROM x_inside", **D3)
 W = "(1 - 0.0066943799901413165 * pow(sin(radians(latitude)), 2))"
 cte("x_disc", f"""
@@ -292,7 +292,7 @@ SELECT DISTINCT n.poi_id, n.name, n.team, n.longitude, n.latitude, t.route_id FR
 JOIN x_routes r ON r.route_id = t.route_id WHERE n.e <= 600 AND r.route_type = '3'""")
 add("j10_dwithin", lambda T: _near_routes(T).select("poi_id", "name", "route_id"), "SELECT CAST(poi_id AS BIGINT) AS poi_id, name, route_id FROM x_near_routes")
 add("j11_line_polygon_intersects",
-    lambda T: T.areas.select("id").join(sp.line_polygon_intersects(sp.distinct_segments(T.segments, T.routes), sp.LINE, sp.prepare_areas(T.areas), "id"), "id", "left").select("id", "segment_id"),
+    lambda T: T.areas.select("id").join(sp.line_polygon_intersects(sp.distinct_segments(T.segments, T.routes), sp.LINE, sp.area_cover(T.areas, "id"), "id"), "id", "left").select("id", "segment_id"),
     "SELECT CAST(a.id AS BIGINT) AS id, segment_id FROM x_areas a LEFT JOIN x_inside i ON i.id = a.id")
 # disc clipping by its 32 half-planes: vertices run clockwise, so inside is to the right
 cte("x_near_disc", f"""
@@ -304,7 +304,7 @@ SELECT poi_id, segment_id, geom, any_value(copies) AS copies,
         FROM (SELECT a.poi_id, a.lon, a.lat, b.lon - a.lon AS ex, b.lat - a.lat AS ey FROM x_disc a JOIN x_disc b ON b.poi_id = a.poi_id AND b.k = (a.k + 1) % 32) h, x_line_edges l)
   GROUP BY poi_id, segment_id, geom, copies, pax, pay, pbx, pby) WHERE NOT outside AND t0 <= t1 GROUP BY poi_id, segment_id, geom""")
 add("j12_poi_buffer_intersects",
-    lambda T: sp.poi_buffer_intersects(T.pois, T.segments, T.routes).select("poi_id", "segment_id", "copies", "inside_m"),
+    lambda T: sp.poi_buffer_intersects(T.pois, T.usage, T.routes).select("poi_id", "segment_id", "copies", "inside_m"),
     f"SELECT CAST(p.poi_id AS BIGINT) AS poi_id, segment_id, copies, {r('m', 'inside_m', 3)} FROM x_pois p LEFT JOIN x_near_disc n ON n.poi_id = p.poi_id", **D3)
 cte("x_dense", "SELECT * FROM x_areas WHERE population_density > (SELECT quantile_cont(population_density, 0.75) FROM x_areas)")
 cte("x_through", "SELECT DISTINCT i.id, s.route_id FROM x_inside i JOIN x_bus_segments s ON s.stop1_id || s.stop2_id = i.segment_id AND s.geom = i.geom JOIN x_dense d ON d.id = i.id")
@@ -317,7 +317,7 @@ FROM x_near_routes n JOIN x_through t ON t.route_id = n.route_id JOIN x_dense d
 
 def _links(T):
     dense = sp.high_density_areas(T.areas)
-    return sp.poi_area_connectivity(_near_routes(T), sp.routes_through_areas(T.segments, T.routes, dense), dense, T.segments)
+    return sp.poi_area_connectivity(_near_routes(T), sp.routes_through_areas(T.usage, T.routes, dense), dense, T.usage)
 
 
 add("j13_poi_area_connectivity",

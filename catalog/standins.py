@@ -308,6 +308,10 @@ class Transit:
     def segments(self) -> DataFrame:
         return pt.route_segments(self.trips, self.stop_times, self.stops, self.shapes, self.stage)
 
+    @stored_view
+    def usage(self) -> DataFrame:
+        return sp.segment_usage(self.segments)
+
     @staticmethod
     def stage(df: DataFrame) -> DataFrame:
         return store_and_reload(df, "stage")
@@ -365,8 +369,8 @@ class Transit:
     def connectivity(self) -> DataFrame:
         dense = sp.high_density_areas(self.areas)
         near = sp.routes_near_pois(self.pois, self.stops, self.stop_times, self.trips, self.routes)
-        through = sp.routes_through_areas(self.segments, self.routes, dense)
-        return sp.poi_area_connectivity(near, through, dense, self.segments)
+        through = sp.routes_through_areas(self.usage, self.routes, dense)
+        return sp.poi_area_connectivity(near, through, dense, self.usage)
 
     @stored_view
     def speed_layer(self) -> DataFrame:

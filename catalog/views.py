@@ -78,14 +78,14 @@ add("v09_route_lines", lambda T: pl.route_lines(T.routes, T.segments).select("ro
 
 
 def _overlay(T):
-    return pl.poi_population_overlay(T.pois, T.areas, T.segments, T.stops, T.stop_times, T.trips, T.routes)
+    return pl.poi_population_overlay(T.pois, T.areas, T.segments, T.stops, T.stop_times, T.trips, T.routes, T.stage)
 
 
 add("v10_poi_population_overlay", _overlay,
     f"""SELECT {STATS}, {SCORE}, coalesce(n.k, 0) AS num_segments_near_poi, {r('coalesce(n.m / 1000, 0)', 'route_length_km_near_poi', 3)} FROM x_stats
         LEFT JOIN (SELECT poi_id AS pid, count(DISTINCT segment_id) AS k, sum(m * copies) AS m FROM x_near_disc GROUP BY 1) n ON n.pid = poi_id""",
     connectivity_score_segments_per_million=4, route_length_km_near_poi=3, **SD)
-add("v11_connecting_routes", lambda T: pl.connecting_routes(T.pois, T.areas, T.segments, T.stops, T.stop_times, T.trips, T.routes),
+add("v11_connecting_routes", lambda T: pl.connecting_routes(T.pois, T.areas, T.segments, T.stops, T.stop_times, T.trips, T.routes, T.stage),
     f"""SELECT CAST(poi_id AS BIGINT) AS poi_id, l.name AS poi_name, team, CAST(id AS BIGINT) AS area_id, {r('population_density', 'population_density', 3)}, l.route_id,
         r.route_short_name, r.route_long_name, segs AS num_segments, {r('km', 'total_route_length_km', 3)} FROM x_links l JOIN x_routes r ON r.route_id = l.route_id""",
     population_density=3, total_route_length_km=3)

@@ -90,7 +90,7 @@ def test_clipping_agrees_with_the_topology_library(spark):
     # along an edge, touching a corner, inside the hole, outside everything
     lines |= {"edge": [(0.0, 0.0), (0.5, 0.0)], "corner": [(-1.0, 2.0), (0.0, 1.0)], "in_hole": [(0.45, 0.45), (0.55, 0.55)], "away": [(5.0, 5.0), (6.0, 6.0)]}
     made = l.make_line(lines_df(spark, lines), "id", "i").select(F.col("id").alias("line"), F.col("line").alias("seg_geom"))
-    got = {(r.line, r.id): r.inside_m for r in sp.line_polygon_intersects(made, ["line"], sp.prepare_areas(areas_df(spark, areas)), "id", cell=0.13).collect()}
+    got = {(r.line, r.id): r.inside_m for r in sp.line_polygon_intersects(made, ["line"], sp.area_cover(areas_df(spark, areas), "id", cell=0.13), "id", cell=0.13).collect()}
     metres = lambda geom: sum(_metres(geom.getGeometryN(i)) for i in range(geom.getNumGeometries()))
     ring = lambda pts: "(" + ", ".join(f"{x!r} {y!r}" for x, y in pts) + ")"
     for name, parts in areas.items():
@@ -103,6 +103,33 @@ def test_clipping_agrees_with_the_topology_library(spark):
     assert got[("edge", "holed")] > 0 and got[("corner", "holed")] == 0 and ("in_hole", "holed") not in got
 
 
+def test_a_long_boundary_over_many_cells(spark):
+    """A polygon of 10,000 vertices with a hole, over more than 1,000 cells."""
+    turn = lambda k, n: 2 * math.pi * (k % n) / n
+    radius = lambda a: 0.5 + 0.05 * math.sin(11 * a) + 0.01 * math.sin(301 * a)
+    ring = [(math.cos(turn(k, 10000)) * radius(turn(k, 10000)), math.sin(turn(k, 10000)) * radius(turn(k, 10000))) for k in range(10001)]
+    hole = [(0.2 * math.cos(turn(k, 500)), 0.2 * math.sin(turn(k, 500))) for k in range(501)]
+    areas = areas_df(spark, {"big": [[ring, hole]]})
+    cover = sp.area_cover(areas, "id", cell=0.025)
+    seen = cover.select(F.count("*"), F.max(F.size("edges")), F.count_if("inside"), F.count_if(F.size("edges") == 0)).first()
+    assert seen[0] > 1000 and seen[1] < 400 and seen[2] > 900 and seen[3] > 700
+    rng = random.Random(17)
+    lines = {f"l{k}": [(rng.uniform(-0.7, 0.7), rng.uniform(-0.7, 0.7)) for _ in range(3)] for k in range(60)}
+    lines |= {"in_hole": [(-0.1, 0.1), (0.1, 0.02)], "in_ring": [(0.3, 0.0), (0.31, 0.3)], "grid": [(-0.7, 0.025), (0.7, 0.025)], "point": [(0.3, 0.01)], "off": [(0.01, 0.01)]}
+    made = l.make_line(lines_df(spark, lines), "id", "i").select(F.col("id").alias("line"), F.col("line").alias("seg_geom"))
+    met = sp.line_polygon_intersects(made, ["line"], cover, "id", cell=0.025)
+    got = {r.line: r.inside_m for r in met.collect()}
+    text = lambda pts: "(" + ", ".join(f"{x!r} {y!r}" for x, y in pts) + ")"
+    poly = jts(spark, "POLYGON(" + text(ring) + ", " + text(hole) + ")")
+    for k, pts in lines.items():
+        shape = jts(spark, "LINESTRING" + text(pts) if len(pts) > 1 else "POINT" + text(pts))
+        assert (k in got) == shape.intersects(poly), k
+        if k in got and len(pts) > 1:
+            inner = shape.intersection(poly)
+            assert got[k] == pytest.approx(sum(_metres(inner.getGeometryN(i)) for i in range(inner.getNumGeometries())), rel=1e-6, abs=1e-3), k
+    assert got["point"] == 0 and "off" not in got and "in_hole" not in got and got["in_ring"] > 0
+
+
 def _metres(geom):
     c = geom.getCoordinates()
     total = 0.0

@@ -215,17 +215,6 @@ def ring_edges(multipolygon) -> Column:
     return F.flatten(F.transform(F.flatten(_col(multipolygon)), vertex_pairs))
 
 
-def box(edges) -> Column:
-    """Bounding box of boundary edges: ``struct<min_x, min_y, max_x, max_y>``."""
-    edges = _col(edges)
-    xs = F.transform(edges, lambda e: e["x1"])
-    ys = F.transform(edges, lambda e: e["y1"])
-    return F.struct(
-        F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"),
-        F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"),
-    )
-
-
 def on_boundary(edges, x, y) -> Column:
     edges, x, y = map(_col, (edges, x, y))
     return F.exists(edges, lambda e: (
@@ -270,35 +259,58 @@ def cut_shares(edges, x1, y1, x2, y2) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), found)))
 
 
-def clipped_length_m(edges, x1, y1, x2, y2) -> Column:
-    """Ellipsoidal length of the part of a segment inside (or on) a polygon."""
-    edges, x1, y1, x2, y2 = map(_col, (edges, x1, y1, x2, y2))
-    cuts = cut_shares(edges, x1, y1, x2, y2)
+def covers_from(edges, inside, rx, ry, x, y) -> Column:
+    """Whether a polygon covers a point, from the edges near it and whether it covers a reference point.
+
+    The point is inside if the way from the reference point crosses the boundary an even number of times
+    and that is inside, or an odd number of times and that is not. The edges need only be those the
+    way can meet. The boundary counts as inside.
+    """
+    edges, inside, rx, ry, x, y = map(_col, (edges, inside, rx, ry, x, y))
+    left = lambda ax, ay, bx, by, px, py: (bx - ax) * (py - ay) - (by - ay) * (px - ax) > 0
+    crossed = F.filter(edges, lambda e: (
+        (left(rx, ry, x, y, e["x1"], e["y1"]) != left(rx, ry, x, y, e["x2"], e["y2"]))
+        & (left(e["x1"], e["y1"], e["x2"], e["y2"], rx, ry) != left(e["x1"], e["y1"], e["x2"], e["y2"], x, y))
+    ))
+    return ((F.size(crossed) % 2 == 1) != inside) | on_boundary(edges, x, y)
+
+
+def cuts_between(edges, x1, y1, x2, y2, a, b) -> Column:
+    """``a``, ``b`` and the shares of a segment between them at which it meets the boundary edges, sorted."""
+    a, b = map(_col, (a, b))
+    within = F.filter(cut_shares(edges, x1, y1, x2, y2), lambda t: (t > a) & (t < b))
+    return F.array_sort(F.array_distinct(F.concat(F.array(a, b), within)))
+
+
+def covered_shares(cuts, covers) -> Column:
+    """The parts between consecutive cuts whose middle ``covers`` (a function of a share) holds for: ``array<struct<a, b>>``."""
+    cuts = _col(cuts)
     n = F.size(cuts) - 1
-    spans = F.zip_with(F.slice(cuts, F.lit(1), n), F.slice(cuts, F.lit(2), n),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    at_x = lambda t: x1 + (x2 - x1) * t
-    at_y = lambda t: y1 + (y2 - y1) * t
-    inside = F.filter(spans, lambda s: covers_point(
-        edges, at_x((s["a"] + s["b"]) / 2), at_y((s["a"] + s["b"]) / 2)))
-    return _sum(F.transform(inside, lambda s: distance_spheroid(
-        at_x(s["a"]), at_y(s["a"]), at_x(s["b"]), at_y(s["b"]))))
+    spans = F.zip_with(F.slice(cuts, F.lit(1), n), F.slice(cuts, F.lit(2), n), lambda u, v: F.struct(u.alias("a"), v.alias("b")))
+    return F.filter(spans, lambda s: covers((s["a"] + s["b"]) / 2))
 
 
-def segment_meets_polygon(edges, x1, y1, x2, y2) -> Column:
-    """True if a segment has a point in common with the polygon, touching included."""
-    edges, x1, y1, x2, y2 = map(_col, (edges, x1, y1, x2, y2))
-    dx, dy = x2 - x1, y2 - y1
+def touched_share(cuts, covers) -> Column:
+    """The first cut that ``covers`` holds for, as a part of length zero; no part if there is none."""
+    return F.transform(F.slice(F.filter(_col(cuts), covers), 1, 1), lambda t: F.struct(t.alias("a"), t.alias("b")))
+
+
+def at_share(p, q, t: Column) -> Column:
+    """The coordinate at a share of a segment; its ends are taken as they are, without rounding."""
+    p, q = map(_col, (p, q))
+    return F.when(t == 1, q).otherwise(p + (q - p) * t)
 
-    def crossing(e: Column) -> Column:
-        ex, ey = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        qx, qy = e["x1"] - x1, e["y1"] - y1
-        cross = dx * ey - dy * ex
-        t = F.try_divide(qx * ey - qy * ex, cross)
-        s = F.try_divide(qx * dy - qy * dx, cross)
-        return (cross != 0) & s.between(0.0, 1.0) & t.between(0.0, 1.0)
 
-    return covers_point(edges, x1, y1) | covers_point(edges, x2, y2) | F.exists(edges, crossing)
+def shares_length_m(spans, x1, y1, x2, y2) -> Column:
+    """Ellipsoidal length of the given parts of a segment; parts that adjoin are measured as one."""
+    x1, y1, x2, y2 = map(_col, (x1, y1, x2, y2))
+    spans = F.array_sort(_col(spans))
+    apart = 1e-12
+    begins = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["b"] < s["a"] - apart))
+    ends = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["a"] > s["b"] + apart))
+    at_x = lambda t: x1 + (x2 - x1) * t
+    at_y = lambda t: y1 + (y2 - y1) * t
+    return _sum(F.zip_with(begins, ends, lambda s, e: distance_spheroid(at_x(s["a"]), at_y(s["a"]), at_x(e["b"]), at_y(e["b"]))))
 
 
 def area_m2(multipolygon) -> Column:
@@ -387,3 +399,78 @@ def grid_cells(min_x, min_y, max_x, max_y, size: float) -> Column:
             lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")),
         ),
     ))
+
+
+def _between(low: Column, high: Column) -> Column:
+    """Whole numbers from low to high; none if high is below low."""
+    return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+
+def cell_pieces(x1, y1, x2, y2, size: float) -> Column:
+    """A segment cut at the grid lines: ``array<struct<a, b, cx, cy>>``, shares of the segment and the cell they lie in."""
+    x1, y1, x2, y2 = map(_col, (x1, y1, x2, y2))
+    index = lambda v: F.floor(v / size)
+
+    def lines(p: Column, q: Column) -> Column:
+        return F.transform(_between(index(F.least(p, q)) + 1, index(F.greatest(p, q))), lambda k: (k * F.lit(size) - p) / (q - p))
+
+    found = F.filter(F.concat(lines(x1, x2), lines(y1, y2)), lambda t: (t > 0) & (t < 1))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), found)))
+    n = F.size(cuts) - 1
+
+    def piece(a: Column, b: Column) -> Column:
+        t = (a + b) / 2
+        return F.struct(a.alias("a"), b.alias("b"), index(x1 + (x2 - x1) * t).alias("cx"), index(y1 + (y2 - y1) * t).alias("cy"))
+
+    return F.zip_with(F.slice(cuts, F.lit(1), n), F.slice(cuts, F.lit(2), n), piece)
+
+
+def edge_cells(edge, size: float) -> Column:
+    """Every grid cell an edge comes near: ``array<struct<cx, cy>>``, column by column.
+
+    Cells reach out by a thousandth of their size, so rounding never hides an edge from a cell it touches.
+    """
+    e = _col(edge)
+    reach = size * 1e-3
+    left, right = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
+    index = lambda v: F.floor(v / size)
+    rise = F.try_divide(e["y2"] - e["y1"], e["x2"] - e["x1"])
+
+    def column(cx: Column) -> Column:
+        steep = right - left < reach
+        at = lambda x: e["y1"] + (x - e["x1"]) * rise
+        p = F.when(steep, e["y1"]).otherwise(at(F.greatest(left, cx * F.lit(size) - reach)))
+        q = F.when(steep, e["y2"]).otherwise(at(F.least(right, (cx + 1) * F.lit(size) + reach)))
+        return F.transform(_between(index(F.least(p, q) - reach), index(F.greatest(p, q) + reach)),
+                           lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(_between(index(left - reach), index(right + reach)), column))
+
+
+# A point of each cell, as a share of its size, that lies on no grid line and no round coordinate.
+CELL_X, CELL_Y = 0.3819660112501051, 0.7236067977499789
+
+
+def cell_x(cx, size: float) -> Column:
+    return (_col(cx) + CELL_X) * F.lit(size)
+
+
+def cell_y(cy, size: float) -> Column:
+    return (_col(cy) + CELL_Y) * F.lit(size)
+
+
+def edge_rows(edge, size: float) -> Column:
+    """Rows of the grid whose reference points are level with an edge, with the place where it crosses that level: ``array<struct<cy, x>>``."""
+    e = _col(edge)
+    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    rows = _between(F.floor(low / size - CELL_Y), F.ceil(high / size - CELL_Y))
+    crossed = F.filter(rows, lambda cy: (e["y1"] > cell_y(cy, size)) != (e["y2"] > cell_y(cy, size)))
+    return F.transform(crossed, lambda cy: F.struct(
+        cy.alias("cy"), (e["x1"] + (cell_y(cy, size) - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"])).alias("x")))
+
+
+def columns_between(x1, x2, size: float) -> Column:
+    """Columns of the grid whose reference points lie from ``x1`` up to, not at, ``x2``."""
+    x1, x2 = map(_col, (x1, x2))
+    wide = _between(F.floor(x1 / size - CELL_X), F.ceil(x2 / size - CELL_X))
+    return F.filter(wide, lambda cx: (cell_x(cx, size) >= x1) & (cell_x(cx, size) < x2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitloom.functions import geometry as g
@@ -69,44 +69,56 @@ def routes_near_pois(pois: DataFrame, stops: DataFrame, stop_times: DataFrame, t
     return near.join(served, "stop_id").select("poi_id", "name", "team", "longitude", "latitude", "route_id").distinct()
 
 
-def prepare_areas(areas: DataFrame, geom: str = "geom") -> DataFrame:
-    """Add boundary edges and bounding box to polygon rows, once per area."""
-    return areas.withColumn("edges", g.ring_edges(geom)).withColumn("bbox", g.box("edges"))
+def area_cover(areas: DataFrame, area_key: str, geom: str = "geom", cell: float = AREA_CELL) -> DataFrame:
+    """The grid cells of polygons: a row (area, ``__cell``) with the boundary edges near the cell and whether the
+    area covers the cell's reference point. Cells an area neither covers nor borders have no row.
 
-
-def line_polygon_intersects(lines: DataFrame, line_keys: list[str], areas: DataFrame, area_key: str,
+    Edges are dealt out one by one, so no whole boundary is ever moved or copied. Which reference points
+    are inside is read off the crossings of each row of the grid: between the first and the
+    second, the third and the fourth, and so on.
+    """
+    edges = areas.select(area_key, F.explode(g.ring_edges(geom)).alias("e"))
+    near = edges.select(area_key, F.explode(g.edge_cells("e", cell)).alias("__cell"), "e", F.lit(False).alias("inside"))
+    crossed = edges.select(area_key, F.inline(g.edge_rows("e", cell)))
+    along = Window.partitionBy(area_key, "cy").orderBy("x")
+    runs = crossed.withColumns({"__n": F.row_number().over(along), "__until": F.lead("x").over(along)}).where(F.col("__n") % 2 == 1)
+    filled = runs.select(area_key, "cy", F.explode(g.columns_between("x", "__until", cell)).alias("cx")).select(
+        area_key, F.struct("cx", "cy").alias("__cell"), F.lit(None).cast(near.schema["e"].dataType).alias("e"), F.lit(True).alias("inside"))
+    return near.unionByName(filled).groupBy(area_key, "__cell").agg(
+        F.collect_list("e").alias("edges"), F.bool_or("inside").alias("inside"))
+
+
+def line_polygon_intersects(lines: DataFrame, line_keys: list[str], cover: DataFrame, area_key: str,
                             geom: str = "seg_geom", cell: float = AREA_CELL) -> DataFrame:
     """Pairs of lines and areas that meet, with the length of the line inside.
 
-    ``areas`` comes from ``prepare_areas``. Line edges and area boxes meet in grid cells; a pair that
-    shares several cells is tested only in the one holding the corner of their common box, so no
-    distinct step is needed. A line that is a single point is tested as an edge of length zero.
+    ``cover`` comes from ``area_cover`` with the same cell size. Line edges are cut at the grid lines, and each
+    piece meets the areas of its one cell and only the boundary edges there. The pieces of an edge
+    that lie inside are put together again before they are measured. A line that is a single point
+    is tested as an edge of length zero.
     """
     point = F.get(F.col(geom), F.lit(0))
     lone = F.array(F.struct(point["lon"].alias("x1"), point["lat"].alias("y1"), point["lon"].alias("x2"), point["lat"].alias("y2")))
     edges = lines.select(
-        *line_keys, F.explode(F.when(F.size(geom) > 1, g.vertex_pairs(geom)).when(F.size(geom) == 1, lone)).alias("e")
-    ).select(
-        *line_keys, "e.x1", "e.y1", "e.x2", "e.y2",
-        F.least("e.x1", "e.x2").alias("__ax"), F.least("e.y1", "e.y2").alias("__ay"),
-        F.greatest("e.x1", "e.x2").alias("__bx"), F.greatest("e.y1", "e.y2").alias("__by"),
-    )
-    edges = edges.withColumn("__cell", F.explode(g.grid_cells("__ax", "__ay", "__bx", "__by", cell)))
-    spread = areas.select(area_key, "edges", "bbox").withColumn(
-        "__cell", F.explode(g.grid_cells("bbox.min_x", "bbox.min_y", "bbox.max_x", "bbox.max_y", cell)))
-    overlap = (
-        (F.col("__ax") <= F.col("bbox.max_x")) & (F.col("__bx") >= F.col("bbox.min_x"))
-        & (F.col("__ay") <= F.col("bbox.max_y")) & (F.col("__by") >= F.col("bbox.min_y"))
-    )
-    home = (
-        (F.floor(F.greatest("__ax", "bbox.min_x") / cell) == F.col("__cell.cx"))
-        & (F.floor(F.greatest("__ay", "bbox.min_y") / cell) == F.col("__cell.cy"))
-    )
-    pairs = edges.join(spread, "__cell").where(overlap & home)
-    tested = pairs.where(g.segment_meets_polygon("edges", "x1", "y1", "x2", "y2")).select(
-        *line_keys, area_key, g.clipped_length_m("edges", "x1", "y1", "x2", "y2").alias("__m")
-    )
-    return tested.groupBy(*line_keys, area_key).agg(F.sum("__m").alias("inside_m"))
+        *line_keys, F.posexplode(F.when(F.size(geom) > 1, g.vertex_pairs(geom)).when(F.size(geom) == 1, lone)).alias("__no", "e"))
+    pieces = edges.select(*line_keys, "__no", "e", F.explode(g.cell_pieces("e.x1", "e.y1", "e.x2", "e.y2", cell)).alias("p")).select(
+        *line_keys, "__no", "e", "p.a", "p.b", F.struct("p.cx", "p.cy").alias("__cell"))
+
+    def covers(t: Column) -> Column:
+        return g.covers_from("edges", "inside", g.cell_x("__cell.cx", cell), g.cell_y("__cell.cy", cell),
+                             g.at_share("e.x1", "e.x2", t), g.at_share("e.y1", "e.y2", t))
+
+    # columns that are used more than once are made step by step, so each is computed once
+    pairs = pieces.join(cover, "__cell").withColumn("cuts", F.when(
+        F.size("edges") > 0, g.cuts_between("edges", "e.x1", "e.y1", "e.x2", "e.y2", "a", "b")))
+    pairs = pairs.withColumn("covered", F.when(F.col("cuts").isNull(), F.array(F.struct("a", "b"))).otherwise(g.covered_shares("cuts", covers)))
+    found = pairs.select(*line_keys, area_key, "__no", "e", F.when(F.size("covered") > 0, F.col("covered")).otherwise(
+        g.touched_share("cuts", covers)).alias("spans"))
+    # dealt out by line and area once, which serves both sums
+    by_edge = found.repartition(*line_keys, area_key).groupBy(*line_keys, area_key, "__no").agg(
+        F.any_value("e").alias("e"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return by_edge.where(F.size("spans") > 0).groupBy(*line_keys, area_key).agg(
+        F.sum(g.shares_length_m("spans", "e.x1", "e.y1", "e.x2", "e.y2")).alias("inside_m"))
 
 
 LINE = ["segment_id", "geom_key"]
@@ -122,6 +134,21 @@ def distinct_segments(segments: DataFrame, routes: DataFrame | None = None) -> D
     )
 
 
+def segment_usage(segments: DataFrame) -> DataFrame:
+    """Per route, distinct (segment key, geometry) with how often the route uses it and the metres that makes.
+
+    A layer that looks at the segments in several ways stores this, a row for each route and line, and reads no trip twice.
+    """
+    return segments.where(F.col("seg_geom").isNotNull()).groupBy(
+        "route_id", s.segment_key("stop1_id", "stop2_id").alias("segment_id"), "geom_key").agg(
+        F.count("*").alias("copies"), F.sum("seg_length").alias("metres"), F.any_value("seg_geom").alias("seg_geom"))
+
+
+def used_lines(usage: DataFrame) -> DataFrame:
+    """The distinct lines of a usage table, as ``distinct_segments`` finds them in the segments."""
+    return usage.groupBy(*LINE).agg(F.sum("copies").alias("copies"), F.any_value("seg_geom").alias("seg_geom"))
+
+
 def population_layer(areas: DataFrame) -> DataFrame:
     """Areas with a positive density and their ellipsoidal size."""
     return areas.where(F.col("geom").isNotNull() & (F.col("population_density") > 0)).select(
@@ -138,7 +165,7 @@ def poi_layer(pois: DataFrame) -> DataFrame:
 def population_coverage(segments: DataFrame, routes: DataFrame, areas: DataFrame) -> DataFrame:
     """Per area: distinct bus segments, kilometres inside it, kilometres per square kilometre."""
     usable = areas.where(F.col("geom").isNotNull() & F.col("population_density").isNotNull() & F.col("a").isNotNull())
-    met = line_polygon_intersects(distinct_segments(segments, routes), LINE, prepare_areas(usable), "id")
+    met = line_polygon_intersects(distinct_segments(segments, routes), LINE, area_cover(usable, "id"), "id")
     per_area = met.groupBy("id").agg(
         F.countDistinct("segment_id").alias("num_segments"), (F.sum("inside_m") / 1000).alias("route_length_km")
     )
@@ -159,33 +186,28 @@ def high_density_areas(areas: DataFrame, share: float = 0.75) -> DataFrame:
     return areas.where(F.col("geom").isNotNull() & (F.col("population_density") > limit))
 
 
-def routes_through_areas(segments: DataFrame, routes: DataFrame, areas: DataFrame) -> DataFrame:
+def routes_through_areas(usage: DataFrame, routes: DataFrame, areas: DataFrame) -> DataFrame:
     """Bus routes meeting each area. Geometry is tested once per distinct segment, not per route or trip."""
-    met = line_polygon_intersects(distinct_segments(segments, routes), LINE, prepare_areas(areas), "id").select(*LINE, "id")
-    used = (
-        bus_only(segments.where(F.col("seg_geom").isNotNull()), routes)
-        .select(s.segment_key("stop1_id", "stop2_id").alias("segment_id"), "geom_key", "route_id").distinct()
-    )
-    return used.join(met, LINE).select("id", "route_id").distinct()
-
+    used = bus_only(usage, routes)
+    met = line_polygon_intersects(used_lines(used), LINE, area_cover(areas, "id"), "id").select(*LINE, "id")
+    return used.select(*LINE, "route_id").join(met, LINE).select("id", "route_id").distinct()
 
-def route_lengths(segments: DataFrame) -> DataFrame:
-    from transitloom.operators.layers import route_statistics
 
-    return route_statistics(segments).select(
-        "route_id", F.col("total_segments").alias("connecting_segments"),
-        F.col("total_length_km").alias("direct_route_length_km"),
+def route_lengths(usage: DataFrame) -> DataFrame:
+    return usage.groupBy("route_id").agg(
+        F.countDistinct("segment_id").alias("connecting_segments"),
+        (F.coalesce(F.sum("metres"), F.lit(0.0)) / 1000).alias("direct_route_length_km"),
     )
 
 
-def poi_area_connectivity(near_routes: DataFrame, through: DataFrame, areas: DataFrame, segments: DataFrame) -> DataFrame:
+def poi_area_connectivity(near_routes: DataFrame, through: DataFrame, areas: DataFrame, usage: DataFrame) -> DataFrame:
     """One row per (point of interest, dense area, connecting route), with route statistics."""
     facts = areas.select("id", "population_density", F.col("pop").cast("double").alias("population"),
                          g.centroid("geom").alias("__c"))
     return (
         near_routes.join(through, "route_id")
         .join(facts, "id")
-        .join(route_lengths(segments), "route_id", "left")
+        .join(route_lengths(usage), "route_id", "left")
         .select(
             "poi_id", F.col("name").alias("poi_name"), "team", F.col("id").alias("area_id"),
             "population_density", "population", "route_id",
@@ -217,20 +239,18 @@ def poi_connectivity_stats(connectivity: DataFrame) -> DataFrame:
     return stats.join(per_area, keys, "left")
 
 
-def poi_buffer_intersects(pois: DataFrame, segments: DataFrame, routes: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
+def poi_buffer_intersects(pois: DataFrame, usage: DataFrame, routes: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
     """Distinct segments meeting the buffer of each point of interest; buses, or routes without a record."""
     known = routes.select("route_id", "route_type")
-    rows = segments.where(F.col("seg_geom").isNotNull()).join(known, "route_id", "left").where(
-        (F.col("route_type") == s.BUS) | F.col("route_type").isNull()
-    )
+    rows = usage.join(known, "route_id", "left").where((F.col("route_type") == s.BUS) | F.col("route_type").isNull())
     discs = pois.select("poi_id", g.buffer_polygon("longitude", "latitude", radius_m).alias("geom"))
-    lines = distinct_segments(rows)
-    met = line_polygon_intersects(lines, LINE, prepare_areas(discs), "poi_id")
+    lines = used_lines(rows)
+    met = line_polygon_intersects(lines, LINE, area_cover(discs, "poi_id"), "poi_id")
     return pois.select("poi_id").join(met.join(lines.select(*LINE, "copies"), LINE), "poi_id", "left")
 
 
-def poi_transit_coverage(pois: DataFrame, segments: DataFrame, routes: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
-    return poi_buffer_intersects(pois, segments, routes, radius_m).groupBy("poi_id").agg(
+def poi_transit_coverage(pois: DataFrame, usage: DataFrame, routes: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
+    return poi_buffer_intersects(pois, usage, routes, radius_m).groupBy("poi_id").agg(
         F.countDistinct("segment_id").alias("num_segments_near_poi"),
         F.coalesce(F.sum(F.col("inside_m") * F.col("copies")) / 1000, F.lit(0.0)).alias("route_length_km_near_poi"),
     )

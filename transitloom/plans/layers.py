@@ -28,25 +28,31 @@ def route_lines(routes: DataFrame, segments: DataFrame) -> DataFrame:
     return l.collect_lines(bus_only(segments, routes))
 
 
+Stage = Callable[[DataFrame], DataFrame]
+
+
 def poi_population_overlay(pois: DataFrame, areas: DataFrame, segments: DataFrame, stops: DataFrame,
-                           stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
-    """How each point of interest is tied to dense areas by bus, and the service around it."""
-    dense = sp.high_density_areas(areas)
+                           stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stage: Stage = lambda df: df) -> DataFrame:
+    """How each point of interest is tied to dense areas by bus, and the service around it.
+
+    ``stage`` stores the table of lines in use, the dense areas and the links, which are read several times.
+    """
+    dense, usage = stage(sp.high_density_areas(areas)), stage(sp.segment_usage(segments))
     near = sp.routes_near_pois(pois, stops, stop_times, trips, routes)
-    through = sp.routes_through_areas(segments, routes, dense)
-    stats = sp.poi_connectivity_stats(sp.poi_area_connectivity(near, through, dense, segments))
-    around = sp.poi_transit_coverage(pois, segments, routes)
+    through = sp.routes_through_areas(usage, routes, dense)
+    stats = sp.poi_connectivity_stats(stage(sp.poi_area_connectivity(near, through, dense, usage)))
+    around = sp.poi_transit_coverage(pois, usage, routes)
     return sp.connectivity_score(stats.join(around, "poi_id", "left"))
 
 
 def connecting_routes(pois: DataFrame, areas: DataFrame, segments: DataFrame, stops: DataFrame,
-                      stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+                      stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stage: Stage = lambda df: df) -> DataFrame:
     """Every bus route that links a point of interest with a dense area, with its full extent."""
-    dense = sp.high_density_areas(areas)
+    dense, usage = stage(sp.high_density_areas(areas)), stage(sp.segment_usage(segments))
     near = sp.routes_near_pois(pois, stops, stop_times, trips, routes)
-    through = sp.routes_through_areas(segments, routes, dense)
-    extent = y.route_statistics(bus_only(segments, routes)).select(
-        "route_id", F.col("total_segments").alias("num_segments"), F.col("total_length_km").alias("total_route_length_km"))
+    through = sp.routes_through_areas(usage, routes, dense)
+    extent = sp.route_lengths(bus_only(usage, routes)).select(
+        "route_id", F.col("connecting_segments").alias("num_segments"), F.col("direct_route_length_km").alias("total_route_length_km"))
     return (
         near.join(through, "route_id")
         .join(dense.select("id", "population_density"), "id")
