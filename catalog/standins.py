@@ -201,7 +201,7 @@ class Transit:
         )
 
     # ---- side inputs ----------------------------------------------------------------------
-    @cached_property
+    @stored_view
     def areas(self) -> DataFrame:
         k = F.col("n_nationkey")
         boxes = self.read("nation").select(

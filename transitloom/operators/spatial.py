@@ -245,8 +245,8 @@ def poi_buffer_intersects(pois: DataFrame, usage: DataFrame, routes: DataFrame,
     rows = usage.join(known, "route_id", "left").where((F.col("route_type") == s.BUS) | F.col("route_type").isNull())
     discs = pois.select("poi_id", g.buffer_polygon("longitude", "latitude", radius_m).alias("geom"))
     lines = used_lines(rows)
-    met = line_polygon_intersects(lines, LINE, area_cover(discs, "poi_id"), "poi_id")
-    return pois.select("poi_id").join(met.join(lines.select(*LINE, "copies"), LINE), "poi_id", "left")
+    met = line_polygon_intersects(lines, [*LINE, "copies"], area_cover(discs, "poi_id"), "poi_id")
+    return pois.select("poi_id").join(met, "poi_id", "left")
 
 
 def poi_transit_coverage(pois: DataFrame, usage: DataFrame, routes: DataFrame, radius_m: float = NEAR_M) -> DataFrame:
