@@ -35,6 +35,9 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, bench, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             after = store_and_reload(stage(spark, docs, str(tmp_path)), name)
             assert name == "mix_sources" or after.columns == docs.columns
+            if name == "quality_rules":
+                # what stays has the values it came with, those named like results too
+                assert {str(r) for r in after.collect()} <= {str(r) for r in docs.collect()}
             docs = after
 
 
@@ -51,8 +54,10 @@ def test_copies_are_one_page_and_shared_lines_go(spark):
 def test_values_of_odd_rows(odd, bench):
     got = {(r.doc_id, r.n_words): r for r in decontam.report(odd, bench, store_and_reload).collect()}
     assert got[1, 90].n_hit == 90 and got[2, 0].n_hit == 0 and got[3, 20000].n_hit > 0
-    kept = quality.judge(odd).collect()
-    assert all(not r.kept for r in kept if r.doc_id != 3 and r.doc_id != 4)
+    judged = quality.judge(odd)
+    assert judged.columns == [*odd.columns, *(c + "_" if c in ("kept", "n_words") else c for c in quality.RESULTS)]
+    kept = judged.collect()
+    assert all(not r.kept_ and (r.kept, r.n_words) == (1, 2) for r in kept if r.doc_id != 3 and r.doc_id != 4)
     near, least, _ = simhash.near_duplicates(odd, store_and_reload)
     assert {r[least] for r in near.collect() if r.doc_id in (3, 4)} == {3}
 
@@ -91,8 +96,8 @@ def test_archives_of_both_versions(spark):
 def test_blocks_are_stitched(spark, odd):
     path = scratch_path(spark, "tokens-test")
     tokens.write_flat(odd.coalesce(1), path)
-    whole = tokens.documents(tokens.blocks(spark, f"{path}/kind=tokens")).collect()
-    small = tokens.documents(tokens.blocks(spark, f"{path}/kind=tokens", block_tokens=7)).collect()
+    whole = tokens.documents(tokens.blocks(tokens.files_of(spark, path, "tokens"))).collect()
+    small = tokens.documents(tokens.blocks(tokens.files_of(spark, path, "tokens"), block_tokens=7)).collect()
     assert len(whole) == odd.count() and sorted(whole) == sorted(small)
     assert sorted(r.n_tokens for r in tokens.counts(spark, path).collect()) == sorted(r.n_tokens for r in whole)
 

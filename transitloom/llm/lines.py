@@ -2,7 +2,7 @@
 
 The pages of a host that hold a line, divided by the pages of the host; lines above the ratio are
 boilerplate there and are dropped wherever they occur on that host. A line without a word is never dropped.
-A line must also be on FEWEST pages, so a host with a handful of pages keeps its texts. Rows of one host
+What stands on a single page is no boilerplate, whatever the size of the host. Rows of one host
 with equal texts are one page: a text does not become boilerplate by being copied.
 
 Nulls: a null host is a host of its own; a null text stays null and counts as an empty page. Rows that repeat
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from transitloom.llm.text import SPACES, free_name
 
 RATIO = 0.05
-FEWEST = 5
+# A line is shared from its second page on.
+FEWEST = 2
 
 
 def _lines(text: Column) -> Column:

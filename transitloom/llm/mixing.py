@@ -4,8 +4,8 @@ Van der Corput points are mapped through the cumulative target shares, so every
 holds the sources in proportion. Slots are ranked within their source and take its blocks in that order:
 equal numbers of words of the shuffled source, passed over again where the target exceeds its size.
 
-Nulls: a null text has no words, a null source is a source of its own and comes last, a null id shuffles
-as an empty one. Rows that repeat stay apart. A text without words, and every row of an empty table, takes nothing.
+Nulls: a null text has no words, a null source is a source of its own and comes last, a text with a null id
+is placed in the shuffle by its content. Rows that repeat stay apart. A text without words, and every row of an empty table, takes nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def sizes(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Words of each text, and the place of the text in the shuffle of its source."""
     return docs.select(
         "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("place"),
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).cast("binary")).alias("place"),
     )
 
 
@@ -56,9 +56,9 @@ def targets(sized: DataFrame) -> DataFrame:
     per = per.withColumn("target", F.when(F.col("full_at") < F.col("common"), F.col("stop").cast("double"))
                          .otherwise(F.col("common") * F.col("weight")))
     upto = W.orderBy("s")
-    per = per.withColumn("high", F.sum("target").over(upto) / F.sum("target").over(everyone))
+    per = per.withColumn("high", F.coalesce(F.try_divide(F.sum("target").over(upto), F.sum("target").over(everyone)), F.lit(0.0)))
     quota, blocks = F.floor("target"), F.ceil(F.col("source_size") / BLOCK)
-    whole = F.floor(quota / F.col("source_size"))
+    whole = F.floor(F.try_divide(quota, F.col("source_size")))
     return per.select(
         "s", "source", "source_size", "target", F.coalesce(F.lag("high").over(upto), F.lit(0.0)).alias("low"), "high",
         quota.alias("quota"), blocks.alias("blocks"),
@@ -132,7 +132,10 @@ def mix(docs: DataFrame, store: Callable[[DataFrame, str], DataFrame], unused: b
 
 
 def taken(docs: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """For each row of the input, the words that the mix takes of it, repeats counted."""
+    """For each row of the input, the words that the mix takes of it, repeats counted, with the first slot of the
+    schedule that takes any and the number of slots that do."""
+    used = F.when(F.col("taken") > 0, F.col("slot"))
     return mix(docs, store, unused=True).groupBy("s", "shard", "number").agg(
         *(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("taken").alias("taken"),
-    ).select("doc_id", "size", "source_size", "target", "taken")
+        F.min(used).alias("first_slot"), F.count(used).alias("n_slots"),
+    ).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")

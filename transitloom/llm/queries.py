@@ -27,7 +27,7 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(table(spark, folder, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+    return quality.judged(table(spark, folder, "documents")).select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     more = spark.range(1).select(F.explode(F.array(*(
         F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
         for n, role in enumerate(("user", "assistant"))))).alias("t")).select("t.*")
-    return chat.parse(chat.segments(turns.unionByName(more))).drop("problem")
+    return chat.parse(chat.segments(turns.unionByName(more)))
 
 
 def op7_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +92,7 @@ def words_sql(text: str) -> str:
 
 MIX_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, len({words_sql('text')}) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM {{documents}}),
+  SELECT row_number() OVER () AS row, doc_id, source, len({words_sql('text')}) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS place FROM {{documents}}),
 per AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM per),
 levels AS (
@@ -102,12 +102,30 @@ levels AS (
 common AS (SELECT arg_min(level, full_at) AS common FROM levels WHERE full_at >= level),
 goal AS (
   SELECT source, source_size, CASE WHEN full_at < common THEN CAST(3 * source_size AS DOUBLE) ELSE common * weight END AS target FROM levels, common),
+share AS (
+  SELECT *, sum(target) OVER w / sum(target) OVER () AS high, CAST(ceil(source_size / {mixing.BLOCK}) AS BIGINT) AS blocks, max(rank) OVER () AS top FROM (
+    SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM goal) WINDOW w AS (ORDER BY rank)),
+point AS (
+  SELECT slot, list_sum(list_transform(range(0, {mixing.BITS}), lambda b: ((slot >> b) & 1) / pow(2, b + 1))) AS x
+  FROM range(0, CAST(ceil((SELECT sum(size) FROM sized) / {mixing.BLOCK}) AS BIGINT)) slots(slot)),
+drawn AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM point JOIN (SELECT *, coalesce(lag(high) OVER (ORDER BY rank), 0) AS low FROM share) ON x >= low AND (x < high OR rank = top)),
+needed AS (
+  SELECT *, unnest(range(0, CAST(3 * blocks AS BIGINT))) AS k FROM share),
+ranked AS (
+  SELECT n.source, n.k // n.blocks AS pass, n.k % n.blocks AS block, coalesce(d.slot, (SELECT count(*) FROM point) + n.k) AS slot
+  FROM needed n LEFT JOIN drawn d ON d.source IS NOT DISTINCT FROM n.source AND d.rank = n.k),
 placed AS (
-  SELECT s.doc_id, s.size, CAST(g.source_size AS BIGINT) AS source_size, g.target,
+  SELECT s.row, s.doc_id, s.source, s.size, CAST(g.source_size AS BIGINT) AS source_size, g.target,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS begin
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(sum(greatest(least(size, floor(target) - p * source_size - begin), 0)) AS BIGINT) AS taken
-FROM placed, range(0, 3) passes(p) GROUP BY doc_id, size, source_size, target, begin"""
+SELECT doc_id, size, source_size, target, CAST(sum(part) AS BIGINT) AS taken, min(slot) FILTER (part > 0) AS first_slot, count(slot) FILTER (part > 0) AS n_slots
+FROM (
+  SELECT p.*, slot, greatest(least(begin + size, (block + 1) * {mixing.BLOCK}, floor(target) - pass * source_size) - greatest(begin, block * {mixing.BLOCK}), 0) AS part
+  FROM placed p LEFT JOIN ranked r ON r.source IS NOT DISTINCT FROM p.source AND p.size > 0
+    AND (block + 1) * {mixing.BLOCK} > begin AND block * {mixing.BLOCK} < begin + size)
+GROUP BY row, doc_id, size, source_size, target"""
 
 LINES_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, *, string_split(coalesce(text, ''), chr(10)) AS lines FROM {{documents}}),
@@ -189,14 +207,23 @@ SELECT first(d.doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
 FROM d LEFT JOIN judged j ON j.row = d.row GROUP BY d.row"""
 
 CHAT_SQL = """
-WITH t AS (
+WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+moved AS (
+  SELECT *, row_number() OVER w AS n, lag(role) OVER w AS prev, lead(n) OVER w IS NULL AS last
+  FROM (SELECT *, 0 AS n FROM said) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+t AS (
+  SELECT *, CASE WHEN n = 1 THEN role NOT IN ('system', 'user')
+    ELSE (prev, role) NOT IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) END AS wrong,
+    CASE role WHEN '' THEN 'no role' ELSE role END || ' after ' || CASE WHEN n = 1 OR prev = '' THEN 'the start' ELSE prev END AS move
+  FROM moved)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(24 + length(role) + len(regexp_extract_all(role, '[\\\\|\\n]')) + length(text) + len(regexp_extract_all(text, '<\\\\*\\|'))) AS BIGINT) AS formatted_chars
+  CAST(sum(24 + length(role) + len(regexp_extract_all(role, '[\\\\|\\n]')) + length(text) + len(regexp_extract_all(text, '<\\\\*\\|'))) AS BIGINT) AS formatted_chars,
+  coalesce(arg_min(move, n) FILTER (wrong), 'ends with ' || arg_max(role, n) FILTER (last AND role <> 'assistant')) AS problem
 FROM t GROUP BY conv_id"""
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

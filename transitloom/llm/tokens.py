@@ -5,8 +5,8 @@ and nothing else: no index, no lengths. The scan looks at a block of the file at
 are found in one vector comparison. A prefix scan over the blocks adds the tokens and separators before each, and
 stitches documents that cross a border.
 
-Nulls: a null text has no tokens, a null id stays null. Rows that repeat are documents each. Without
-documents no file has any, and the result is empty.
+Nulls: a null text has no tokens, a null id stays null. Ids are whole numbers: the files beside the tokens hold them as
+digits, which the separator cannot be part of. Rows that repeat are documents each. Without documents no file is written, and the result is empty.
 """
 
 from __future__ import annotations
@@ -61,8 +61,15 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, separat
         "lineSep", separator.to_bytes(2, "big").decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
 
 
-def blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row for each block of the files below a path: its length and the positions of its separators.
+def files_of(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """File name and content of the files of one kind below a path; none where no document was written."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    kept = found.where(F.col("kind") == kind) if "kind" in found.columns else found.limit(0)
+    return kept.select(F.regexp_extract("path", r"(part-[^/]*)$", 1).alias("file"), "content")
+
+
+def blocks(files: DataFrame, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row for each block of flat files (file, content): its length and the positions of its separators.
 
     A file that doesn't end with a separator gets one behind its end.
     """
@@ -79,9 +86,7 @@ def blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tok
                 if not closed:
                     yield _block(name, n, 1, np.zeros(1, dtype=np.int64))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    name = F.regexp_extract("path", r"(part-[^/]*)$", 1)
-    return files.select(name.alias("file"), "content").mapInArrow(run, "file string, block long, tokens long, seps array<bigint>")
+    return files.mapInArrow(run, "file string, block long, tokens long, seps array<bigint>")
 
 
 def _block(name: str, n: int, tokens: int, seps: np.ndarray) -> pa.RecordBatch:
@@ -120,7 +125,7 @@ def documents(scanned: DataFrame) -> DataFrame:
 IDS = "file string, number long, doc_id long"
 
 
-def ids(spark: SparkSession, path: str, separator: int = SEPARATOR) -> DataFrame:
+def ids(files: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """The ids beside flat files: file, number in the file, doc_id."""
     mark = separator.to_bytes(2, "big")
 
@@ -132,11 +137,10 @@ def ids(spark: SparkSession, path: str, separator: int = SEPARATOR) -> DataFrame
                     [pa.array([name] * len(told), pa.string()), pa.array(range(len(told)), pa.int64()),
                      pa.array([int(x) if x else None for x in told], pa.int64())], names=["file", "number", "doc_id"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"(part-[^/]*)$", 1).alias("file"), "content").mapInArrow(run, IDS)
+    return files.mapInArrow(run, IDS)
 
 
 def counts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and n_tokens of every document in the flat files that `write_flat` has put below a path."""
-    found = documents(blocks(spark, f"{path}/kind=tokens"))
-    return found.join(ids(spark, f"{path}/kind=ids"), ["file", "number"], "full").select("doc_id", "n_tokens")
+    found = documents(blocks(files_of(spark, path, "tokens")))
+    return found.join(ids(files_of(spark, path, "ids")), ["file", "number"], "full").select("doc_id", "n_tokens")
