@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+import re
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from catalog import registry
 from catalog.registry import add, cte, r
 from catalog.standins import POSITION_TIES
 from transitloom.functions import geometry as g
 from transitloom.functions import scalars as s
 from transitloom.operators import metrics as k
 from transitloom.operators import moving as m
-
 from transitloom.session import scratch_path
-from transitloom.sources import census, feed, gtfs, tables
+from transitloom.sources import census, feed, gtfs, landed, tables
 from transitloom.streaming import feeds
 
 SEQ = "CAST(stop_sequence AS BIGINT) AS stop_sequence"
@@ -176,12 +177,46 @@ add("c17_retain_by_range", lambda T: tables.retain_by_range(_aging(T), "entity_t
 def _retained(T):
     """The aged positions as a stored table, after the deletion of what is older than a cutoff at noon."""
     path = scratch_path(T.spark, "retained")
-    tables.write_snapshot(_aging(T).withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp")), path, part=tables.DATE_COLUMN)
-    tables.retain_snapshot(T.spark, path, F.col("entity_timestamp") < F.lit(NOW - timedelta(days=4, hours=12)), tables.DATE_COLUMN)
-    return tables.read_snapshot(T.spark, path, tables.DATE_COLUMN).select("tie1")
+    tables.write_snapshot(_aging(T), path, ["tie1"])
+    tables.retain_snapshot(T.spark, path, F.col("entity_timestamp") < F.lit(NOW - timedelta(days=4, hours=12)), "trip_id")
+    return tables.read_snapshot(T.spark, path).select("tie1")
 
 
 add("c16_retain_stored", _retained, "SELECT tie1 FROM x_aging WHERE t IS NULL OR t >= TIMESTAMP '2024-01-15 12:00:00'")
+
+
+def _landed_folder(T):
+    path = scratch_path(T.spark, "landed")
+    tables.append_sink(_aging(T), path)
+    return path
+
+
+def _landed_after(T, delete):
+    path = _landed_folder(T)
+    delete(path)
+    return T.spark.read.parquet(path).select("tie1")
+
+
+add("c16_retain_landed", lambda T: _landed_after(T, lambda path: landed.retain_landed_by_age(T.spark, path, "entity_timestamp", timedelta(days=4, hours=12), NOW)),
+    "SELECT tie1 FROM x_aging WHERE t IS NULL OR t >= TIMESTAMP '2024-01-15 12:00:00'")
+add("c16_retain_landed_dry_run",
+    lambda T: landed.retain_landed_by_age(T.spark, _landed_folder(T), "entity_timestamp", timedelta(days=4, hours=12), NOW, dry_run=True),
+    """SELECT strftime(t, '%Y-%m-%d') AS entity_date, count(*) AS rows_to_delete FROM x_aging
+       WHERE t < TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1""")
+add("c17_retain_landed",
+    lambda T: _landed_after(T, lambda path: landed.retain_landed_by_range(T.spark, path, "entity_timestamp", NOW - timedelta(days=9, hours=12), NOW)),
+    "SELECT tie1 FROM x_aging WHERE t IS NULL OR NOT t BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-20'")
+
+
+def _truncated(T):
+    """A folder emptied, then appended to with what is older than the middle of the month."""
+    path = _landed_folder(T)
+    landed.truncate_landed(T.spark, path, confirm=True)
+    tables.append_sink(_aging(T).where(F.col("entity_timestamp") < F.lit(NOW - timedelta(days=5))), path)
+    return T.spark.read.parquet(path).select("tie1")
+
+
+add("c18_truncate_landed", _truncated, "SELECT tie1 FROM x_aging WHERE t < TIMESTAMP '2024-01-15'")
 add("c18_truncate", lambda T: tables.truncate(T.positions, confirm=True).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM x_positions WHERE false")
 
 
@@ -245,13 +280,26 @@ add("st04_latest_update_state", _latest,
 def _unrepeated(T):
     folder, out = T.landed(T.position_snapshots, "repeats"), scratch_path(T.spark, "repeats-table")
     _run(feeds.start_first_sightings(feeds.stream_positions(T.spark, folder), out, scratch_path(T.spark, "repeats-checkpoint")))
-    return tables.read_snapshot(T.spark, out, tables.DATE_COLUMN).select("trip_instance_id", "entity_timestamp", "fetch_timestamp")
+    return tables.read_snapshot(T.spark, out).select("trip_instance_id", "entity_timestamp", "fetch_timestamp")
 
 
 add("st05_drop_repeats", _unrepeated, f"""SELECT trip_instance_id, entity_timestamp, min(fetch_timestamp) AS fetch_timestamp FROM ({_LANDED})
     GROUP BY trip_instance_id, entity_timestamp""")
 
 
+def _first_to_come(T):
+    """Sightings with bounded state, in one batch, with the late rows that the state no longer covers: none here."""
+    folder, out = T.landed(T.position_snapshots, "bounded"), scratch_path(T.spark, "bounded-table")
+    _run(feeds.start_drop_repeats(feeds.stream_positions(T.spark, folder), out, scratch_path(T.spark, "bounded-checkpoint")))
+    made = [T.spark.read.parquet(f"{out}/{kind}").select("trip_instance_id", "entity_timestamp", "fetch_timestamp") for kind in ("rows", "late")]
+    return made[0].unionByName(made[1])
+
+
+add("st05_drop_repeats_bounded", _first_to_come, f"""
+    SELECT trip_instance_id, entity_timestamp, min(fetch_timestamp) AS fetch_timestamp FROM ({_LANDED})
+    WHERE trip_instance_id IS NOT NULL GROUP BY trip_instance_id, entity_timestamp""")
+
+
 def _rebuilt(T):
     folder, path = T.landed(T.position_snapshots, "rebuild"), scratch_path(T.spark, "rebuild-trips")
     _run(feeds.start_rebuild(feeds.stream_positions(T.spark, folder), scratch_path(T.spark, "rebuild-positions"), T.trips, T.shape_tracks, path,
@@ -264,18 +312,46 @@ add("st06_rebuild_window", _rebuilt,
         WHERE entity_timestamp >= (SELECT max(e) * 1000000 - 172800000000 FROM x_landed_positions) GROUP BY 1 HAVING count(DISTINCT entity_timestamp) > 1""")
 
 
+def _three_days(T):
+    """The predictions dealt over three service dates, and the same after one date is gone and another has lost rows."""
+    days = F.col("trip_id").cast("long") % 3
+    later = lambda c: F.timestamp_seconds(F.unix_seconds(c) + days * 86400)
+    dealt = T.updates.withColumns({
+        "service_date": F.date_add(F.lit("2024-01-08").cast("date"), days.cast("int")), "arrival_time": later("arrival_time"),
+        "departure_time": later("departure_time"), "trip_instance_id": F.concat("trip_id", F.lit("_"), (20240108 + days).cast("string"))})
+    return dealt, dealt.where((days != 1) & ~((days == 2) & (F.col("tie1") % 7 == 0)))
+
+
 def _refreshed(T):
-    folder = scratch_path(T.spark, "live-views")
-    args = (T.updates, T.segments, T.transit_stops, T.routes, T.stops, folder)
-    sizes = feeds.refresh_views(*args, ties=["tie1", "tie2"])
-    feeds.refresh_views(*args, service_dates=[datetime(2024, 1, 8).date()], ties=["tie1", "tie2"])
+    """The contents of the views after a full refresh and one of the two dates that have changed since."""
+    folder, (before, after) = scratch_path(T.spark, "live-views"), _three_days(T)
+    rest = (T.segments, T.transit_stops, T.routes, T.stops, folder)
+    feeds.refresh_views(before, *rest, ties=["tie1", "tie2"])
+    feeds.refresh_views(after, *rest, service_dates=[date(2024, 1, 9), date(2024, 1, 10)], ties=["tie1", "tie2"])
+    told = {
+        "speed_comparison": ("stop_sequence", "actual_speed_kmh"), "delay_analysis": ("from_seq", "segment_delay_minutes"),
+        "schedule_times": ("stop_sequence", "delay_minutes"), "headway_stats": ("arrival_time", "headway_minutes")}
     out = None
-    for name in sizes:
-        one = T.spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), "n")
+    for name, (place, value) in told.items():
+        at = F.unix_seconds(place) if name == "headway_stats" else F.col(place)
+        one = T.spark.read.parquet(f"{folder}/{name}").select(
+            F.lit(name).alias("view"), "trip_instance_id", at.cast("long").alias("place"), F.col(value).alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-add("st07_refresh_views", _refreshed,
-    """SELECT 'speed_comparison' AS view, count(*) AS n FROM x_observed UNION ALL SELECT 'delay_analysis', count(*) FROM x_observed
-       UNION ALL SELECT 'schedule_times', count(*) FROM x_schedule UNION ALL SELECT 'headway_stats', count(*) FROM x_headways""")
+cte("y_updates", """
+SELECT * REPLACE (concat(trip_id, '_', 20240108 + CAST(trip_id AS BIGINT) % 3) AS trip_instance_id,
+  arrival_epoch + CAST(trip_id AS BIGINT) % 3 * 86400 AS arrival_epoch) FROM x_updates
+WHERE CAST(trip_id AS BIGINT) % 3 <> 1 AND NOT (CAST(trip_id AS BIGINT) % 3 = 2 AND tie1 % 7 = 0)""")
+LIVE = ["updates", "deduped", "next", "observed", "lagged", "headways", "schedule"]
+for name in LIVE[1:]:
+    text = registry.CTES[f"x_{name}"]
+    for other in LIVE:
+        text = re.sub(rf"\bx_{other}\b", f"y_{other}", text)
+    cte(f"y_{name}", text)
+add("st07_refresh_views", _refreshed, f"""
+    SELECT 'speed_comparison' AS view, trip_instance_id, CAST(stop_sequence AS BIGINT) AS place, {r('actual_speed', 'value', 3)} FROM y_observed
+    UNION ALL SELECT 'delay_analysis', trip_instance_id, stop_sequence, {r('delay_minutes', 'value', 3)} FROM y_observed
+    UNION ALL SELECT 'schedule_times', trip_instance_id, stop_sequence, {r('delay_minutes', 'value', 3)} FROM y_schedule
+    UNION ALL SELECT 'headway_stats', trip_instance_id, arrival_epoch, {r('headway_minutes', 'value', 3)} FROM y_headways""", value=3)

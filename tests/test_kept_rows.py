@@ -23,7 +23,7 @@ def test_retention_of_a_stored_table(spark):
     path = scratch_path(spark, "retain")
     rows = spark.createDataFrame([("a", date(2025, 1, 1), 1), ("b", date(2025, 1, 1), 2), ("c", date(2025, 1, 2), 3), ("d", date(2025, 1, 2), None),
                                   ("e", None, 1), ("f", date(2025, 1, 3), 9)], "k string, service_date date, n int")
-    tables.write_snapshot(rows, path)
+    tables.write_snapshot(rows, path, ["k"])
     left = lambda: {r.k for r in tables.read_snapshot(spark, path).collect()}
     told = tables.retain_snapshot(spark, path, F.col("n") < 4, dry_run=True)
     assert {tuple(r) for r in told.collect()} == {(date(2025, 1, 1), 2), (date(2025, 1, 2), 1), (None, 1)} and left() == set("abcdef")
@@ -51,7 +51,7 @@ def test_earliest_fetch_wins_and_late_rows_stay(spark, tmp_path):
     path = scratch_path(spark, "sightings")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     feeds.start_first_sightings(stream, path, scratch_path(spark, "sightings-cp")).awaitTermination()
-    got = {(str(r.entity_timestamp)[11:16], r.n) for r in tables.read_snapshot(spark, path, tables.DATE_COLUMN).collect()}
+    got = {(str(r.entity_timestamp)[11:16], r.n) for r in tables.read_snapshot(spark, path).collect()}
     assert {n for _, n in got} == {2, 3}
 
 

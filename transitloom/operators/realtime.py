@@ -84,25 +84,50 @@ def attach_schedule(deduped: DataFrame, ts: DataFrame) -> DataFrame:
     return deduped.join(scheduled, ["trip_id", "stop_sequence"], "left")
 
 
-def prev_vehicle(updates: DataFrame) -> DataFrame:
-    """Previous arrival, and the trip it belonged to, per (route, stop) in order of arrival.
+def arrival_instants(updates: DataFrame, *by: str) -> DataFrame:
+    """Each instant at which a route arrives at a stop, with its first and last trip (per further columns ``by``).
 
-    Rows with equal arrival have a gap of zero and are never a headway, so each instant keeps its
-    first and last trip only. That collapses repeated predictions before the shuffle, and the
-    lookup is sliced by day, so one busy (route, stop) does not end in one task.
+    Rows with equal arrival have a gap of zero and are never a headway, so this is all a headway needs. It collapses repeated
+    predictions before the shuffle.
     """
-    instants = (
+    return (
         updates.where(F.col("arrival_time").isNotNull() & F.col("stop_id").isNotNull() & F.col("route_id").isNotNull())
-        .groupBy("route_id", "stop_id", "arrival_time")
+        .groupBy("route_id", "stop_id", "arrival_time", *by)
         .agg(F.min("trip_instance_id").alias("trip_instance_id"), F.max("trip_instance_id").alias("last_trip"))
     )
+
+
+def prev_vehicle(updates: DataFrame) -> DataFrame:
+    """Previous arrival, and the trip it belonged to, per (route, stop) in order of arrival.
+
+    The lookup is sliced by day, so one busy (route, stop) does not end in one task.
+    """
     out = sliced_lag(
-        instants, ["route_id", "stop_id"], ["arrival_time"], F.to_date("arrival_time"),
+        arrival_instants(updates), ["route_id", "stop_id"], ["arrival_time"], F.to_date("arrival_time"),
         {"arrival_time": "prev_arrival", "last_trip": "prev_trip_instance_id"},
     )
     return out.drop("last_trip")
 
 
+def closing_vehicles(instants: DataFrame, day: str) -> DataFrame:
+    """The last vehicle of each (route, stop) on each day, which the first one of the next day follows."""
+    last = F.max(F.struct("arrival_time", "last_trip")).alias("__r")
+    return instants.groupBy("route_id", "stop_id", day).agg(last).select("route_id", "stop_id", day, "__r.*")
+
+
+def prev_vehicle_of_days(instants: DataFrame, closings: DataFrame, day: str) -> DataFrame:
+    """As ``prev_vehicle`` for the instants of some days, with the closing vehicles of the days before.
+
+    A vehicle that came more than a day before the first of a day is left out; such a gap is no headway.
+    """
+    here = Window.partitionBy("route_id", "stop_id", day).orderBy("arrival_time")
+    before = closings.select("route_id", "stop_id", F.date_add(day, 1).alias(day), F.struct("arrival_time", "last_trip").alias("__before"))
+    near = instants.withColumn("__near", F.lag(F.struct("arrival_time", "last_trip")).over(here))
+    joined = near.join(before, ["route_id", "stop_id", day], "left").withColumn("__prev", F.coalesce("__near", "__before"))
+    return joined.select("route_id", "stop_id", "arrival_time", "trip_instance_id", day, F.col("__prev.arrival_time").alias("prev_arrival"),
+                         F.col("__prev.last_trip").alias("prev_trip_instance_id"))
+
+
 # ---- named range filters ------------------------------------------------------------------
 def keep_delay_range(df: DataFrame, c: str = "segment_delay_minutes") -> DataFrame:
     return df.where(F.col(c).between(-30, 60))
@@ -163,12 +188,9 @@ def delay_analysis(deduped: DataFrame, segments: DataFrame, routes: DataFrame, s
     )
 
 
-def headway_stats(updates: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
-    """Time between consecutive vehicles of a route at a stop, under two hours.
-
-    Takes the raw updates; pass deduplicated ones (with ``arrival_time``) for one prediction per stop.
-    """
-    rows = prev_vehicle(updates).withColumn("__gap", s.epoch_diff("arrival_time", "prev_arrival"))
+def headways(arrivals: DataFrame, routes: DataFrame, stops: DataFrame, *more: str) -> DataFrame:
+    """Headways under two hours from arrivals with their previous vehicle, with names and local times."""
+    rows = arrivals.withColumn("__gap", s.epoch_diff("arrival_time", "prev_arrival"))
     rows = keep_headway_range(rows, "__gap").where(F.col("trip_instance_id") != F.col("prev_trip_instance_id"))
     return (
         rows.withColumns(_local_time("arrival_time"))
@@ -178,11 +200,19 @@ def headway_stats(updates: DataFrame, routes: DataFrame, stops: DataFrame) -> Da
             "route_id", "route_short_name", "route_long_name", "route_type", "stop_id", "stop_name", "stop_lat",
             "stop_lon", "trip_instance_id", "prev_trip_instance_id", "arrival_time", "prev_arrival",
             (F.col("__gap") / 60.0).alias("headway_minutes"), "hour_of_day", "day_of_week",
-            s.day_type("day_of_week").alias("day_type"), s.time_period("hour_of_day").alias("time_period"),
+            s.day_type("day_of_week").alias("day_type"), s.time_period("hour_of_day").alias("time_period"), *more,
         )
     )
 
 
+def headway_stats(updates: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """Time between consecutive vehicles of a route at a stop, under two hours.
+
+    Takes the raw updates; pass deduplicated ones (with ``arrival_time``) for one prediction per stop.
+    """
+    return headways(prev_vehicle(updates), routes, stops)
+
+
 def schedule_times(deduped: DataFrame, ts: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
     """Arrival delay against the timetable for every stop that reports one."""
     rows = attach_schedule(deduped.where(F.col("arrival_delay_seconds").isNotNull()), ts)

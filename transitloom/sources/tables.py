@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitloom.operators.ordering import order_nulls
 from transitloom.session import scratch_path, store_and_reload
@@ -45,12 +48,16 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "gid") -> DataFrame:
 
 
 def materialise(df: DataFrame, name: str, folder: str, keys: list[str] | None = None) -> tuple[DataFrame, int]:
-    """Store a view (numbered along ``keys`` if given), register it under its name, return it and its size."""
+    """Store a view (numbered along ``keys`` if given), register it under its name, return it and its size.
+
+    Each call writes a folder of its own below the view's, and the name is switched when that is done: a failed write leaves the
+    old view, and a view may be built from itself.
+    """
     spark = df.sparkSession
-    path = f"{folder.rstrip('/')}/{name}"
+    path = f"{folder.rstrip('/')}/{name}/{uuid.uuid4().hex[:12]}"
     seen = Observation()
     out = df if keys is None else number_rows(df, keys)
-    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
     stored = spark.read.schema(out.schema).parquet(path)
     stored.createOrReplaceTempView(name)
     return stored, int(seen.get["n"])
@@ -83,93 +90,117 @@ def truncate(df: DataFrame, confirm: bool = False) -> DataFrame:
     return df.limit(0)
 
 
-# ---- versioned snapshots of a keyed table -------------------------------------------------
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions of a table; one without its success marker is still being written or broken."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/touched")
+# ---- versioned keyed tables ---------------------------------------------------------------
+BUCKET = "hash_bucket_"
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], int]:
+    """Complete versions of a table, and the highest number in use; one without its success marker is still being written or broken."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(base):
-        return []
-    done = []
+        return [], 0
+    done, highest = [], 0
     for item in fs.listStatus(base):
         label = item.getPath().getName()
-        if label.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(item.getPath(), "_SUCCESS")):
-            done.append(int(label.split("=")[1]))
-    return sorted(done)
+        if label.startswith("version="):
+            number = int(label.split("=")[1])
+            highest = max(highest, number)
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(item.getPath(), "_SUCCESS")):
+                done.append(number)
+    return sorted(done), highest
 
 
-def read_snapshot(spark: SparkSession, path: str, part: str = "service_date") -> DataFrame | None:
-    """Current state of a keyed table: for each partition value, the newest version that wrote it.
+def _manifest(spark: SparkSession, path: str) -> tuple[dict[int, str | None], T.StructType, int] | None:
+    """Of the newest version: the run that wrote each bucket, the schema, and the number of buckets.
 
-    Version and partition are folder names, so superseded files are pruned, not read.
+    One row for each bucket, so as small as the table was laid out.
     """
-    done = _versions(spark, path)
+    done, _ = _versions(spark, path)
     if not done:
         return None
-    # one row per (version, partition it replaced): as small as the list of folders
-    touched = spark.read.parquet(f"{path}/touched").where(F.col("version").isin(done))
-    newest = touched.groupBy(part).agg(F.max("version").alias("version"))
-    rows = spark.read.parquet(f"{path}/rows").where(F.col("version").isin(done))
-    newest = newest.select(F.col(part).alias("__part"), F.col("version").alias("__version"))
-    same = F.col(part).eqNullSafe(F.col("__part")) & (F.col("version") == F.col("__version"))
-    return rows.join(newest, same, "left_semi").drop("version")
+    rows = spark.read.parquet(f"{path}/manifest/version={done[-1]:08d}").collect()
+    return {r["bucket"]: r["run"] for r in rows}, T.StructType.fromJson(json.loads(rows[0]["schema"])), len(rows)
+
+
+def _rows(spark: SparkSession, path: str, runs: dict[int, str | None], schema: T.StructType) -> DataFrame:
+    """The rows of the given buckets with their bucket; only the folders that hold them are opened."""
+    full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    held = [f"{path}/rows/run={run}/{BUCKET}={bucket}" for bucket, run in runs.items() if run]
+    if not held:
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", f"{path}/rows").parquet(*held).select(*full.names)
+
 
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-def write_snapshot(df: DataFrame, path: str, touched: DataFrame | None = None, part: str = "service_date") -> int:
-    """Write the next version: the new rows of every touched partition, then the list of those partitions.
 
-    The list is written last and makes the version visible, so a reader never sees half a change.
+def _write(rows: DataFrame, path: str, old: dict[int, str | None], schema: T.StructType, touched: list[int]) -> int:
+    """Write the next version: the new rows of the touched buckets, then the list of all buckets.
+
+    The list is written last and makes the version visible. A second writer of the same version fails.
     """
-    spark = df.sparkSession
-    done = _versions(spark, path)
-    number = (done[-1] if done else 0) + 1
-    rows = f"{path}/rows/version={number:08d}"
-    df.hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(rows)
-    if touched is None:
-        touched = spark.read.parquet(rows).select(part)
-    touched.select(F.col(part).cast("date").alias(part)).distinct().write.mode("overwrite").parquet(
-        f"{path}/touched/version={number:08d}")
+    spark = rows.sparkSession
+    run = uuid.uuid4().hex[:12]
+    rows.hint("rebalance", BUCKET).write.mode("errorifexists").partitionBy(BUCKET).parquet(f"{path}/rows/run={run}")
+    held = {r[0] for r in spark.read.schema(rows.schema).parquet(f"{path}/rows/run={run}").select(BUCKET).distinct().collect()}
+    runs = {b: (run if b in held else None) if b in touched else r for b, r in old.items()}
+    number = _versions(spark, path)[1] + 1
+    told = [(b, r, schema.json()) for b, r in sorted(runs.items())]
+    spark.createDataFrame(told, "bucket int, run string, schema string").coalesce(1).write.mode("errorifexists").parquet(
+        f"{path}/manifest/version={number:08d}")
     return number
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """Current state of a keyed table; none before its first version."""
+    found = _manifest(spark, path)
+    return None if found is None else _rows(spark, path, found[0], found[1]).drop(BUCKET)
+
+
+def write_snapshot(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> int:
+    """Write a whole keyed table as its next version, laid out in hash buckets of the key."""
+    empty = dict.fromkeys(range(buckets))
+    return _write(df.withColumn(BUCKET, _bucket(keys, buckets)), path, empty, df.schema, list(empty))
+
+
 def merge_snapshot(fresh: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
-                   part: str = "service_date") -> int:
-    """Merge new rows into a keyed table, rewriting only the partitions that change.
+                   buckets: int = BUCKETS) -> int:
+    """Merge new rows into a keyed table, reading and rewriting only the buckets of their keys.
 
-    Those are the partitions of the new rows and of the old rows they replace; finding the latter
-    reads the key columns only.
+    A key's bucket never changes, so the old rows it replaces are in the same one: neither the other
+    buckets nor superseded versions are opened. A new table gets ``buckets`` of them, an old one keeps its own.
     """
     spark = fresh.sparkSession
-    fresh = store_and_reload(fresh, "merge")
-    if fresh.isEmpty():
-        return max(_versions(spark, path), default=0)
-    current = read_snapshot(spark, path, part)
-    if current is None:
-        return write_snapshot(merge(fresh.limit(0), fresh), path, part=part)
-    replaced = current.join(fresh.select(*keys).distinct(), keys, "left_semi").select(part)
-    touched = store_and_reload(fresh.select(part).union(replaced).distinct(), "touched")
-    named = touched.select(F.col(part).alias("__part"))
-    affected = current.join(named, F.col(part).eqNullSafe(F.col("__part")), "left_semi").select(*current.columns)
-    return write_snapshot(merge(affected, fresh), path, touched, part)
-
-
-def retain_snapshot(spark: SparkSession, path: str, doomed: Column, part: str = "service_date", dry_run: bool = False) -> DataFrame:
-    """Delete the rows of a stored keyed table for which a condition holds; returns the rows deleted by partition.
-
-    A partition that loses all its rows is listed as touched and written without any, one that loses some is
-    rewritten, and the others are neither read whole nor written. A condition that is null keeps its row. A
-    dry run only counts.
+    found = _manifest(spark, path)
+    runs, schema, buckets = found or (dict.fromkeys(range(buckets)), fresh.schema, buckets)
+    placed = store_and_reload(fresh.withColumn(BUCKET, _bucket(keys, buckets)), "merge")
+    touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]
+    if not touched:
+        return max(_versions(spark, path)[0], default=0)
+    current = _rows(spark, path, {b: runs[b] for b in touched}, schema).drop(BUCKET)
+    merged = merge(current, placed.drop(BUCKET)).select(*schema.names)
+    return _write(merged.withColumn(BUCKET, _bucket(keys, buckets)), path, runs, schema, touched)
+
+
+def retain_snapshot(spark: SparkSession, path: str, doomed: Column, by: str = "service_date", dry_run: bool = False) -> DataFrame:
+    """Delete the rows of a stored keyed table for which a condition holds; returns the rows deleted by the values of a column.
+
+    Buckets that lose rows are rewritten, the others are read but not written. A condition that is null keeps
+    its row. A dry run only counts.
     """
-    current = read_snapshot(spark, path, part)
-    if current is None:
+    found = _manifest(spark, path)
+    if found is None:
         raise ValueError(f"no table at {path}")
+    runs, schema, _ = found
     gone = F.coalesce(doomed, F.lit(False))
-    lost = store_and_reload(current.where(gone).groupBy(part).agg(F.count("*").alias("rows_to_delete")), "retained")
-    if not dry_run and not lost.isEmpty():
-        named = lost.select(F.col(part).alias("__part"))
-        kept = current.where(~gone).join(named, F.col(part).eqNullSafe(F.col("__part")), "left_semi")
-        write_snapshot(kept, path, lost.select(part), part)
-    return lost
+    lost = store_and_reload(_rows(spark, path, runs, schema).where(gone).groupBy(by, BUCKET).agg(F.count("*").alias("n")), "retained")
+    touched = [r[0] for r in lost.select(BUCKET).distinct().collect()]
+    if not dry_run and touched:
+        _write(_rows(spark, path, {b: runs[b] for b in touched}, schema).where(~gone), path, runs, schema, touched)
+    return lost.groupBy(by).agg(F.sum("n").alias("rows_to_delete"))
 
 
 def export_summary(summaries: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:

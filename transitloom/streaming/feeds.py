@@ -12,7 +12,7 @@ from transitloom.functions import scalars as s
 from transitloom.operators import moving as m
 from transitloom.operators import realtime as r
 from transitloom.session import store_and_reload
-from transitloom.sources import feed, tables
+from transitloom.sources import feed, landed, tables
 
 
 def read_snapshots(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, ts: str = "entit
 def start_latest_updates(stream: DataFrame, path: str, checkpoint: str, **trigger_args):
     """Keep the latest fetch per (trip instance, stop sequence) as a versioned table.
 
-    Each batch is merged into the service dates it touches; a repeated batch changes nothing because
+    Each batch is merged into the hash buckets of its keys; a repeated batch changes nothing because
     the newest row wins either way. The table holds one row per key, not the history.
     """
     keys = ["trip_instance_id", "stop_sequence"]
@@ -79,11 +79,46 @@ def start_latest_updates(stream: DataFrame, path: str, checkpoint: str, **trigge
 def drop_repeats(stream: DataFrame, delay: str = "3 hours") -> DataFrame:
     """One sighting of each (trip instance, entity time) across polls, the first to come.
 
-    State is dropped after the delay, and so are rows later than it; `start_first_sightings` keeps both
-    the earliest fetch and late rows.
+    State is dropped after the delay, and so are rows later than it, uncounted; `start_drop_repeats` writes those
+    to a side table, `start_first_sightings` merges them.
     """
-    return stream.where(F.col("trip_instance_id").isNotNull()).withWatermark("entity_timestamp", delay).dropDuplicates(
-        ["trip_instance_id", "entity_timestamp"])
+    return stream.where(F.col("trip_instance_id").isNotNull()).withWatermark(
+        "entity_timestamp", delay).dropDuplicatesWithinWatermark(["trip_instance_id", "entity_timestamp"])
+
+
+def start_drop_repeats(stream: DataFrame, path: str, checkpoint: str, delay: timedelta = timedelta(hours=3), **trigger_args):
+    """Keep the first sighting to come of each (trip instance, entity time), with bounded state and no row lost unseen.
+
+    Below ``path``, ``rows`` gets the sightings and ``late`` the rows more than ``delay`` older than the newest time of the batches
+    before, which the state no longer covers; each in a folder of its batch, so a repeated batch overwrites itself. The state
+    is the keys within the delay. It alternates between two folders, so the one a batch starts from stays
+    until the next batch is done.
+    """
+    keys = ["trip_instance_id", "entity_timestamp"]
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = store_and_reload(batch.where(F.col("trip_instance_id").isNotNull()), "sightings")
+        state = spark.read.parquet(f"{path}/state/slot={(number - 1) % 2}") if number else rows.select(*keys).limit(0)
+        high = state.agg(F.max("entity_timestamp")).first()[0]
+        is_late = F.coalesce(F.col("entity_timestamp") < F.lit(high - delay), F.lit(False)) if high else F.lit(False)
+        rows.where(is_late).write.mode("overwrite").parquet(f"{path}/late/batch={number:08d}")
+        others = [c for c in rows.columns if c not in keys and c != "fetch_timestamp"]
+        first = rows.where(~is_late).groupBy(*keys).agg(F.min(F.struct("fetch_timestamp", *others)).alias("__r")).select(
+            *keys, "__r.fetch_timestamp", *[F.col(f"__r.{c}").alias(c) for c in others]).select(*rows.columns)
+        known = state.select(*[F.col(c).alias(f"__{c}") for c in keys])
+        seen = F.col("trip_instance_id").eqNullSafe(F.col("__trip_instance_id")) & F.col("entity_timestamp").eqNullSafe(F.col("__entity_timestamp"))
+        new = store_and_reload(first.join(known, seen, "left_anti"), "sightings-new")
+        new.write.mode("overwrite").parquet(f"{path}/rows/batch={number:08d}")
+        held = state.unionByName(new.select(*keys))
+        newest = held.agg(F.max("entity_timestamp")).first()[0]
+        held = held.where(F.col("entity_timestamp").isNull() | (F.col("entity_timestamp") >= F.lit(newest - delay))) if newest else held
+        held.write.mode("overwrite").parquet(f"{path}/state/slot={number % 2}")
+
+    return (
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger_args or trigger())).start()
+    )
 
 
 def start_first_sightings(stream: DataFrame, path: str, checkpoint: str, **trigger_args):
@@ -98,7 +133,7 @@ def start_first_sightings(stream: DataFrame, path: str, checkpoint: str, **trigg
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = batch.where(F.col("trip_instance_id").isNotNull()).withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp"))
-        tables.merge_snapshot(rows, path, keys, earliest, tables.DATE_COLUMN)
+        tables.merge_snapshot(rows, path, keys, earliest)
 
     return (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -126,13 +161,13 @@ def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shap
         # the batch number is part of the path, so a repeated batch overwrites itself
         dated = batch.withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp"))
         dated.write.mode("overwrite").partitionBy(tables.DATE_COLUMN).parquet(f"{positions_path}/batch={batch_id:08d}")
-        landed = spark.read.parquet(positions_path)
+        arrived = spark.read.parquet(positions_path)
         # the window ends at the newest landed time, so a late file never cuts a longer trip short
-        last_day = landed.agg(F.max(tables.DATE_COLUMN)).first()[0]
-        newest = landed.where(F.col(tables.DATE_COLUMN) == last_day).agg(F.max("entity_timestamp")).first()[0]
+        last_day = arrived.agg(F.max(tables.DATE_COLUMN)).first()[0]
+        newest = arrived.where(F.col(tables.DATE_COLUMN) == last_day).agg(F.max("entity_timestamp")).first()[0]
         if newest is not None:
             begin = newest - timedelta(hours=hours)
-            window = landed.where(F.col(tables.DATE_COLUMN) >= F.lit(begin.date())).drop("batch", tables.DATE_COLUMN)
+            window = arrived.where(F.col(tables.DATE_COLUMN) >= F.lit(begin.date())).drop("batch", tables.DATE_COLUMN)
             rebuild_window(window, trips, shape_tracks, path, newest, hours, **(options or {}))
 
     return (
@@ -141,11 +176,59 @@ def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shap
     )
 
 
+ARRIVAL_DAY = "arrival_date"
+
+
+def refresh_headways(updates: DataFrame, routes: DataFrame, stops: DataFrame, folder: str, service_dates: list | None = None) -> int:
+    """Rebuild the headways, whole or for the days that vehicles of the given service dates arrive on.
+
+    Two small tables carry over. ``arrival_instants`` has what a headway needs of the predictions, by day of arrival and service
+    date; ``closing_vehicles`` has the last vehicle of each (route, stop) on each day. The predictions of the given service dates
+    are read; then the instants of the days they arrive on, or did before, and of the days after these; and the
+    closing vehicles of the days before. Other dates are not read. Headways lie in a folder for each day of arrival.
+    """
+    spark, root = updates.sparkSession, folder.rstrip("/")
+    held, closed, out = (f"{root}/{name}" for name in ("arrival_instants", "closing_vehicles", "headway_stats"))
+    instants = r.arrival_instants(updates, "service_date").withColumn(ARRIVAL_DAY, F.to_date("arrival_time"))
+
+    def combined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("route_id", "stop_id", "arrival_time", ARRIVAL_DAY).agg(
+            F.min("trip_instance_id").alias("trip_instance_id"), F.max("last_trip").alias("last_trip"))
+
+    def read(path: str, like: DataFrame) -> DataFrame:
+        return spark.read.schema(like.schema).parquet(path)
+
+    if service_dates is None:
+        instants.hint("rebalance", ARRIVAL_DAY).write.mode("overwrite").partitionBy(ARRIVAL_DAY, "service_date").parquet(held)
+        state = combined(read(held, instants))
+        last = r.closing_vehicles(state, ARRIVAL_DAY)
+        last.hint("rebalance", ARRIVAL_DAY).write.mode("overwrite").partitionBy(ARRIVAL_DAY).parquet(closed)
+        seen = tables.Observation()
+        rows = r.headways(r.prev_vehicle_of_days(state, read(closed, last), ARRIVAL_DAY), routes, stops, ARRIVAL_DAY)
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", ARRIVAL_DAY).write.mode("overwrite").partitionBy(ARRIVAL_DAY).parquet(out)
+        return int(seen.get["n"])
+    pairs = lambda some: {(x[0], x[1]) for x in some.select(ARRIVAL_DAY, "service_date").distinct().collect()}
+    fresh = store_and_reload(instants.where(F.col("service_date").isin(service_dates)), "instants")
+    had, has = pairs(read(held, instants).where(F.col("service_date").isin(service_dates))), pairs(fresh)
+    if has:
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(ARRIVAL_DAY, "service_date").parquet(held)
+    for day, of in had - has:
+        landed.replace_partitions(fresh.limit(0).drop(ARRIVAL_DAY), landed.partition_path(held, ARRIVAL_DAY, day), "service_date", [of])
+    days = sorted({day for day, _ in had | has})
+    affected = sorted({*days, *(day + timedelta(days=1) for day in days)})
+    state = combined(read(held, instants).where(F.col(ARRIVAL_DAY).isin(affected)))
+    last = r.closing_vehicles(state.where(F.col(ARRIVAL_DAY).isin(days)), ARRIVAL_DAY)
+    landed.replace_partitions(last, closed, ARRIVAL_DAY, days)
+    before = read(closed, last).where(F.col(ARRIVAL_DAY).isin([day - timedelta(days=1) for day in affected]))
+    rows = r.headways(r.prev_vehicle_of_days(state, before, ARRIVAL_DAY), routes, stops, ARRIVAL_DAY)
+    return landed.replace_partitions(rows, out, ARRIVAL_DAY, affected)
+
+
 def refresh_views(updates: DataFrame, segments: DataFrame, ts: DataFrame, routes: DataFrame, stops: DataFrame,
                   folder: str, service_dates: list | None = None, ties: list[str] = ()) -> dict[str, int]:
-    """Rebuild the base views, whole or only for the given service dates (dynamic partition overwrite).
+    """Rebuild the base views, whole or only for the given service dates; returns the rows written of each.
 
-    Headways are always rebuilt whole, since one may reach back into the day before. No dates, no work.
+    A service date whose rows are all gone is emptied. No dates, no work.
     """
     if service_dates is not None and not service_dates:
         return {}
@@ -157,14 +240,14 @@ def refresh_views(updates: DataFrame, segments: DataFrame, ts: DataFrame, routes
         "delay_analysis": r.delay_analysis(latest, segments, routes, stops),
         "schedule_times": r.schedule_times(latest, ts, routes, stops),
     }
-    views["headway_stats"] = r.headway_stats(updates, routes, stops)
     sizes = {}
     for name, view in views.items():
-        seen = tables.Observation()
-        writer = view.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
-        if "service_date" in view.columns:
-            writer = writer.partitionBy("service_date").option(
-                "partitionOverwriteMode", "static" if service_dates is None or name == "headway_stats" else "dynamic")
-        writer.parquet(f"{folder.rstrip('/')}/{name}")
-        sizes[name] = int(seen.get["n"])
+        path = f"{folder.rstrip('/')}/{name}"
+        if service_dates is None:
+            seen = tables.Observation()
+            view.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("service_date").parquet(path)
+            sizes[name] = int(seen.get["n"])
+        else:
+            sizes[name] = landed.replace_partitions(view, path, "service_date", service_dates)
+    sizes["headway_stats"] = refresh_headways(updates, routes, stops, folder, service_dates)
     return sizes
