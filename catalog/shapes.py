@@ -44,7 +44,7 @@ def _line_stops(T):
     return T.transit_stops.select(t.line_id().alias("line_id"), "stop_id").distinct().join(T.stops.select("stop_id", "stop_lon", "stop_lat"), "stop_id")
 
 
-add("g04_stop_fraction", lambda T: t.stop_fraction(T.transit_stops, T.edges, T.stops).select("trip_id", "stop_sequence", "perc"),
+add("g04_stop_fraction", lambda T: t.stop_fraction(t.with_line(T.transit_stops), t.shape_edges(T.shapes).unionByName(t.pattern_edges(t.with_line(T.transit_stops), T.stops)), T.stops).select("trip_id", "stop_sequence", "perc"),
     f"SELECT trip_id, CAST(stop_sequence AS BIGINT) AS stop_sequence, {r('perc', 'perc')} FROM x_placed")
 SEG = "trip_id, CAST(stop1_sequence AS BIGINT) AS stop1_sequence"
 cte("x_vertices", """

@@ -154,3 +154,23 @@ def test_missing_text_is_read_as_null_and_never_written(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "out" / "routes.txt").glob("part*"))
     assert "nan" not in text and "r1,a,,Rail,2" in text
     assert (tmp_path / "out_backup" / "routes.txt").exists()
+
+
+def test_trips_without_a_shape_share_the_line_of_their_stops(spark):
+    """A feed without shapes: six trips, three orders of stops, whatever their sequence numbers."""
+    stops = spark.createDataFrame([(c, 49.0 + i / 100, -123.0 + i * i / 1000) for i, c in enumerate("abcd")], "stop_id string, stop_lat double, stop_lon double")
+    runs = {"t1": "abcd", "t2": "abcd", "t3": "dcba", "t4": "abd", "t5": "abcd", "t6": "dcba"}
+    trips = spark.createDataFrame([(k, "r", "s", None if k != "t5" else "") for k in runs], "trip_id string, route_id string, service_id string, shape_id string")
+    rows = [(k, (n + 1) * (10 if k == "t2" else 1), c, 60 * n) for k, order in runs.items() for n, c in enumerate(order)]
+    stop_times = spark.createDataFrame(rows, "trip_id string, stop_sequence int, stop_id string, arrival_seconds int")
+    shapes = spark.createDataFrame([], "shape_id string, shape_pt_sequence int, shape_pt_lon double, shape_pt_lat double")
+    calls = t.with_line(t.transit_stops(trips, stop_times))
+    lines = {r.trip_id: r.line_id for r in calls.collect()}
+    assert lines["t1"] == lines["t2"] == lines["t5"] and lines["t3"] == lines["t6"] and len(set(lines.values())) == 3
+    assert t.pattern_edges(calls, stops).select("line_id").distinct().count() == 3
+    made = pt.route_segments(trips, stop_times, stops, shapes).collect()
+    assert len(made) == sum(len(x) - 1 for x in runs.values())
+    old = t.pattern_geometry(t.with_pattern(t.segments_lead(t.transit_stops(trips, stop_times))), t.trip_edges(trips, stop_times, stops, shapes), stops)
+    per_trip = {(r.line_id.removeprefix("trip:"), r.stop1_id, r.stop2_id): (r.seg_geom, r.seg_length) for r in old.collect()}
+    assert all(per_trip[r.trip_id, r.stop1_id, r.stop2_id] == (r.seg_geom, r.seg_length) for r in made)
+    assert all(len(r.run_m) == len(r.run_deg) == len(r.seg_geom) and r.run_m[0] == 0 and abs(r.run_m[-1] - r.seg_length) < 1e-6 for r in made)

@@ -97,6 +97,11 @@ def length_deg(line) -> Column:
     )))
 
 
+def distance_planar(x1, y1, x2, y2) -> Column:
+    x1, y1, x2, y2 = map(_col, (x1, y1, x2, y2))
+    return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+
+
 def num_points(line) -> Column:
     """Vertex count; NULL when the line has shrunk to a point."""
     n = F.size(_col(line))
@@ -175,20 +180,6 @@ def line_substring(track, share1, share2) -> Column:
     )
 
 
-def running_lengths(line, unit: str = "m") -> Column:
-    """Running length at every vertex of a short line, metres or degrees."""
-    def step(e: Column) -> Column:
-        if unit == "m":
-            return distance_spheroid(e["x1"], e["y1"], e["x2"], e["y2"])
-        return F.sqrt((e["x2"] - e["x1"]) * (e["x2"] - e["x1"]) + (e["y2"] - e["y1"]) * (e["y2"] - e["y1"]))
-
-    return F.aggregate(
-        F.transform(vertex_pairs(line), step),
-        F.array(F.lit(0.0)),
-        lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v),
-    )
-
-
 def geometry_key(line) -> Column:
     """64-bit key of the ordered coordinates; used next to the stop ids, never alone."""
     return F.xxhash64(_col(line))

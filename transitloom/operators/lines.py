@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitloom.functions import geometry as g
@@ -83,7 +83,7 @@ def locate_points(points: DataFrame, edges: DataFrame, line_key: str, point_keys
 
 def cut_lines(parts: DataFrame, edges: DataFrame, line_key: str, part_keys: list[str],
               share1: str = "perc1", share2: str = "perc2") -> DataFrame:
-    """Sub-lines between two shares: geometry, ellipsoidal length and vertex count.
+    """Sub-lines between two shares: geometry, ellipsoidal length, vertex count, and running lengths at the vertices in metres and degrees.
 
     Reversed or unknown shares give no row; equal shares give a single point. Vertices closer to an
     end than 1e-12 of the line are not repeated.
@@ -102,19 +102,28 @@ def cut_lines(parts: DataFrame, edges: DataFrame, line_key: str, part_keys: list
             (F.col("x1") + F.col("dx") * F.col("__a")).alias("ax"), (F.col("y1") + F.col("dy") * F.col("__a")).alias("ay"),
             (F.col("x1") + F.col("dx") * F.col("__b")).alias("bx"), (F.col("y1") + F.col("dy") * F.col("__b")).alias("by"),
         )
-        .withColumn("m", g.distance_spheroid("ax", "ay", "bx", "by"))
+        .withColumns({"m": g.distance_spheroid("ax", "ay", "bx", "by"), "deg": g.distance_planar("ax", "ay", "bx", "by")})
     )
+    # running sums before the pieces are packed: the window and the grouping share their exchange
+    along = Window.partitionBy(line_key, *part_keys).orderBy("edge_no").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumns({"run_m": F.sum("m").over(along), "run_deg": F.sum("deg").over(along)})
     grouped = pieces.groupBy(line_key, *part_keys).agg(
-        F.sort_array(F.collect_list(F.struct("edge_no", "ax", "ay", "bx", "by"))).alias("__p"),
+        F.sort_array(F.collect_list(F.struct("edge_no", "ax", "ay", "bx", "by", "run_m", "run_deg"))).alias("__p"),
         F.sum("m").alias("seg_length"), F.bool_and("__same").alias("__same"),
     )
     starts = F.transform("__p", lambda p: F.struct(p["ax"].alias("lon"), p["ay"].alias("lat")))
     last = F.element_at("__p", -1)
     end = F.struct(last["bx"].alias("lon"), last["by"].alias("lat"))
+
+    def running(name: str) -> Column:
+        sums = F.concat(F.array(F.lit(0.0)), F.transform("__p", lambda p: p[name]))
+        return F.when(F.col("__same"), F.array(F.lit(0.0))).otherwise(sums).alias(name)
+
     return grouped.select(
         line_key, *part_keys,
         F.when(F.col("__same"), F.slice(starts, 1, 1)).otherwise(F.concat(starts, F.array(end))).alias("seg_geom"),
         F.when(F.col("__same"), F.lit(0.0)).otherwise(F.col("seg_length")).alias("seg_length"),
+        running("run_m"), running("run_deg"),
     ).withColumns({"no_points": g.num_points("seg_geom"), "geom_key": g.geometry_key("seg_geom")})
 
 

@@ -108,6 +108,27 @@ def line_id() -> Column:
     return F.coalesce(F.concat(F.lit("shape:"), shape), F.concat(F.lit("trip:"), F.col("trip_id")))
 
 
+def with_line(ts: DataFrame) -> DataFrame:
+    """Add the line that each trip runs on: its shape, or the pattern of its stops.
+
+    Trips without a shape that call at the same stops in the same order share a line. The pattern is two hashes over (place in the trip, stop),
+    combined without regard to order, so no list of stops is built, and the windows need the trip's rows only.
+    """
+    trip = Window.partitionBy("trip_id")
+    place = F.row_number().over(trip.orderBy("stop_sequence"))
+    rows = ts.withColumn("__place", place)
+    part = lambda seed: F.hex(F.bit_xor(F.xxhash64("__place", "stop_id", F.lit(seed))).over(trip))
+    shape = F.nullif(F.col("shape_id"), F.lit(""))
+    return rows.withColumn("line_id", F.coalesce(
+        F.concat(F.lit("shape:"), shape), F.concat(F.lit("stops:"), part("one"), F.lit("-"), part("two"))))
+
+
+def pattern_edges(ts: DataFrame, stops: DataFrame) -> DataFrame:
+    """Lines through the stops of trips that have no shape, one for each stop pattern."""
+    points = ts.where(F.coalesce("shape_id", F.lit("")) == "").select("line_id", "__place", "stop_id").distinct()
+    return edge_table(points.join(stops.select("stop_id", "stop_lon", "stop_lat"), "stop_id"), "line_id", "__place", "stop_lon", "stop_lat")
+
+
 def shape_edges(shapes: DataFrame) -> DataFrame:
     lines = shapes.withColumn("line_id", F.concat(F.lit("shape:"), F.col("shape_id")))
     return edge_table(lines, "line_id", "shape_pt_sequence", "shape_pt_lon", "shape_pt_lat")
@@ -137,14 +158,14 @@ def stop_shares(ends: DataFrame, edges: DataFrame, stops: DataFrame) -> DataFram
 
 def stop_fraction(ts: DataFrame, edges: DataFrame, stops: DataFrame) -> DataFrame:
     """Position of every stop along its trip's line, 0 at sequence 1 and 1 at the last stop."""
-    rows = ts.withColumn("line_id", line_id())
+    rows = ts if "line_id" in ts.columns else ts.withColumn("line_id", line_id())
     perc = (
         F.when(F.col("share").isNull(), F.lit(None).cast("double"))
         .when(F.col("stop_sequence") == 1, F.lit(0.0))
         .when(F.col("stop_sequence") == F.col("num_stops"), F.lit(1.0))
         .otherwise(F.col("share"))
     )
-    return rows.join(stop_shares(rows, edges, stops), ["line_id", "stop_id"], "left").withColumn("perc", perc).drop("share", "line_id")
+    return rows.join(stop_shares(rows, edges, stops), ["line_id", "stop_id"], "left").withColumn("perc", perc).drop("share", "line_id", "__place")
 
 
 def segments_lead(ts: DataFrame) -> DataFrame:
@@ -152,7 +173,7 @@ def segments_lead(ts: DataFrame) -> DataFrame:
     w = Window.partitionBy("trip_id").orderBy("stop_sequence")
     return (
         ts.select(
-            "trip_id", "route_id", "service_id", "shape_id", "num_stops",
+            "trip_id", "route_id", "service_id", "shape_id", "num_stops", *(c for c in ("line_id",) if c in ts.columns),
             F.col("stop_sequence").alias("stop1_sequence"),
             F.lead("stop_sequence").over(w).alias("stop2_sequence"),
             F.col("stop_id").alias("stop1_id"),
@@ -170,7 +191,7 @@ PATTERN = ["line_id", "stop1_id", "stop2_id", "head1", "head2", "tail2"]
 def with_pattern(segments: DataFrame) -> DataFrame:
     """Add what decides a segment's geometry: line, both stops, and which ends are forced."""
     return segments.withColumns({
-        "line_id": line_id(),
+        "line_id": F.col("line_id") if "line_id" in segments.columns else line_id(),
         "head1": F.col("stop1_sequence") == 1,
         "head2": F.col("stop2_sequence") == 1,
         "tail2": F.col("stop2_sequence") == F.col("num_stops"),

@@ -54,12 +54,13 @@ def route_segments(trips: DataFrame, stop_times: DataFrame, stops: DataFrame, sh
                    stage: Stage = _as_is) -> DataFrame:
     """Stop-to-stop segments with geometry, length and scheduled times.
 
-    Geometry is cut once per distinct (line, stop pair) and joined back. Segment rows and edges feed
-    several branches: on a large feed pass a ``stage`` that writes them to the shared folder and
-    reads them back, so that each is computed once.
+    Geometry is cut once per distinct (line, stop pair) and joined back; trips without a shape share the line of their
+    stop pattern. Its running lengths (``run_m``) come with it. Calls, segment rows and edges feed several branches: on a
+    large feed pass a ``stage`` that writes them to the shared folder and reads them back, so that each is computed once.
     """
-    segments = stage(t.with_pattern(t.segments_lead(t.transit_stops(trips, stop_times))))
-    edges = stage(t.trip_edges(trips, stop_times, stops, shapes))
+    calls = stage(t.with_line(t.transit_stops(trips, stop_times)))
+    segments = stage(t.with_pattern(t.segments_lead(calls)))
+    edges = stage(t.shape_edges(shapes).unionByName(t.pattern_edges(calls, stops)))
     patterns = stage(t.pattern_geometry(segments, edges, stops))
     broken = segments.join(patterns.select(*t.PATTERN), t.PATTERN, "left_anti").select("trip_id").distinct()
     return (
@@ -70,15 +71,13 @@ def route_segments(trips: DataFrame, stop_times: DataFrame, stops: DataFrame, sh
 
 
 def trip_points(segments: DataFrame, fraction_units: str = "consistent") -> DataFrame:
-    """Timed vertices of every trip, in one pass without a shuffle.
+    """Timed vertices of every trip, in one pass without a shuffle; the running lengths come with the segments.
 
     A vertex lies at its share of the segment: metres over metres (``consistent``), or planar
     degrees over metres (``degrees``, which keeps inner vertices at almost the start time).
     """
-    unit = {"consistent": "m", "degrees": "deg"}[fraction_units]
-    rows = segments.where(F.col("seg_length") > 0).withColumn(
-        "__v", F.arrays_zip(F.col("seg_geom").alias("p"), g.running_lengths("seg_geom", unit).alias("run"))
-    )
+    run = {"consistent": F.col("run_m"), "degrees": F.col("run_deg")}[fraction_units]
+    rows = segments.where(F.col("seg_length") > 0).withColumn("__v", F.arrays_zip(F.col("seg_geom").alias("p"), run.alias("run")))
     rows = rows.select(
         "trip_id", "route_id", "service_id", "stop1_sequence", "stop2_sequence", "num_stops", "no_points",
         "stop1_arrival", "stop2_arrival", "seg_length", F.posexplode("__v").alias("__i", "__p"),
