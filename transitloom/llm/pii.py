@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
 Candidates are all matches of the base patterns, whether or not they pass their test, and of some looser
-patterns. Labelers vote on each: shape (the strict form of its kind), checksum, gazetteer (a word that names
-the kind stands before it) and context (a word or sign that speaks against it). Counts of the combinations
+patterns that overlap no base span. Labelers vote yes, no or not at all on each: shape (the strict form of its kind), checksum,
+gazetteer (a word before it names its kind, or another), context (running prose before it, or a word or sign that speaks against it),
+edge (it begins where a word may, or within one) and alone (no other digits shortly before it, or some). Counts of the combinations
 of votes, a few hundred rows whatever the size of the input, go to the driver. There expectation-maximisation
 estimates how reliable each labeler is and how likely each combination is to be personal data. A
 classifier over features of the span is then trained on these probabilities, and decides about
@@ -19,6 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from transitloom.llm.text import matches, spans_of
 
@@ -46,8 +48,10 @@ NAMES = {
     "ssn": "ssn|social security", "iban": "iban|account|konto|cuenta|compte",
 }
 AGAINST = r"(?i)(?:\b(?:version|release|isbn|issn|order|invoice|part|serial|build|figure|page|section|chapter|no|nr)\b[.:#\x20]*|[#§$€£=/])$"
-LABELERS = ["shape", "checksum", "gazetteer", "context"]
-FEATURES = ["kind", "shape", "checksum", "gazetteer", "context", "width"]
+PROSE = r"\p{Ll}{2}[,.;:]?[\x20\n]$"
+BEGINS, WITHIN = r"(?:^|[\x20\x09-\x0D(\[<\"':;,])$", r"[\p{L}\p{N}_]$"
+LABELERS = ["shape", "checksum", "gazetteer", "context", "edge", "alone"]
+FEATURES = ["kind", *LABELERS, "width"]
 SURE = 0.9
 ROUNDS = 50
 
@@ -103,14 +107,17 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     odd = (kind == "card") & ~n.between(12, 19)
     c = c.withColumn("kind", F.when(~odd, kind)).withColumn("base", F.coalesce(_passes() & F.col("kind").isNotNull(), F.lit(False)))
     named = F.regexp_like("before", F.concat(F.lit(r"(?i)\b(?:"), _by_kind(NAMES), F.lit(r")\b[^\n]{0,16}$")))
+    of_another = F.col("before").rlike(r"(?i)\b(?:" + "|".join(dict.fromkeys(NAMES.values())) + r")\b[^\n]{0,16}$")
     strict = (F.when(kind.isin(*BASE), F.col("base")).when(kind == "email_spelled", F.col("value").rlike(r"[\[(](?:dot|DOT)[\])]"))
               .when(kind == "phone_local", F.col("value").rlike(r"^\([0-9]{3}\)\x20"))
               .when(kind == "ssn", ~F.col("value").rlike("^(?:000|666|9)|-00-|-0000$")).when(kind == "iban", F.lit(True)))
     sums = F.when(kind == "card", F.when(F.col("base"), 1).otherwise(-1)).when(
         kind == "iban", F.when(_iban_sum_holds(), 1).otherwise(-1)).otherwise(0)
     return c.withColumns({
-        "shape": _vote(strict, ~strict), "checksum": sums, "gazetteer": _vote(named, F.lit(False)),
-        "context": _vote(F.lit(False), F.coalesce(F.col("before").rlike(AGAINST), F.lit(False))),
+        "shape": _vote(strict, ~strict), "checksum": sums, "gazetteer": _vote(named, of_another),
+        "context": F.when(F.col("before").rlike(AGAINST), -1).when(F.col("before").rlike(PROSE), 1).otherwise(0),
+        "edge": _vote(F.col("before").rlike(BEGINS), F.col("before").rlike(WITHIN)),
+        "alone": _vote(~F.col("before").rlike("[0-9]"), F.col("before").rlike("[0-9]")),
         "width": F.least(F.floor(F.length("value") / 8), F.lit(4)).cast("int"),
     })
 
@@ -151,6 +158,16 @@ def classifier(seen: list[dict], sure: list[float]) -> tuple[float, dict[tuple[s
     return math.log((yes + 1) / (no + 1)), weights
 
 
+def beside_base(found: DataFrame) -> DataFrame:
+    """The candidates without those of looser kinds that overlap a base span of their text, which stays."""
+    base = F.coalesce("base", F.lit(False))
+    text = W.partitionBy("row").orderBy("start", "end")
+    before = F.max(F.when(base, F.col("end"))).over(text.rowsBetween(W.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(text.rowsBetween(0, W.unboundedFollowing))
+    overlaps = F.col("kind").isin(*LOOSE) & F.coalesce((before > F.col("start")) | (after < F.col("end")), F.lit(False))
+    return found.withColumn("__out", overlaps).where(~F.coalesce("__out", F.lit(False))).drop("__out")
+
+
 def train(found: DataFrame) -> tuple[float, dict[tuple[str, object], float]]:
     seen = [r.asDict() for r in found.where(F.col("kind").isNotNull()).groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()]
     seen.sort(key=lambda r: [str(r[f]) for f in FEATURES])
@@ -174,7 +191,7 @@ def scan(docs: DataFrame, store: Callable[[DataFrame, str], DataFrame], text: st
     `store` writes the candidates to the shared folder and reads them back, as they train the classifier
     and are then judged by it. A candidate of a looser kind is added if its score reaches SURE.
     """
-    found = store(candidates(docs, text), "pii-candidates")
+    found = beside_base(store(candidates(docs, text), "pii-candidates"))
     judged = scored(found, train(found))
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     base = F.coalesce("base", F.lit(False))
