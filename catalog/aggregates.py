@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.columns import CATEGORY_SQL, DENSITY_SQL, HEADWAY_SQL, SEVERITY_SQL
-from catalog.registry import add, cte, r
+from catalog.registry import CTES, add, cte, r
 from catalog.standins import POSITION_TIES, TIES
 from transitloom.functions import scalars as s
 from transitloom.functions.statistics import histogram
@@ -18,6 +18,7 @@ from transitloom.operators import realtime as rt
 from transitloom.operators import spatial as sp
 from transitloom.operators import timetable as t
 from transitloom.plans import layers as pl
+from transitloom.sources.tables import number_rows
 
 SEQ = "CAST(stop_sequence AS BIGINT) AS stop_sequence"
 
@@ -105,6 +106,11 @@ add("a06_high_speed_segments",
     lambda T: y.high_speed_segments(T.speed_layer, 60.0, 3, digits=3),
     f"""SELECT route_id, route_short_name, {r('speed', 'speed_kmh', 3)}, count(*) AS segment_count FROM x_speed_layer WHERE speed > 60
         GROUP BY route_id, route_short_name, round(speed, 3) + 0.0 HAVING count(*) >= 3""", speed_kmh=3)
+# the stand-ins have few fast segments, few pairs a route and few routes a segment: lower limits give rows to compare
+add("a06_high_speed_segments_seen_once",
+    lambda T: y.high_speed_segments(T.speed_layer, 60.0, 1, digits=3),
+    f"""SELECT route_id, route_short_name, {r('speed', 'speed_kmh', 3)}, count(*) AS segment_count FROM x_speed_layer WHERE speed > 60
+        GROUP BY route_id, route_short_name, round(speed, 3) + 0.0""", speed_kmh=3)
 add("a07_speed_bands", lambda T: y.speed_bands(T.speed_layer),
     """SELECT CASE WHEN speed < 20 THEN 'slow' WHEN speed < 40 THEN 'medium' WHEN speed < 60 THEN 'fast' ELSE 'very fast' END AS band, count(*) AS qty,
        round(count(*) * 100e0 / sum(count(*)) OVER (), 2) AS perc FROM x_speed_layer GROUP BY 1""", perc=2)
@@ -162,6 +168,9 @@ cte("x_ends", "SELECT route1 AS route_id, overlap, shared FROM x_pairs UNION ALL
 add("a20_highly_duplicated_routes", lambda T: y.highly_duplicated_routes(T.pairs),
     f"""SELECT route_id, count(*) AS num_duplicate_pairs, {r('max(overlap)', 'max_overlap_percentage')}, {r('avg(overlap)', 'avg_overlap_percentage')},
         CAST(sum(shared) AS BIGINT) AS total_shared_segments FROM x_ends GROUP BY 1 HAVING count(*) >= 3""")
+add("a20_highly_duplicated_routes_one_pair", lambda T: y.highly_duplicated_routes(T.pairs, 1),
+    f"""SELECT route_id, count(*) AS num_duplicate_pairs, {r('max(overlap)', 'max_overlap_percentage')}, {r('avg(overlap)', 'avg_overlap_percentage')},
+        CAST(sum(shared) AS BIGINT) AS total_shared_segments FROM x_ends GROUP BY 1""")
 # ---- summaries ----------------------------------------------------------------------------
 BUNCHED = "count(*) FILTER (headway_minutes <= 3) * 100e0 / count(*)"
 add("a26_route_summary_stats", lambda T: k.route_summary_stats(T.bus_headways),
@@ -182,6 +191,19 @@ add("a28_period_means_headway", lambda T: k.headway_by_period(T.bus_headways),
     f"SELECT time_period, {RANK}, {r('avg(headway_minutes)', 'mean_value')}, count(*) AS n, {r(BUNCHED, 'bunching_rate_pct')} FROM x_bus_headways GROUP BY time_period")
 add("a28_daytype_means_headway", lambda T: k.headway_by_day_type(T.bus_headways),
     f"SELECT day_type, {r('avg(headway_minutes)', 'avg_headway')}, {r('stddev_samp(headway_minutes)', 'std_headway')}, {r(BUNCHED, 'bunching_rate_pct')} FROM x_bus_headways GROUP BY 1")
+
+
+def _with_weekend(T):
+    """Headways where every second trip runs five days later, on a Saturday."""
+    later = F.timestamp_seconds(F.unix_seconds("arrival_time") + F.col("trip_id").cast("long") % 2 * 5 * 86400)
+    return rt.headway_stats(T.updates.withColumn("arrival_time", later), T.routes, T.stops).where(F.col("route_type") == "3")
+
+
+cte("z_updates", "SELECT * REPLACE (arrival_epoch + CAST(trip_id AS BIGINT) % 2 * 5 * 86400 AS arrival_epoch) FROM x_updates")
+for old, new in (("lagged", "updates"), ("headways", "lagged"), ("bus_headways", "headways")):
+    cte(f"z_{old}", CTES[f"x_{old}"].replace(f"x_{new}", f"z_{new}"))
+add("a28_daytype_means_headway_weekend", lambda T: k.headway_by_day_type(_with_weekend(T)),
+    f"SELECT day_type, {r('avg(headway_minutes)', 'avg_headway')}, {r('stddev_samp(headway_minutes)', 'std_headway')}, {r(BUNCHED, 'bunching_rate_pct')} FROM z_bus_headways GROUP BY 1")
 add("a28_daytype_means_speed", lambda T: k.speed_by_day_type(T.bus_speeds),
     f"SELECT day_type, {r('avg(scheduled_speed)', 'scheduled_speed', 4)}, {r('avg(actual_speed)', 'actual_speed', 4)}, {r('avg(delta)', 'speed_delta', 4)} FROM x_bus_speeds GROUP BY 1",
     scheduled_speed=4, actual_speed=4, speed_delta=4)
@@ -223,16 +245,16 @@ def _describe_sql(view, pairs, distinct=()):
 
 
 M4 = {c: 4 for c in ("mean", "median", "std", "min", "max")}
-add("a35_describe_delays", lambda T: k.describe(T.bus_delays, ["segment_delay_minutes"], ["trip_instance_id", "route_short_name"]),
+add("a35_describe_delays", lambda T: k.describe(T.bus_delays, ["segment_delay_minutes"], ["trip_instance_id", "route_short_name"], stage=T.stage),
     _describe_sql("x_bus_delays", [("delay_minutes", "segment_delay_minutes", 4)], ["trip_instance_id", "route_short_name"]), **M4)
-add("a35_describe_schedule", lambda T: k.describe(T.bus_schedule, ["delay_minutes"], ["trip_instance_id", "route_short_name", "stop_id"]),
+add("a35_describe_schedule", lambda T: k.describe(T.bus_schedule, ["delay_minutes"], ["trip_instance_id", "route_short_name", "stop_id"], stage=T.stage),
     _describe_sql("x_bus_schedule", [("delay_minutes", "delay_minutes", 4)], ["trip_instance_id", "route_short_name", "stop_id"]), **M4)
-add("a35_describe_speeds", lambda T: k.describe(T.bus_speeds, ["scheduled_speed_kmh", "actual_speed_kmh", "speed_delta_kmh"], ["trip_instance_id", "route_short_name"]),
+add("a35_describe_speeds", lambda T: k.describe(T.bus_speeds, ["scheduled_speed_kmh", "actual_speed_kmh", "speed_delta_kmh"], ["trip_instance_id", "route_short_name"], stage=T.stage),
     _describe_sql("x_bus_speeds", [("scheduled_speed", "scheduled_speed_kmh", 4), ("actual_speed", "actual_speed_kmh", 4), ("delta", "speed_delta_kmh", 4)],
                   ["trip_instance_id", "route_short_name"]), **M4)
-add("a35_describe_headways", lambda T: k.describe(T.bus_headways, ["headway_minutes"], ["route_short_name", "stop_id"]),
+add("a35_describe_headways", lambda T: k.describe(T.bus_headways, ["headway_minutes"], ["route_short_name", "stop_id"], stage=T.stage),
     _describe_sql("x_bus_headways", [("headway_minutes", "headway_minutes", 4)], ["route_short_name", "stop_id"]), **M4)
-add("a35_describe_headway_vs_schedule", lambda T: k.describe(T.hvs.where(F.col("scheduled_headway_minutes").isNotNull()), ["headway_delta_min", "bunching_rate_pct", "gap_rate_pct"]),
+add("a35_describe_headway_vs_schedule", lambda T: k.describe(T.hvs.where(F.col("scheduled_headway_minutes").isNotNull()), ["headway_delta_min", "bunching_rate_pct", "gap_rate_pct"], stage=T.stage),
     _describe_sql("(SELECT * FROM x_hvs WHERE sched IS NOT NULL)", [("delta", "headway_delta_min", 4), ("bunching", "bunching_rate_pct", 4), ("gaps", "gap_rate_pct", 4)]), **M4)
 add("a35_faster_slower", lambda T: k.faster_slower(T.bus_speeds),
     "SELECT count(*) FILTER (delta > 0) AS faster, count(*) FILTER (delta < 0) AS slower, count(*) AS n FROM x_bus_speeds")
@@ -298,12 +320,16 @@ add("a46_trips_per_route_distribution", lambda T: histogram(pl.route_layer(T.rou
 
 # ---- order and top-n ----------------------------------------------------------------------
 add("o01_order_nulls",
-    lambda T: o.order_nulls(T.updates.groupBy("arrival_delay_seconds").agg(F.count("*").alias("n")), "-arrival_delay_seconds"),
-    "SELECT delay AS arrival_delay_seconds, count(*) AS n FROM x_updates GROUP BY 1")
+    # the rows are numbered in the order they come in, so the comparison sees it
+    lambda T: number_rows(T.updates.groupBy("arrival_delay_seconds").agg(F.count("*").alias("n")), ["-arrival_delay_seconds"], "place"),
+    "SELECT row_number() OVER (ORDER BY delay DESC NULLS FIRST) AS place, delay AS arrival_delay_seconds, count(*) AS n FROM x_updates GROUP BY delay")
 add("o02_top_n", lambda T: o.top_n(T.hvs.select("route_id", "stop_id", "observations", "headway_delta_min"), 15, "-headway_delta_min!", "-observations", "route_id", "stop_id"),
     f"""SELECT route_id, stop_id, observations, {r('delta', 'headway_delta_min')} FROM x_hvs ORDER BY delta DESC NULLS LAST, observations DESC, route_id, stop_id LIMIT 15""")
 add("o02_top_duplicated_segments", lambda T: o.top_n(y.shared_segments(T.segments, T.routes, 5).select("segment_id", "num_routes_sharing"), 50, "-num_routes_sharing", "segment_id"),
     "SELECT segment_id, num_routes AS num_routes_sharing FROM x_density WHERE num_routes >= 5 ORDER BY num_routes DESC, segment_id LIMIT 50")
+add("o02_top_duplicated_segments_two_routes",
+    lambda T: o.top_n(y.shared_segments(T.segments, T.routes, 2).select("segment_id", "num_routes_sharing"), 50, "-num_routes_sharing", "segment_id"),
+    "SELECT segment_id, num_routes AS num_routes_sharing FROM x_density WHERE num_routes >= 2 ORDER BY num_routes DESC, segment_id LIMIT 50")
 add("o02_bunching_top_routes", lambda T: k.bunching_top_routes(T.bus_headways, 5).select("route_short_name", "bunching_rate_pct"),
     f"SELECT route_short_name, {r(BUNCHED, 'bunching_rate_pct')} FROM x_bus_headways GROUP BY 1 HAVING count(*) >= 10 ORDER BY {BUNCHED} DESC, route_short_name LIMIT 5")
 add("o03_worst_segments", lambda T: k.worst_segments(T.bus_delays),

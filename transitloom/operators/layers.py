@@ -186,9 +186,9 @@ def speed_bands(speed_layer: DataFrame) -> DataFrame:
 
 def share_of_total(df: DataFrame, key: str, digits: int = 2) -> DataFrame:
     """Rows per value and their percentage of all rows; NULL keys are left out."""
-    # the window holds one row per value, so the table is read once
     counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("qty"))
-    return counted.withColumn("perc", F.round(F.col("qty") * 100.0 / F.sum("qty").over(Window.partitionBy()), digits))
+    # the total is a sum of the same grouped counts, so a key of many values is not gathered in one task
+    return counted.withColumn("perc", F.round(F.col("qty") * 100.0 / counted.agg(F.sum("qty")).scalar(), digits))
 
 
 def route_type_share(routes: DataFrame) -> DataFrame:
@@ -206,11 +206,17 @@ def route_statistics(segments: DataFrame) -> DataFrame:
     )
 
 
-def route_pair_self_join(route_segments: DataFrame) -> DataFrame:
+# Routes of one segment that meet in one task, at most squared.
+PIECE = 512
+
+
+def route_pair_self_join(route_segments: DataFrame, piece: int = PIECE) -> DataFrame:
     """Shared segment counts of route pairs from distinct (route_id, segment_id) rows.
 
     Segments used by exactly the same routes are folded into one weighted representative first, so a
-    corridor of many segments yields its pairs once. What remains is proportional to the result.
+    corridor of many segments yields its pairs once. The routes of a hub are cut into pieces of about ``piece``, and every two pieces
+    meet under a key of their own, so the pairs of one segment are spread over many tasks. Nearly all segments are
+    one piece. Pairs are still made for each representative, and added up on the map side.
     """
     usage = route_segments.select("route_id", "segment_id").distinct()
     who = F.xxhash64("route_id")
@@ -221,13 +227,16 @@ def route_pair_self_join(route_segments: DataFrame) -> DataFrame:
     ).where(F.col("n_routes") > 1)
     folded = signed.groupBy("n_routes", "h1", "h2").agg(
         F.min("segment_id").alias("segment_id"), F.count("*").alias("weight")
-    ).select("segment_id", "weight")
-    kept = usage.join(folded, "segment_id")
-    left = kept.select("segment_id", "weight", F.col("route_id").alias("route1"))
-    right = kept.select("segment_id", F.col("route_id").alias("route2"))
+    ).select("segment_id", "weight", F.ceil(F.col("n_routes") / piece).cast("int").alias("pieces"))
+    kept = usage.join(folded, "segment_id").withColumn("piece", F.pmod(who, F.col("pieces")).cast("int"))
+    left = kept.select("segment_id", "weight", F.col("route_id").alias("one"), F.col("piece").alias("a"),
+                       F.explode(F.sequence(F.col("piece"), F.col("pieces") - 1)).alias("b"))
+    right = kept.select("segment_id", F.col("route_id").alias("two"), F.col("piece").alias("b"),
+                        F.explode(F.sequence(F.lit(0), F.col("piece"))).alias("a"))
     return (
-        left.join(right, "segment_id").where(F.col("route1") < F.col("route2"))
-        .groupBy("route1", "route2").agg(F.sum("weight").alias("shared_segments"))
+        left.join(right, ["segment_id", "a", "b"]).where((F.col("a") < F.col("b")) | (F.col("one") < F.col("two")))
+        .groupBy(F.least("one", "two").alias("route1"), F.greatest("one", "two").alias("route2"))
+        .agg(F.sum("weight").alias("shared_segments"))
     )
 
 

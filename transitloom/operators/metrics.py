@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitloom.functions import scalars as s
@@ -152,19 +154,25 @@ def headway_vs_schedule_summary(layer: DataFrame) -> DataFrame:
         F.sum("observations").alias("observations"), *[F.avg(c).alias(c) for c in means])
 
 
-def describe(df: DataFrame, values: list[str], distinct: list[str] = ()) -> DataFrame:
-    """One row per measure: count, mean, exact median, std, min, max; plus distinct counts of keys."""
-    out = None
-    for v in values:
-        stats = df.agg(
-            F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
-        )
-        median = exact_percentiles(df, v, {"m": 0.5}).scalar()
-        row = stats.select(F.lit(v).alias("measure"), "n", "mean", median.alias("median"), "std", "min", "max")
-        out = row if out is None else out.unionByName(row)
+def describe(df: DataFrame, values: list[str], distinct: list[str] = (), stage: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """One row per measure: count, mean, exact median, std, min, max; plus distinct counts of keys.
+
+    The measures are stacked, so one aggregate and one ranking pass keyed by measure serve them all. ``stage`` stores
+    the columns in use, after which the table itself is not read again.
+    """
+    rows = stage(df.select(*dict.fromkeys([*values, *distinct])))
+    stacked = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")).select("m.*")
+    x = F.col("value")
+    stats = stacked.groupBy("measure").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    # an empty table still has a row for each measure, as counts of nothing are zero
+    named = df.sparkSession.createDataFrame([(v,) for v in values], "measure string")
+    medians = exact_percentiles(stacked, "value", {"median": 0.5}, ["measure"])
+    out = named.join(stats, "measure", "left").join(medians, "measure", "left").select(
+        "measure", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "std", "min", "max")
     if distinct:
-        counts = df.agg(*[F.countDistinct(c).alias(f"distinct_{c}") for c in distinct])
+        counts = rows.agg(*[F.countDistinct(c).alias(f"distinct_{c}") for c in distinct])
         # both sides are a handful of summary rows; the counts are a single one
         out = out.withColumns({c: counts.select(c).scalar() for c in counts.columns})
     return out
@@ -172,10 +180,9 @@ def describe(df: DataFrame, values: list[str], distinct: list[str] = ()) -> Data
 
 def category_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows per class and their percentage of all rows."""
-    # the window holds one row per class, so the table is read once
-    counted = df.groupBy(key).agg(F.count("*").alias("n")).withColumn(
-        "share_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
-    return _named(counted, key)
+    counted = df.groupBy(key).agg(F.count("*").alias("n"))
+    # the total is a sum of the same grouped counts, so a key of many values is not gathered in one task
+    return _named(counted.withColumn("share_pct", F.col("n") * 100.0 / counted.agg(F.sum("n")).scalar()), key)
 
 
 def speed_by_route(speeds: DataFrame, n: int = 20) -> DataFrame:
