@@ -14,6 +14,7 @@ from transitloom.functions import geometry as g
 from transitloom.functions import scalars as s
 from transitloom.operators import metrics as k
 from transitloom.operators import moving as m
+from transitloom.plans import timetable as pt
 from transitloom.session import scratch_path
 from transitloom.sources import census, feed, gtfs, landed, tables
 from transitloom.streaming import feeds
@@ -312,6 +313,39 @@ add("st06_rebuild_window", _rebuilt,
         WHERE entity_timestamp >= (SELECT max(e) * 1000000 - 172800000000 FROM x_landed_positions) GROUP BY 1 HAVING count(DISTINCT entity_timestamp) > 1""")
 
 
+def _with_heads(T):
+    """The last two hours, trips seen in them with what they did up to a day before."""
+    folder, path = T.landed(T.position_snapshots, "heads"), scratch_path(T.spark, "heads-trips")
+    _run(feeds.start_rebuild(feeds.stream_positions(T.spark, folder), scratch_path(T.spark, "heads-positions"), T.trips, T.shape_tracks, path,
+                             scratch_path(T.spark, "heads-checkpoint"), hours=2, head=timedelta(days=1)))
+    return tables.read_snapshot(T.spark, path).select("trip_instance_id", F.size("trip").alias("n"), "starttime")
+
+
+def _scheduled_fallback(T):
+    """Trips without a shape are snapped to their scheduled path: how many vertices of theirs lie on it."""
+    folder, path = T.landed(T.position_snapshots, "fallback"), scratch_path(T.spark, "fallback-trips")
+    line = F.array(g.make_point(F.lit(-123.4), F.lit(49.2)), g.make_point(F.lit(-122.2), F.lit(49.2)))
+    positions = feed.land_vehicle_positions(T.parsed(T.position_snapshots))
+    runs = positions.where("trip_id IS NOT NULL").select("trip_id", s.service_date("start_date", "entity_timestamp").alias("date")).distinct()
+    scheduled = pt.scheduled_tracks(runs.withColumn("path", line))
+    bare = T.trips.withColumn("shape_id", F.lit(None).cast("string"))
+    _run(feeds.start_rebuild(feeds.stream_positions(T.spark, folder), scratch_path(T.spark, "fallback-positions"), bare, T.shape_tracks, path,
+                             scratch_path(T.spark, "fallback-checkpoint"), hours=48, options={"scheduled": scheduled}))
+    rows = tables.read_snapshot(T.spark, path)
+    return rows.where("trip_id IS NOT NULL").select("trip_instance_id", F.size("trip").alias("n"), F.forall("path", lambda p: F.abs(p["lat"] - 49.2) < 1e-9).alias("on_schedule"))
+
+
+add("st06_rebuild_window_with_heads", _with_heads,
+    f"""SELECT trip_instance_id, count(DISTINCT entity_timestamp) AS n, min(entity_timestamp) AS starttime FROM ({_LANDED})
+        WHERE entity_timestamp >= (SELECT max(e) * 1000000 - 93600000000 FROM x_landed_positions)
+          AND trip_instance_id IN (SELECT trip_instance_id FROM ({_LANDED}) WHERE entity_timestamp >= (SELECT max(e) * 1000000 - 7200000000 FROM x_landed_positions))
+        GROUP BY 1 HAVING count(DISTINCT entity_timestamp) > 1""")
+add("st06_rebuild_window_scheduled", _scheduled_fallback,
+    f"""SELECT trip_instance_id, count(DISTINCT entity_timestamp) AS n, true AS on_schedule FROM ({_LANDED})
+        WHERE trip_id IS NOT NULL AND entity_timestamp >= (SELECT max(e) * 1000000 - 172800000000 FROM x_landed_positions)
+        GROUP BY 1 HAVING count(DISTINCT entity_timestamp) > 1""")
+
+
 def _three_days(T):
     """The predictions dealt over three service dates, and the same after one date is gone and another has lost rows."""
     days = F.col("trip_id").cast("long") % 3

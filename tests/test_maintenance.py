@@ -113,7 +113,7 @@ def test_a_hub_of_many_routes_is_spread_over_tasks(spark):
     hub = spark.range(5000).select(F.format_string("r%05d", "id").alias("route_id"), F.lit("hub").alias("segment_id"))
     few = spark.range(40).select(F.format_string("r%05d", F.col("id") % 8).alias("route_id"), F.format_string("s%d", F.col("id") % 5).alias("segment_id"))
     pairs = route_pair_self_join(hub.unionByName(few))
-    seen = pairs.agg(F.count("*").alias("n"), F.count_if("shared_segments > 1").alias("more"), F.max("shared_segments").alias("most"), F.count_if("route1 >= route2").alias("odd")).first()
+    seen = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("shared_segments") > 1).alias("more"), F.max("shared_segments").alias("most"), F.count_if(F.col("route1") >= F.col("route2")).alias("odd")).first()
     assert (seen.n, seen.more, seen.most, seen.odd) == (5000 * 4999 // 2, 28, 6, 0)
     small = [tuple(r) for r in route_pair_self_join(few, piece=2).orderBy("route1", "route2").collect()]
     assert small == [tuple(r) for r in route_pair_self_join(few).orderBy("route1", "route2").collect()] and len(small) == 28

@@ -151,24 +151,38 @@ def rebuild_window(positions: DataFrame, trips: DataFrame, shape_tracks: DataFra
 
 
 def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shape_tracks: DataFrame, path: str,
-                  checkpoint: str, hours: float = 3, options: dict | None = None, **trigger_args):
+                  checkpoint: str, hours: float = 3, head: timedelta | None = None, options: dict | None = None, **trigger_args):
     """After every micro-batch: append it, then rebuild the window that ends at the newest landed time.
 
-    ``options`` go to `actual_trajectories`: scheduled paths, a route filter, ties.
+    Positions lie in a folder for each date and batch. A small table beside them has the newest time of each date, so a batch
+    opens the dates of its window only, however long the history. With ``head``, trips seen in the window keep
+    what they did up to that long before it; without, a trip that began earlier loses its head. ``options`` go to
+    `actual_trajectories`: scheduled paths, a route filter, ties.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    def step(batch: DataFrame, number: int) -> None:
+        spark, date_column = batch.sparkSession, tables.DATE_COLUMN
+        dated = store_and_reload(batch.withColumn(date_column, F.to_date("entity_timestamp")), "positions")
         # the batch number is part of the path, so a repeated batch overwrites itself
-        dated = batch.withColumn(tables.DATE_COLUMN, F.to_date("entity_timestamp"))
-        dated.write.mode("overwrite").partitionBy(tables.DATE_COLUMN).parquet(f"{positions_path}/batch={batch_id:08d}")
-        arrived = spark.read.parquet(positions_path)
+        dated.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            date_column, "batch").parquet(positions_path)
+        # the newest times alternate between two folders, so those a batch starts from stay until the next is done
+        seen = dated.groupBy(date_column).agg(F.max("entity_timestamp").alias("newest")).where("newest IS NOT NULL")
+        if number:
+            seen = spark.read.parquet(f"{positions_path}-dates/slot={(number - 1) % 2}").unionByName(seen).groupBy(date_column).agg(F.max("newest").alias("newest"))
+        seen.write.mode("overwrite").parquet(f"{positions_path}-dates/slot={number % 2}")
+        days = spark.read.parquet(f"{positions_path}-dates/slot={number % 2}").collect()
+        if not days:
+            return
         # the window ends at the newest landed time, so a late file never cuts a longer trip short
-        last_day = arrived.agg(F.max(tables.DATE_COLUMN)).first()[0]
-        newest = arrived.where(F.col(tables.DATE_COLUMN) == last_day).agg(F.max("entity_timestamp")).first()[0]
-        if newest is not None:
-            begin = newest - timedelta(hours=hours)
-            window = arrived.where(F.col(tables.DATE_COLUMN) >= F.lit(begin.date())).drop("batch", tables.DATE_COLUMN)
-            rebuild_window(window, trips, shape_tracks, path, newest, hours, **(options or {}))
+        newest = max(row["newest"] for row in days)
+        begin = newest - timedelta(hours=hours)
+        first = begin - (head or timedelta())
+        opened = [landed.partition_path(positions_path, date_column, row[date_column]) for row in days if row[date_column] >= first.date()]
+        window = spark.read.schema(dated.schema).option("basePath", positions_path).parquet(*opened).select(*batch.columns)
+        if head:
+            known = window.where(F.col("entity_timestamp") >= F.lit(begin)).select("trip_instance_id").distinct()
+            window = window.join(known, "trip_instance_id", "left_semi").select(*batch.columns)
+        rebuild_window(window, trips, shape_tracks, path, newest, start=first, **(options or {}))
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
