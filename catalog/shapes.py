@@ -219,7 +219,7 @@ FROM x_positions_first p LEFT JOIN (
 
 def _snapped(T):
     first = m.dedup_positions(T.positions, POSITION_TIES).withColumn("service_date", s.service_date("start_date", "entity_timestamp"))
-    return m.snap_positions(m.trip_to_line(first, T.trips, T.shape_tracks))
+    return m.snap_to_lines(first, T.trips, T.shape_tracks)
 
 
 add("m04_snap_positions", lambda T: _snapped(T).select("trip_instance_id", "entity_timestamp", "lon", "lat"),

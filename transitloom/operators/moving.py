@@ -67,21 +67,22 @@ def trip_to_line(positions: DataFrame, trips: DataFrame, shape_tracks: DataFrame
                  scheduled: DataFrame | None = None) -> DataFrame:
     """Attach the line a position should lie on: the trip's shape, else its scheduled path.
 
-    ``shape_tracks`` has (line_id, track); ``scheduled`` has (trip_id, date, scheduled_track).
-    Nothing is grouped after these joins, so a hot shape can be split by the adaptive skew join.
+    ``shape_tracks`` has (line_id, track); ``scheduled`` has (trip_id, date, scheduled_track). Which of them a position takes is
+    settled by joins on ids alone. Each track is attached last, in the one join that finds it, so no exchange carries a
+    track of a position; nothing is grouped after that, and a hot shape can be split by the adaptive skew join.
     """
-    shaped = trips.where(F.coalesce("shape_id", F.lit("")) != "").select("trip_id", "shape_id").distinct()
+    shaped = trips.where(F.coalesce("shape_id", F.lit("")) != "").select("trip_id", F.concat(F.lit("shape:"), "shape_id").alias("__line")).distinct()
+    known = shape_tracks.select(F.col("line_id").alias("__line"), F.lit(True).alias("__known"))
     tracks = shape_tracks.select(F.col("line_id").alias("__line"), F.col("track").alias("shape_track"))
-    out = (
-        positions.join(shaped, "trip_id", "left")
-        .withColumn("__line", F.concat(F.lit("shape:"), F.col("shape_id")))
-        .join(tracks, "__line", "left")
-        .drop("__line", "shape_id")
-    )
+    none = F.lit(None).cast(tracks.schema["shape_track"].dataType)
+    placed = positions.join(shaped, "trip_id", "left")
     if scheduled is None:
-        return out.withColumn("scheduled_track", F.lit(None).cast(tracks.schema["shape_track"].dataType))
+        return placed.join(tracks, "__line", "left").drop("__line").withColumn("scheduled_track", none)
+    placed = placed.join(known, "__line", "left")
+    on_shape = placed.where("__known").join(tracks, "__line").drop("__line", "__known").withColumn("scheduled_track", none)
     paths = scheduled.select("trip_id", F.col("date").alias("service_date"), "scheduled_track")
-    return out.join(paths, ["trip_id", "service_date"], "left")
+    others = placed.where("__known IS NULL").drop("__line", "__known").withColumn("shape_track", none).join(paths, ["trip_id", "service_date"], "left")
+    return on_shape.unionByName(others)
 
 
 def snap_positions(placed: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
