@@ -19,7 +19,7 @@ OPERATORS = {
     "mix": lambda d, b: mixing.taken(d, store_and_reload), "simhash": lambda d, b: simhash.classes(d, store_and_reload),
     "near": lambda d, b: simhash.near_duplicates(d, store_and_reload)[0], "lines": lambda d, b: lines.drop_boilerplate(d),
     "quality": lambda d, b: quality.judge(d), "secrets": lambda d, b: secrets.scan(d), "pii": lambda d, b: pii.scan(d, store_and_reload),
-    "decontam": lambda d, b: decontam.report(d, b, store_and_reload),
+    "decontam": lambda d, b: decontam.report(d, b),
 }
 
 
@@ -52,7 +52,7 @@ def test_copies_are_one_page_and_shared_lines_go(spark):
 
 
 def test_values_of_odd_rows(odd, bench):
-    got = {(r.doc_id, r.n_words): r for r in decontam.report(odd, bench, store_and_reload).collect()}
+    got = {(r.doc_id, r.n_words): r for r in decontam.report(odd, bench).collect()}
     assert got[1, 90].n_hit == 90 and got[2, 0].n_hit == 0 and got[3, 20000].n_hit > 0
     judged = quality.judge(odd)
     assert judged.columns == [*odd.columns, *(c + "_" if c in ("kept", "n_words") else c for c in quality.RESULTS)]
@@ -103,7 +103,14 @@ def test_blocks_are_stitched(spark, odd):
 
 
 def test_benchmark_in_blocks_finds_the_same(odd, bench):
-    assert sorted(map(str, decontam.report(odd, bench, store_and_reload, block_bytes=1).collect())) == sorted(map(str, decontam.report(odd, bench, store_and_reload).collect()))
+    whole = sorted(map(str, decontam.report(odd, bench).collect()))
+    assert len(decontam.block_files(bench, 10)) > 1
+    for chunk in (1, 1 << 30):
+        made = decontam.report(odd, bench, block_bytes=10, chunk_bytes=chunk)
+        assert sorted(map(str, made.collect())) == whole
+        # the documents are read once, whatever the number of blocks
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
 
 
 def test_a_key_in_pieces_links_the_same(spark, monkeypatch):

@@ -6,9 +6,9 @@ stretches that cannot hold one are skipped; a shift of zero leads to a bucket of
 hashes of their last and first pairs, and direct comparison confirms. Items too short for a window are searched whole,
 one table for each length.
 
-Benchmark items are a stated query set and are searched in blocks of bounded size: each block is one pass that
-adds its hits to those of the passes before, without a shuffle. What a pass has found is written before the next
-block is built, so the driver and each worker hold one block at a time.
+Benchmark items are a stated query set and are searched in blocks of bounded size. Spark writes the blocks to the shared
+folder and hands the files to the executors. The documents are read once: a task takes them in chunks of bounded size, and
+for each chunk builds the tables of one block after another, so it holds one block at a time; a single block is built once a task.
 
 Nulls: a null text has no words; a null item has none and is never found; a null item id is written as
 "null". Rows that repeat are each searched; equal items are found together. An empty benchmark finds nothing.
@@ -16,18 +16,23 @@ Nulls: a null text has no words; a null item has none and is never found; a null
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from transitloom.llm.text import add_columns, as_bytes, blank, free_name
+from transitloom.llm.text import as_bytes, blank, free_name, sliced
+from transitloom.session import scratch_path
 
-Store = Callable[[DataFrame, str], DataFrame]
 WINDOW = 10
 # Tables of a block take about 200 bytes of memory for each byte of its text (measured: 1.4 GB for 8 MB).
 BLOCK_BYTES = 2_000_000
+# Documents that meet one block after another, so that tables of several blocks are not built for every few texts.
+CHUNK_BYTES = 32_000_000
 ROWS = 256
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
@@ -96,54 +101,83 @@ class Block:
         return sorted(hit), items
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The benchmark in blocks, read one partition at a time."""
-    held, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text IS NOT NULL")
-    for row in rows.toLocalIterator():
-        text = row["text"].encode()
-        held.append((row["item"], tokens(text)))
-        size += len(text)
-        if size >= block_bytes:
-            yield Block(held)
-            held, size = [], 0
-    if held:
-        yield Block(held)
-
+def block_files(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Write the benchmark in blocks of about `block_bytes` to the shared folder and hand the files to the executors; their names.
 
-def search(docs: DataFrame, benchmark: DataFrame, store: Store, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str, str]:
-    """`docs` with two more columns, whose names are returned too: numbers of the words hit, and items found.
-
-    `store` writes a frame to the shared folder and reads it back; a benchmark of one block needs none.
+    Spark deals the items out; only file names pass through the driver.
     """
-    hits, items = free_name(docs.columns, "hits"), free_name(docs.columns, "items")
-    out = docs.withColumns({hits: F.array().cast("array<int>"), items: F.array().cast("array<string>")})
-    for n, block in enumerate(blocks(benchmark, block_bytes)):
-        if n:
-            out = store(out, "decontam")
-        new_hits, new_items = free_name(out.columns, "new_hits"), free_name(out.columns, "new_items")
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    if not size:
+        return []
+    path = scratch_path(spark, "benchmark-blocks")
+    rows.repartition(-(-size // block_bytes)).write.json(path)
+    names = []
+    for file in spark.read.text(path).inputFiles():
+        spark.sparkContext.addFile(file)
+        names.append(unquote(file.rsplit("/", 1)[1]))
+    return sorted(names)
+
 
-        def work(batch: pa.RecordBatch, block: Block = block) -> list[pa.Array]:
-            found = [block.find(tokens(t)) for t in as_bytes(batch, text)]
-            return [pa.array([h for h, _ in found], pa.list_(pa.int32())), pa.array([sorted(i) for _, i in found], pa.list_(pa.string()))]
+def load_block(name: str) -> Block:
+    """The tables of one block, built where they are used."""
+    from pyspark import SparkFiles
 
-        out = add_columns(out, ROWS, [new_hits, new_items], f"`{new_hits}` array<int>, `{new_items}` array<string>", work)
-        out = out.withColumns({hits: F.array_union(hits, new_hits), items: F.array_union(items, new_items)}).drop(new_hits, new_items)
-    return out, hits, items
+    with open(SparkFiles.get(name), encoding="utf-8") as lines:
+        return Block([(row["item"], tokens(row["text"].encode())) for row in map(json.loads, lines)])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, store: Store, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES,
+           chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, str, str]:
+    """`docs` with two more columns, whose names are returned too: numbers of the words hit, and items found."""
+    hits, items = free_name(docs.columns, "hits"), free_name(docs.columns, "items")
+    kinds = [T.StructField(hits, T.ArrayType(T.IntegerType())), T.StructField(items, T.ArrayType(T.StringType()))]
+    names = block_files(benchmark, block_bytes)
+
+    def found(held: list[pa.RecordBatch], only: Block | None) -> Iterator[pa.RecordBatch]:
+        hit: list[list[set[int]]] = [[set() for _ in range(b.num_rows)] for b in held]
+        items_of: list[list[set[str]]] = [[set() for _ in range(b.num_rows)] for b in held]
+        for name in names:
+            block = only or load_block(name)
+            for batch, of_batch, items_of_batch in zip(held, hit, items_of, strict=True):
+                for k, t in enumerate(as_bytes(batch, text)):
+                    at, which = block.find(tokens(t))
+                    of_batch[k].update(at)
+                    items_of_batch[k] |= which
+            del block
+        for batch, h, i in zip(held, hit, items_of, strict=True):
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([sorted(x) for x in h], pa.list_(pa.int32())), pa.array([sorted(x) for x in i], pa.list_(pa.string()))],
+                names=[*batch.schema.names, hits, items])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        only = load_block(names[0]) if len(names) == 1 else None
+        for batch in sliced(batches, ROWS):
+            held.append(batch)
+            size += batch.nbytes
+            if only or size >= chunk_bytes:
+                yield from found(held, only)
+                held, size = [], 0
+        if held:
+            yield from found(held, only)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds])), hits, items
+
+
+def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per text: words, words hit, items found, their digest, and whether it is contaminated."""
     n_words = F.size(F.array_remove(F.split(blank(F.col("text")), BETWEEN), "")).cast("long")
     numbered = docs.select("doc_id", "text", n_words.alias("n_words"))
-    out, hits, items = search(numbered, benchmark, store, block_bytes=block_bytes)
+    out, hits, items = search(numbered, benchmark, block_bytes=block_bytes, chunk_bytes=chunk_bytes)
     return out.select(
         "doc_id", "n_words", F.size(hits).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(items), ",").cast("binary"), 256).alias("items_sha256"),
         (F.size(hits) > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, store: Store, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark, with their columns."""
-    out, hits, _ = search(docs, benchmark, store, text)
+    out, hits, _ = search(docs, benchmark, text)
     return out.where(F.size(hits) == 0).select(*docs.columns)
