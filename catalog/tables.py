@@ -48,7 +48,7 @@ add("c05_write_gtfs", lambda T: gtfs.typed_shapes(_reread(T)["shapes"]).select("
 
 # ---- census and points of interest --------------------------------------------------------
 def _census(T):
-    """Stop neighbourhoods written as one GeoJSON feature per line, some with unusable numbers."""
+    """Stop neighbourhoods written as GeoJSON collections, some with unusable numbers."""
     n = F.col("stop_id").cast("long")
     ring = F.array(*[F.array(F.col("stop_lon") + dx, F.col("stop_lat") + dy) for dx, dy in ((0, 0), (0.01, 0), (0.01, 0.01), (0, 0.01), (0, 0))])
     props = F.struct(F.col("stop_id").alias("id"), F.when(n % 6 == 5, "n/a").otherwise((n * 10).cast("string")).alias("pop"), F.lit("2.5").alias("a"))
@@ -57,8 +57,18 @@ def _census(T):
     shape = F.when(n % 2 == 0, simple).otherwise(several)
     text = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(props), F.lit(',"geometry":{"type":"'), shape["type"], F.lit('","coordinates":'), shape["c"], F.lit("}}"))
     path = scratch_path(T.spark, "census")
-    T.stops.select(text.alias("value")).write.text(path)
-    return census.read_census(T.spark, path, one_feature_per_line=True)
+    # a few files of one document each; the groups are as large as a file is meant to be
+    files = T.stops.select(text.alias("f"), (n % 4).alias("file")).groupBy("file").agg(F.array_join(F.collect_list("f"), ", ").alias("all"))
+    files.select(F.concat(F.lit('{"type":"FeatureCollection","name":"areas","features":['), "all", F.lit("]}")).alias("value")).write.text(path)
+    return census.read_census(T.spark, path)
+
+
+def _census_lines(T):
+    """The same areas, one feature per line."""
+    folder = scratch_path(T.spark, "census-lines")
+    props = F.to_json(F.struct(F.col("stop_id").alias("id"), (F.col("stop_id").cast("long") * 10).cast("string").alias("pop"), F.lit("2.5").alias("a")))
+    T.stops.select(F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":null}')).alias("value")).write.text(folder)
+    return census.read_census(T.spark, folder, one_feature_per_line=True)
 
 
 add("c06_read_census",
@@ -67,6 +77,10 @@ add("c06_read_census",
         CASE WHEN CAST(stop_id AS BIGINT) % 2 = 0 THEN CAST(1 AS BIGINT) ELSE 2 END AS parts, {r('stop_lon + 0.01', 'corner_lon')} FROM x_stops WHERE CAST(stop_id AS BIGINT) % 6 <> 5""")
 
 
+add("c06_read_census_lines", lambda T: _census_lines(T).select("id", "pop", "population_density", F.col("geom").isNull().alias("bare")),
+    "SELECT stop_id AS id, CAST(stop_id AS BIGINT) * 10e0 AS pop, CAST(stop_id AS BIGINT) * 4e0 AS population_density, true AS bare FROM x_stops")
+
+
 def _census_csv(T):
     path = scratch_path(T.spark, "census-csv")
     k_ = F.col("c_custkey")

@@ -117,3 +117,25 @@ def test_a_hub_of_many_routes_is_spread_over_tasks(spark):
     assert (seen.n, seen.more, seen.most, seen.odd) == (5000 * 4999 // 2, 28, 6, 0)
     small = [tuple(r) for r in route_pair_self_join(few, piece=2).orderBy("route1", "route2").collect()]
     assert small == [tuple(r) for r in route_pair_self_join(few).orderBy("route1", "route2").collect()] and len(small) == 28
+
+
+@pytest.mark.parametrize("mark", ['{"type":"Feature"', '{ "type": "Feature"', '{\n  "type" : "Feature"'])
+def test_one_collection_is_read_by_several_tasks(spark, tmp_path, mark):
+    from transitloom.sources import census
+
+    feature = lambda n: mark + f', "properties": {{"id": "{n}", "pop": "{n * 10}", "a": "2", "said": "a \\"Feature\\" , ]}}"}}, "geometry": {{"type": "Polygon", "coordinates": [[[0, 0], [1, {n}], [1, 1], [0, 0]]]}}}}'
+    (tmp_path / "areas.json").write_text('{"type": "FeatureCollection", "crs": {"type": "name"}, "features": [\n' + ",\n".join(map(feature, range(1, 3001))) + "\n], \"end\": {}}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        got = census.read_census(spark, str(tmp_path))
+        assert len({r[0] for r in got.select(F.spark_partition_id()).collect()}) > 3
+        rows = sorted((int(r.id), r.pop, r.geom[0][0][1].lat) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == [(n, n * 10.0, float(n)) for n in range(1, 3001)]
+    (tmp_path / "areas.json").write_text('{"type": "FeatureCollection", "features": [' + feature(1) + "," + feature(2).replace('"type"', ' "type" ', 1) + "]}")
+    with pytest.raises(Exception, match="spaced differently"):
+        census.read_census(spark, str(tmp_path)).collect()
+    (tmp_path / "areas.json").write_text('{"features": [{"geometry": null, "properties": {"id": "7", "pop": "1", "a": "1"}, "type": "Feature"}], "type": "FeatureCollection"}')
+    assert [r.id for r in census.read_census(spark, str(tmp_path)).collect()] == ["7"]

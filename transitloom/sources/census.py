@@ -37,15 +37,34 @@ def census_density(df: DataFrame) -> DataFrame:
         F.col("population_density").isNotNull())
 
 
+_HEAD = re.compile(r'\{\s*"type"\s*:\s*$')
+_AGAIN = r'\{\s*"type"\s*:\s*"Feature"'
+
+
+def _feature_mark(spark: SparkSession, path: str) -> str | None:
+    """How the features of a collection begin, if with their type; told from the head of the file."""
+    first = spark.read.option("lineSep", '"Feature"').text(path).limit(1).first()
+    found = _HEAD.search(first["value"]) if first else None
+    return found[0] + '"Feature"' if found else None
+
+
 def read_census(spark: SparkSession, path: str, one_feature_per_line: bool = False) -> DataFrame:
     """GeoJSON areas with density and multipolygon geometry.
 
-    A plain FeatureCollection is one JSON document and cannot be split; a file with one feature per
-    line can.
+    A FeatureCollection whose features begin with their type, as most writers put it, is cut where a feature begins: that mark is
+    the separator of a text source, which Spark splits by byte ranges, so many tasks read one file. All features must be
+    spaced alike there; one that is not is an error, never a lost row. Other collections are one JSON document and one task.
     """
+    properties, geometry = "properties struct<id:string,pop:string,a:string>", "geometry struct<type:string,coordinates:string>"
+    mark = None if one_feature_per_line else _feature_mark(spark, path)
     if one_feature_per_line:
-        rows = spark.read.schema(f"properties struct<id:string,pop:string,a:string>, "
-                                 "geometry struct<type:string,coordinates:string>").json(path)
+        rows = spark.read.schema(f"{properties}, {geometry}").json(path)
+    elif mark:
+        pieces = spark.read.option("lineSep", mark).text(path).where(~F.col("value").rlike(r'^\s*\{\s*"type"\s*:\s*"FeatureCollection"'))
+        whole = F.when(F.col("value").rlike(_AGAIN), F.raise_error(F.lit("features of one collection are spaced differently"))).otherwise(
+            F.concat(F.lit(mark), F.col("value")))
+        # a piece ends with what parts it from the next feature, or ends the collection; it is not read beyond its object
+        rows = pieces.select(F.from_json(whole, f"{properties}, {geometry}").alias("f")).select("f.*")
     else:
         doc = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
         rows = doc.select(F.explode("features").alias("f")).select("f.*")
