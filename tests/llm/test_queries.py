@@ -174,19 +174,68 @@ def test_pii_adds_what_the_base_patterns_miss(spark):
     assert all("phone_local" not in r.spans for r in got if texts[r.doc_id].startswith("say"))
 
 
+def keeps_quality(text):
+    """Whether no quality rule rejects a text, counted the plain way."""
+    w = re.findall(SPACE, text)
+    lines = [x for x in text.split("\n") if re.search(SPACE, x)]
+    n, chars = len(w), sum(map(len, w))
+    grams = [tuple(w[i:i + 3]) for i in range(n - 2)]
+    repeated = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    if n < 50 or 100 * len(repeated) > 50 * n:
+        return False
+    count = lambda pattern: len(regex.findall(pattern, text))
+    return not (
+        100 * sum(not regex.search(r"\p{L}", x) for x in w) > 40 * n or 100 * count(r"(?m)^[\x20\t]*[-*•]\x20") > 90 * len(lines)
+        or 100 * count(r"\p{Lu}") > 50 * chars or 100 * (len(lines) - len(set(lines))) > 40 * len(lines)
+        or 100 * count(r"(?:\.\.\.|…)[\x20\t\r]*(?:\n|$)") > 30 * len(lines) or 100 * text.count("!") > 50 * n
+        or 100 * count(r"[#*$%&|<>]") > 10 * n or chars < 2 * n or chars > 15 * n)
+
+
+def without_boilerplate(rows):
+    """Texts by id after lines above the ratio of their source's pages are gone, counted the plain way."""
+    pages, holding = {}, {}
+    for source, text in {(r.source, r.text or "") for r in rows}:
+        pages[source] = pages.get(source, 0) + 1
+        for line in {x for x in text.split("\n") if re.search(SPACE, x)}:
+            holding[source, line] = holding.get((source, line), 0) + 1
+    gone = {k for k, n in holding.items() if n >= 2 and n > 0.05 * pages[k[0]]}
+    return {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x) not in gone) for r in rows}
+
+
+def leaks(text, items):
+    """Whether a text holds a window of ten words, or all words of a shorter item."""
+    said = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
+    w = said(text)
+    windows = {tuple(i[k:k + min(10, len(i))]) for i in map(said, items) if i for k in range(len(i) - min(10, len(i)) + 1)}
+    return any(tuple(w[k:k + size]) in windows for size in {len(x) for x in windows} for k in range(len(w) - size + 1))
+
+
 def test_pipeline_matches_plain_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    seen = []
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, store_and_reload(stage(spark, docs, FOLDER), name)
-        if name == "near_dedup":
-            had = sorted(before.collect(), key=lambda r: r.doc_id)
+        seen.append(name)
+        had, has = before.collect(), docs.collect()
+        if name != "mix_sources":
+            assert docs.columns == before.columns
+        if name == "quality_rules":
+            assert sorted(map(str, has)) == sorted(str(r) for r in had if keeps_quality(r.text))
+        elif name == "line_dedup":
+            want = without_boilerplate(had)
+            assert {r.doc_id: (r.text, r.n_chars) for r in has} == {k: (t, len(t)) for k, t in want.items()} and len(has) == len(had)
+            assert any(r.text != want[r.doc_id] for r in had)
+        elif name == "near_dedup":
+            had = sorted(had, key=lambda r: r.doc_id)
             grams = [set(simhash.shingles((r.text or "").encode(), 5)) for r in had]
             linked = [(i, j) for i in range(len(had)) for j in range(i + 1, len(had))
                       if (grams[i] or grams[j]) and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) or grams[i] == grams[j]]
             root = roots(len(had), linked)
-            assert {r.doc_id for r in docs.collect()} == {had[x].doc_id for x in set(root)}
-        elif name != "mix_sources":
-            assert docs.columns == before.columns
+            assert {r.doc_id for r in has} == {had[x].doc_id for x in set(root)}
+        elif name == "decontaminate":
+            assert sorted(map(str, has)) == sorted(str(r) for r in had if not leaks(r.text, items)) and len(has) < len(had)
+    assert seen == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "mix_sources"]
     assert docs.groupBy("source_size", "target").agg({"taken": "sum"}).where("abs(`sum(taken)` - target) > 1").count() == 0
 
 
