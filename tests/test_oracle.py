@@ -14,8 +14,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "p03_normalise_time", "p07_trip_instance_id", "p17_bin_right_closed", "w01_dedup_updates", "w05_prev_vehicle", "a08_headway_by_stop", "a15_headway_vs_schedule",
     "a19_route_duplication", "a35_describe_headways", "g11_intersection_length_m", "j02_keep_referenced", "m05_actual_trajectories", "v02_service_dates", "v03_route_segments",
-    "v06_delay_analysis", "c10_land_vehicle_positions", "st01_stream_positions",
+    "v06_delay_analysis", "c10_land_vehicle_positions", "st01_stream_positions", "c06_read_census", "c16_retain_landed", "c18_truncate_landed",
+    "j12_poi_buffer_intersects", "j14_route_pair_self_join", "j17_trip_to_line_cascade", "o01_order_nulls", "v10_poi_population_overlay",
+    "st05_drop_repeats_bounded", "st06_rebuild_window_with_heads", "st07_refresh_views",
 ]
+# With the limits that layers have by default the stand-ins have nothing to show; each has a variant with lower limits.
+MAY_BE_EMPTY = {"a06_high_speed_segments", "a20_highly_duplicated_routes", "o02_top_duplicated_segments"}
 QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 NAMES = sorted(ORACLE) if os.environ.get("TRANSITLOOM_ALL") else SAMPLE
 
@@ -42,7 +46,7 @@ def test_query_matches_its_sql(spark, duck, name):
     assert sorted(frame.columns) == sorted(columns)
     want = sorted(tuple(plain(v) for v in row) for row in cursor.fetchall())
     got = sorted(tuple(plain(row[c]) for c in columns) for row in frame.collect())
-    assert got == want
+    assert got == want and (got or name in MAY_BE_EMPTY)
 
 
 def test_every_query_has_sql_and_the_flagship_has_rows(spark):
