@@ -244,14 +244,23 @@ def _exported(T):
         "speed_summary": (k.speed_summary(T.bus_speeds), ["route_short_name", "from_stop_name"]),
         "headway_vs_schedule_summary": (k.headway_vs_schedule_summary(T.hvs), ["route_short_name", "stop_name"]),
     }, path)
-    return T.spark.read.schema("route_short_name string, stop_name string, time_period string, avg_headway double, std_headway double, min_headway double, "
-                               "max_headway double, n long, bunching_rate_pct double").csv(f"{path}/headway_summary", header=True)
+    out = None
+    for name, (place, value, _) in EXPORTED.items():
+        one = T.spark.read.csv(f"{path}/{name}", header=True).select(
+            F.lit(name).alias("file"), "route_short_name", F.col(place).alias("place"), F.round(F.col(value).cast("double"), 4 if name == "speed_summary" else 6).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-add("c19_export_summary", lambda T: _exported(T),
-    f"""SELECT route_short_name, stop_name, time_period, {r('avg(headway_minutes)', 'avg_headway')}, {r('stddev_samp(headway_minutes)', 'std_headway')},
-        {r('min(headway_minutes)', 'min_headway')}, {r('max(headway_minutes)', 'max_headway')}, count(*) AS n, {r('count(*) FILTER (headway_minutes <= 3) * 100e0 / count(*)', 'bunching_rate_pct')}
-        FROM x_bus_headways WHERE stop_name IS NOT NULL GROUP BY route_short_name, stop_name, time_period""")
+# of each file: the place, a measure, and the query whose SQL is its check
+EXPORTED = {
+    "headway_summary": ("stop_name", "avg_headway", "a33_headway_summary"), "schedule_times_summary": ("stop_name", "avg_delay", "a31_schedule_summary"),
+    "delay_segments_summary": ("from_stop_name", "avg_delay", "a32_delay_summary"), "speed_summary": ("from_stop_name", "actual_speed_mean", "a30_speed_summary"),
+    "headway_vs_schedule_summary": ("stop_name", "headway_delta_min", "a34_hvs_summary"),
+}
+add("c19_export_summary", lambda T: _exported(T), " UNION ALL ".join(
+    f"SELECT '{name}' AS file, route_short_name, {place} AS place, {value} AS value FROM ({registry.ORACLE[query]})"
+    for name, (place, value, query) in EXPORTED.items()))
 
 
 # ---- streams ------------------------------------------------------------------------------
