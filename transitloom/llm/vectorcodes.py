@@ -38,8 +38,8 @@ SCALE = 256
 # Exact sums of squares of this size fit in 64 bits for vectors of up to 1,024 components.
 LARGEST = 1 << 26
 ROWS = 2048
-# Far above the rounding of a square root or a difference of two.
-SLACK = 1e-12
+# Far above the rounding of a square root in 32 bits, or of a difference of two.
+SLACK = 2e-6
 
 Store = Callable[[DataFrame, str], DataFrame]
 
@@ -76,21 +76,27 @@ def nearest(x: np.ndarray, away: np.ndarray, book: np.ndarray, pivots: np.ndarra
     `away` holds the squared distances of the parts to the pivots.
     """
     n = len(x)
-    between = np.sqrt(((book[:, None, :] - pivots[None, :, :]) ** 2).sum(2).astype(np.float64))
-    to = np.sqrt(away.astype(np.float64))[:, None, :]
-    low = np.maximum(np.abs(to - between) - SLACK * (to + between), 0).max(2) ** 2 * (1 - SLACK)
-    order = np.argsort(low, axis=1, kind="stable")
+    to = np.sqrt(away.astype(np.float64)).astype(np.float32)
+    between = np.sqrt(((book[:, None, :] - pivots[None, :, :]) ** 2).sum(2).astype(np.float64)).astype(np.float32)
+    low = np.zeros((n, len(book)), np.float32)
+    for p in range(len(pivots)):
+        np.maximum(low, np.abs(to[:, p, None] - between[:, p]), out=low)
+    low -= SLACK * (to.max(initial=0) + between.max())
+    np.maximum(low, 0, out=low)
+    low *= low
+    low *= np.float32(1 - SLACK)
     best, at, rows, evaluated = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), np.arange(n), 0
-    for k in range(len(book)):
-        entry = order[rows, k]
-        still = low[rows, entry] <= best[rows]
-        rows, entry = rows[still], entry[still]
-        if not rows.size:
-            break
+    while rows.size:
+        # of the entries not visited yet, the one of the lowest bound; among equals that of the lowest index
+        entry = low.argmin(axis=1)
+        still = low[np.arange(len(rows)), entry] <= best[rows]
+        if not still.all():
+            rows, entry, low = rows[still], entry[still], low[still]
         evaluated += rows.size
         exact = ((x[rows] - book[entry]) ** 2).sum(1)
         better = (exact < best[rows]) | ((exact == best[rows]) & (entry < at[rows]))
         best[rows[better]], at[rows[better]] = exact[better], entry[better]
+        low[np.arange(len(rows)), entry] = np.inf
     return at, best, evaluated
 
 
