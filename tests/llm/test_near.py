@@ -82,3 +82,32 @@ def test_short_texts_match_brute_force(spark):
     want = brute(texts)
     assert want[-1] == want[-2] and len(set(want)) > 60
     assert found(spark, texts) == want
+
+
+def test_pivots_rule_out_pairs_but_no_similar_one(spark):
+    rng = np.random.default_rng(12)
+    sets, ruled_out = [], 0
+    for _ in range(40):
+        own = rng.integers(0, 2**64, rng.integers(5, 200), dtype=np.uint64)
+        sets += [np.unique(own), np.unique(np.concatenate([own[len(own) // 10:], rng.integers(0, 2**64, len(own) // 10, dtype=np.uint64)]))]
+    table = np.array([simhash.pivots(s) for s in sets])
+    near = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            apart = np.abs(table[i] - table[j]).max()
+            assert apart <= len(sets[i]) + len(sets[j]) - 2 * both
+            out = apart > simhash.farthest(np.array(len(sets[i])), len(sets[j]), 0.8)
+            ruled_out += bool(out)
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                near.add((i, j))
+                assert not out
+    assert near and ruled_out > 1000
+    links = simhash.set_forest(sets, np.arange(len(sets)), 0.8, None, table)
+    assert links and links == simhash.set_forest(sets, np.arange(len(sets)), 0.8)
+    rows = [(bytes([i]), s.astype("<u8").tobytes(), simhash.pivots(s).tolist()) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "key binary, grams binary, pivots array<bigint>")
+    pairs = held.selectExpr("key AS src").crossJoin(held.selectExpr("key AS dst")).where("src < dst")
+    left = {(r.dst[0], r.src[0]) for r in simhash.reachable(pairs, held, 0.8).collect()}
+    assert near <= left and len(left) <= len(sets) * (len(sets) - 1) / 2 - ruled_out
+    assert {(r.dst[0], r.src[0]) for r in simhash.verified(pairs, held, 0.8).collect()} == near

@@ -12,8 +12,11 @@ held by very many fingerprints are dealt out as pairs of pieces, so no task hold
 a similarity of 0.8 differ in about ten bits, beyond the reach of a whole-text fingerprint. So each text has
 several fingerprints, each the SimHash of a small sample of its shingles, drawn alike from equal shingles. Texts of few
 shingles have the smallest of their hashes instead, of which two similar ones always share one.
-Texts that share one are compared by their whole sets of shingles: each with a few others first, which joins nearly
-all copies, then all holders of a fingerprint that are not yet of one class.
+A pivot table holds the distance of each whole set to sixteen references: the set of all hashes nearer than half the bits to
+a reference. The distance of two sets is the number of shingles that only one has, a metric, so no two sets are nearer than
+their largest difference of coordinates: pairs that it rules out are never compared, and no similar pair is.
+Texts that share a fingerprint and pass are compared by their whole sets of shingles: each with a few others first, which
+joins nearly all copies, then all holders of a fingerprint that are not yet of one class.
 
 Nulls: a null text has no words, and the fingerprint zero. A null id is ignored by the minimum of a component;
 a component of null ids has a null id. Rows that repeat share a fingerprint. Empty tables give empty results.
@@ -272,13 +275,36 @@ def candidates(signed: DataFrame) -> DataFrame:
         F.least("key", "other").alias("src"), F.greatest("key", "other").alias("dst")).distinct()
 
 
+def pivots(h: np.ndarray) -> np.ndarray:
+    """Distances of a set of hashes to the references, less the size of the reference: `len(h)` less twice what both hold."""
+    held = np.zeros(len(REFERENCES), dtype=np.int64)
+    for i in range(0, len(h), 32768):
+        held += np.count_nonzero(coordinates(h[i:i + 32768]) < 32, axis=0)
+    return len(h) - 2 * held
+
+
+def farthest(a: np.ndarray, b: np.ndarray | int, similarity: float) -> np.ndarray:
+    """The most shingles that only one of two sets of these sizes has, where the sets are that similar."""
+    return (a + b) * (1 - similarity) / (1 + similarity) + 1e-9 * (a + b)
+
+
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """The sorted hashes of the different shingles of each text, as bytes (key, grams)."""
+    """The sorted hashes of the different shingles of each text, as bytes, and their pivot table (key, grams, pivots)."""
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([np.unique(hashes(t, k)).astype("<u8").tobytes() for t in as_bytes(batch, "text")], pa.binary())]
+        sets = [np.unique(hashes(t, k)) for t in as_bytes(batch, "text")]
+        return [pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([pivots(s) for s in sets], pa.list_(pa.int64()))]
+
+    return add_columns(texts.select("key", "text"), ROWS, ["grams", "pivots"], "grams binary, pivots array<bigint>", work).drop("text")
+
 
-    return add_columns(texts.select("key", "text"), ROWS, ["grams"], "grams binary", work).drop("text")
+def reachable(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that no coordinate rules out, before any whole set is moved."""
+    held = sets.select("key", "pivots", F.expr("octet_length(grams) DIV 8").alias("size"))
+    met = pairs.join(held.select(F.col("key").alias("src"), F.col("pivots").alias("a"), F.col("size").alias("m")), "src").join(
+        held.select(F.col("key").alias("dst"), F.col("pivots").alias("b"), F.col("size").alias("n")), "dst")
+    apart = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
+    return met.where(apart <= farthest(F.col("m"), F.col("n"), similarity)).select("src", "dst")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -292,16 +318,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             out.append(both / (len(x) + len(y) - both))
         return [pa.array(out, pa.float64())]
 
-    full = pairs.join(sets.select(F.col("key").alias("src"), F.col("grams").alias("a")), "src").join(
+    full = reachable(pairs, sets, similarity).join(sets.select(F.col("key").alias("src"), F.col("grams").alias("a")), "src").join(
         sets.select(F.col("key").alias("dst"), F.col("grams").alias("b")), "dst").select("src", "dst", "a", "b")
     return add_columns(full, ROWS, ["jaccard"], "jaccard double", compare).where(F.col("jaccard") >= similarity).select("src", "dst")
 
 
-def set_forest(sets: list[np.ndarray], tree: np.ndarray, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def set_forest(sets: list[np.ndarray], tree: np.ndarray, similarity: float, side: np.ndarray | None = None,
+               table: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what is similar in one group, as positions. `tree` tells what is connected before.
 
     Sets are visited in order of size, so each meets only those that are not too large to be similar. With `side`,
-    only pairs of different sides are compared.
+    only pairs of different sides are compared; with the pivot `table` of the sets, only those that no coordinate rules out.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in order])
@@ -315,6 +342,10 @@ def set_forest(sets: list[np.ndarray], tree: np.ndarray, similarity: float, side
         near = tree[i + 1:end] != tree[i]
         if side is not None:
             near &= side[order[i + 1:end]] != side[order[i]]
+        if table is not None:
+            at = np.flatnonzero(near)
+            apart = np.abs(table[order[i + 1 + at]] - table[order[i]]).max(axis=1, initial=0)
+            near[at] = apart <= farthest(sizes[i + 1 + at], sizes[i], similarity)
         if not near.any():
             continue
         mine = flat[starts[i]:starts[i + 1]]
@@ -344,14 +375,14 @@ def remaining(distinct: DataFrame, sets: DataFrame, roots: DataFrame, store: Sto
     lower = F.transform(F.sequence(F.lit(0), F.col("piece")), lambda o: F.struct(o.alias("a"), F.col("piece").alias("b")))
     upper = F.transform(F.sequence(F.col("piece"), F.col("pieces") - 1), lambda o: F.struct(F.col("piece").alias("a"), o.alias("b")))
     dealt = met.select("sign", "key", "root", "piece", F.array_distinct(F.concat(lower, upper)).alias("pairs")).join(sets, "key").select(
-        "sign", "root", "piece", "grams", F.explode("pairs").alias("pair")).select("sign", "pair.a", "pair.b", "piece", "root", "grams")
+        "sign", "root", "piece", "grams", "pivots", F.explode("pairs").alias("pair")).select("sign", "pair.a", "pair.b", "piece", "root", "grams", "pivots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in sliced(batches, ROWS) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for (_, a, b), group in groupby(rows, key=lambda r: r[:3]):
-            piece, root, grams = zip(*(r[3:] for r in group), strict=True)
+            piece, root, grams, table = zip(*(r[3:] for r in group), strict=True)
             tree = np.unique(np.array(root, dtype=object), return_inverse=True)[1]
-            found = set_forest([np.frombuffer(g, "<u8") for g in grams], tree, similarity, np.array(piece) if a != b else None)
+            found = set_forest([np.frombuffer(g, "<u8") for g in grams], tree, similarity, np.array(piece) if a != b else None, np.array(table))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f(root[i], root[j]) for i, j in found], pa.binary()) for f in (min, max)], names=["src", "dst"])
