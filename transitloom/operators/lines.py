@@ -151,26 +151,37 @@ def collect_lines(segments: DataFrame, by: str = "route_id") -> DataFrame:
     they are never gathered into one value.
     """
     return (
-        segments.where(F.col("seg_geom").isNotNull())
+        counted_lines(segments, by, "stop1_id", "stop2_id", "geom_key", measures={"seg_length": F.max("seg_length")})
         .groupBy(by, "stop1_id", "stop2_id", "geom_key")
         .agg(
-            F.count("*").alias("copies"),
+            F.sum("copies").alias("copies"),
             F.max("seg_length").alias("seg_length"),
-            F.any_value("seg_geom").alias("seg_geom"),
+            F.max_by("seg_geom", "copies").alias("seg_geom"),
         )
     )
 
 
+def counted_lines(segments: DataFrame, *keys: str | Column, measures: dict[str, Column] | None = None) -> DataFrame:
+    """Segments with a line, one row per keys and line, with their number (``copies``).
+
+    The line is a key here: picking one of many makes Spark sort all rows with their lines, while equal keys
+    collapse in a hash table. What is left is picked from later, by ``copies``: an aggregate that any row would do for is
+    merged with this one by the planner.
+    """
+    return segments.where(F.col("seg_geom").isNotNull()).groupBy(*keys, "seg_geom").agg(
+        F.count("*").alias("copies"), *[c.alias(n) for n, c in (measures or {}).items()])
+
+
 def segment_geometries(segments: DataFrame) -> DataFrame:
     """Geometry dimension: one line per (stop pair, geometry key)."""
     return (
-        segments.where(F.col("seg_geom").isNotNull())
+        counted_lines(segments, "stop1_id", "stop2_id", "geom_key")
         .groupBy("stop1_id", "stop2_id", "geom_key")
-        .agg(F.any_value("seg_geom").alias("geom"))
+        .agg(F.max_by("seg_geom", "copies").alias("geom"))
     )
 
 
-def attach_geometry(layer: DataFrame, geometries: DataFrame, stop1: str, stop2: str) -> DataFrame:
-    """Add the line to an aggregated layer; grouping works on the short key, not on coordinate arrays."""
-    dim = geometries.select(F.col("stop1_id").alias(stop1), F.col("stop2_id").alias(stop2), "geom_key", "geom")
+def attach_geometry(layer: DataFrame, geometries: DataFrame, stop1: str, stop2: str, *more: str) -> DataFrame:
+    """Add the line (and further columns of it) to a layer; grouping works on the short key, not on coordinate arrays."""
+    dim = geometries.select(F.col("stop1_id").alias(stop1), F.col("stop2_id").alias(stop2), "geom_key", "geom", *more)
     return layer.join(dim, [stop1, stop2, "geom_key"], "left")

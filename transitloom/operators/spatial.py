@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from transitloom.functions import geometry as g
 from transitloom.functions import scalars as s
 from transitloom.functions.statistics import exact_percentiles, percentile_value
+from transitloom.operators.lines import counted_lines
 from transitloom.operators.timetable import bus_only
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -128,10 +129,8 @@ def distinct_segments(segments: DataFrame, routes: DataFrame | None = None) -> D
     """Distinct (segment key, geometry) of bus segments, with how often each occurs."""
     rows = segments.where(F.col("seg_geom").isNotNull())
     rows = bus_only(rows, routes) if routes is not None else rows
-    return (
-        rows.withColumn("segment_id", s.segment_key("stop1_id", "stop2_id"))
-        .groupBy(*LINE).agg(F.count("*").alias("copies"), F.any_value("seg_geom").alias("seg_geom"))
-    )
+    return counted_lines(rows.withColumn("segment_id", s.segment_key("stop1_id", "stop2_id")), *LINE).groupBy(*LINE).agg(
+        F.sum("copies").alias("copies"), F.max_by("seg_geom", "copies").alias("seg_geom"))
 
 
 def segment_usage(segments: DataFrame) -> DataFrame:
@@ -139,9 +138,10 @@ def segment_usage(segments: DataFrame) -> DataFrame:
 
     A layer that looks at the segments in several ways stores this, a row for each route and line, and reads no trip twice.
     """
-    return segments.where(F.col("seg_geom").isNotNull()).groupBy(
-        "route_id", s.segment_key("stop1_id", "stop2_id").alias("segment_id"), "geom_key").agg(
-        F.count("*").alias("copies"), F.sum("seg_length").alias("metres"), F.any_value("seg_geom").alias("seg_geom"))
+    keys = ["route_id", "segment_id", "geom_key"]
+    rows = segments.withColumn("segment_id", s.segment_key("stop1_id", "stop2_id"))
+    return counted_lines(rows, *keys, measures={"metres": F.sum("seg_length")}).groupBy(*keys).agg(
+        F.sum("copies").alias("copies"), F.sum("metres").alias("metres"), F.max_by("seg_geom", "copies").alias("seg_geom"))
 
 
 def used_lines(usage: DataFrame) -> DataFrame:
