@@ -168,23 +168,25 @@ def stop_fraction(ts: DataFrame, edges: DataFrame, stops: DataFrame) -> DataFram
     return rows.join(stop_shares(rows, edges, stops), ["line_id", "stop_id"], "left").withColumn("perc", perc).drop("share", "line_id", "__place")
 
 
-def segments_lead(ts: DataFrame) -> DataFrame:
-    """Each stop with the next stop of its trip; the last stop has no segment."""
+def calls_lead(ts: DataFrame) -> DataFrame:
+    """Each stop with the next stop of its trip, if there is one."""
     w = Window.partitionBy("trip_id").orderBy("stop_sequence")
-    return (
-        ts.select(
-            "trip_id", "route_id", "service_id", "shape_id", "num_stops", *(c for c in ("line_id",) if c in ts.columns),
-            F.col("stop_sequence").alias("stop1_sequence"),
-            F.lead("stop_sequence").over(w).alias("stop2_sequence"),
-            F.col("stop_id").alias("stop1_id"),
-            F.lead("stop_id").over(w).alias("stop2_id"),
-            F.col("arrival_seconds").alias("stop1_arrival"),
-            F.lead("arrival_seconds").over(w).alias("stop2_arrival"),
-        )
-        .where(F.col("stop2_sequence").isNotNull())
+    return ts.select(
+        "trip_id", "route_id", "service_id", "shape_id", "num_stops", *(c for c in ("line_id", "__place") if c in ts.columns),
+        F.col("stop_sequence").alias("stop1_sequence"),
+        F.lead("stop_sequence").over(w).alias("stop2_sequence"),
+        F.col("stop_id").alias("stop1_id"),
+        F.lead("stop_id").over(w).alias("stop2_id"),
+        F.col("arrival_seconds").alias("stop1_arrival"),
+        F.lead("arrival_seconds").over(w).alias("stop2_arrival"),
     )
 
 
+def segments_lead(ts: DataFrame) -> DataFrame:
+    """Each stop with the next stop of its trip; the last stop has no segment."""
+    return calls_lead(ts).where(F.col("stop2_sequence").isNotNull()).drop("__place")
+
+
 PATTERN = ["line_id", "stop1_id", "stop2_id", "head1", "head2", "tail2"]
 
 

@@ -55,14 +55,15 @@ def route_segments(trips: DataFrame, stop_times: DataFrame, stops: DataFrame, sh
     """Stop-to-stop segments with geometry, length and scheduled times.
 
     Geometry is cut once per distinct (line, stop pair) and joined back; trips without a shape share the line of their
-    stop pattern. Its running lengths (``run_m``) come with it. Calls, segment rows and edges feed several branches: on a
-    large feed pass a ``stage`` that writes them to the shared folder and reads them back, so that each is computed once.
+    stop pattern. Its running lengths (``run_m``) come with it. Calls, which have the next call beside them, and edges feed several branches:
+    on a large feed pass a ``stage`` that writes them to the shared folder and reads them back, so that each is computed once.
     """
-    calls = stage(t.with_line(t.transit_stops(trips, stop_times)))
-    segments = stage(t.with_pattern(t.segments_lead(calls)))
-    edges = stage(t.shape_edges(shapes).unionByName(t.pattern_edges(calls, stops)))
+    calls = stage(t.with_pattern(t.calls_lead(t.with_line(t.transit_stops(trips, stop_times)))))
+    segments = calls.where(F.col("stop2_sequence").isNotNull()).drop("__place")
+    edges = stage(t.shape_edges(shapes).unionByName(t.pattern_edges(calls.withColumnRenamed("stop1_id", "stop_id"), stops)))
     patterns = stage(t.pattern_geometry(segments, edges, stops))
-    broken = segments.join(patterns.select(*t.PATTERN), t.PATTERN, "left_anti").select("trip_id").distinct()
+    # stored, its size is known before the segments are: few or none, so they are not moved to meet it
+    broken = stage(segments.join(patterns.select(*t.PATTERN), t.PATTERN, "left_anti").select("trip_id").distinct())
     return (
         segments.join(broken, "trip_id", "left_anti")
         .join(patterns, t.PATTERN)
