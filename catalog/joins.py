@@ -70,7 +70,7 @@ add("j06_attach_schedule",
     f"""SELECT trip_instance_id, CAST(d.stop_sequence AS BIGINT) AS stop_sequence, CAST(ts.arrival_seconds AS BIGINT) AS scheduled_arrival_seconds FROM x_deduped d
         LEFT JOIN x_transit_stops ts ON ts.trip_id = d.trip_id AND ts.stop_sequence = d.stop_sequence""")
 add("j07_speed_with_geometry",
-    lambda T: rt.speed_with_geometry(T.speeds, T.delays).select("trip_instance_id", "stop_sequence", F.size("geom").alias("points")),
+    lambda T: rt.speed_with_geometry(T.speeds, T.delays, T.geometries).select("trip_instance_id", "stop_sequence", F.size("geom").alias("points")),
     f"SELECT trip_instance_id, {SEQ}, coalesce(no_points, 1) AS points FROM x_observed")
 add("j08_headway_with_schedule",
     lambda T: y.headway_with_schedule(T.bus_headways, T.scheduled_headways).select("route_id", "stop_id", "arrival_time", "headway_minutes", "scheduled_headway_minutes"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from transitloom.functions import scalars as s
 from transitloom.functions.windows import sliced_lag
+from transitloom.operators.lines import attach_geometry, segment_geometries
 
 UPDATE_VALUES = [
     "trip_id", "route_id", "service_date", "stop_id", "arrival_time", "departure_time",
@@ -27,6 +28,9 @@ def dedup_updates(updates: DataFrame, ties: list[str] = ()) -> DataFrame:
     return rows.select(*keys, *[F.col(f"__r.{c}").alias(names.get(c, c)) for c in UPDATE_VALUES])
 
 
+NEXT = ["next_stop_sequence", "next_stop_id", "next_actual_arrival", "next_delay_seconds"]
+
+
 def next_stop(deduped: DataFrame) -> DataFrame:
     """Sequence, stop, arrival and delay of the next observed stop of the same trip instance.
 
@@ -45,11 +49,12 @@ def updates_to_segments(pairs: DataFrame, segments: DataFrame, require_adjacent:
     """Join observed stop pairs to the timetable segment that starts at the first stop.
 
     A missing observation makes the observed pair span several segments; ``require_adjacent``
-    drops such pairs.
+    drops such pairs. Segments may come without their lines; ``with_lines`` attaches them to what is left.
     """
     seg = segments.select(
         "trip_id", F.col("stop1_sequence").alias("stop_sequence"), "stop2_sequence", "seg_length",
-        (F.col("stop2_arrival") - F.col("stop1_arrival")).alias("scheduled_seconds"), "seg_geom", "geom_key",
+        (F.col("stop2_arrival") - F.col("stop1_arrival")).alias("scheduled_seconds"),
+        *(c for c in ("seg_geom",) if c in segments.columns), "geom_key",
         F.col("stop1_id").alias("seg_stop1_id"), F.col("stop2_id").alias("seg_stop2_id"),
     ).where((F.col("seg_length") > 10) & (F.col("scheduled_seconds") > 0))
     observed = pairs.withColumn("actual_seconds", s.epoch_diff("next_actual_arrival", "actual_arrival")).where(
@@ -61,6 +66,11 @@ def updates_to_segments(pairs: DataFrame, segments: DataFrame, require_adjacent:
     return out
 
 
+def with_lines(rows: DataFrame, geometries: DataFrame) -> DataFrame:
+    """Attach the line of the segment to observed pairs: no coordinates move with a row before."""
+    return attach_geometry(rows, geometries, "seg_stop1_id", "seg_stop2_id").withColumnRenamed("geom", "seg_geom")
+
+
 def attach_names(rows: DataFrame, routes: DataFrame, stops: DataFrame,
                  from_stop: str = "stop_id", to_stop: str | None = "next_stop_id") -> DataFrame:
     """Left-join route names and stop names with positions."""
@@ -151,8 +161,18 @@ def _local_time(ts: str) -> dict:
 def speed_comparison(deduped: DataFrame, segments: DataFrame, routes: DataFrame, stops: DataFrame,
                      require_adjacent: bool = False) -> DataFrame:
     """Scheduled against observed speed per observed segment."""
-    rows = updates_to_segments(next_stop(deduped), segments, require_adjacent)
-    rows = rows.withColumns({
+    rows = updates_to_segments(next_stop(deduped), segments.drop("seg_geom"), require_adjacent)
+    return drawn_speeds(speeds_of(rows, routes, stops), segment_geometries(segments))
+
+
+def drawn_speeds(speeds: DataFrame, geometries: DataFrame) -> DataFrame:
+    keys = ["geom_key", "seg_stop1_id", "seg_stop2_id"]
+    return with_lines(speeds, geometries).select(*(c for c in speeds.columns if c not in keys), "seg_geom", *keys)
+
+
+def speeds_of(observed: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """The speed comparison of observed segments, without their lines."""
+    rows = observed.withColumns({
         "scheduled_speed_kmh": s.speed_kmh("seg_length", "scheduled_seconds"),
         "actual_speed_kmh": s.speed_kmh("seg_length", "actual_seconds"),
         **_local_time("actual_arrival"),
@@ -162,23 +182,36 @@ def speed_comparison(deduped: DataFrame, segments: DataFrame, routes: DataFrame,
         "service_date", "stop_sequence", "next_stop_sequence", "stop_id", "next_stop_id",
         "from_stop_name", "to_stop_name", F.col("seg_length").alias("segment_length_m"),
         "scheduled_seconds", "actual_seconds", "arrival_delay_seconds", "hour_of_day", "day_of_week",
-        "scheduled_speed_kmh", "actual_speed_kmh", "seg_geom", "geom_key", "seg_stop1_id", "seg_stop2_id",
+        "scheduled_speed_kmh", "actual_speed_kmh", "geom_key", "seg_stop1_id", "seg_stop2_id",
     )
 
 
 def delay_analysis(deduped: DataFrame, segments: DataFrame, routes: DataFrame, stops: DataFrame,
                    require_adjacent: bool = False) -> DataFrame:
     """Delay gained per observed segment, with local time labels and geometry."""
+    rows = updates_to_segments(next_stop(deduped), segments.drop("seg_geom"), require_adjacent)
+    return drawn_delays(delays_of(rows, routes, stops), segment_geometries(segments))
+
+
+def drawn_delays(delays: DataFrame, geometries: DataFrame) -> DataFrame:
     from transitloom.functions.geometry import as_geojson
 
-    rows = updates_to_segments(next_stop(deduped), segments, require_adjacent)
-    rows = rows.withColumns(_local_time("actual_arrival"))
+    # the text is made once per line, not per row
+    lines = geometries.withColumn("seg_geojson", as_geojson("geom"))
+    before = delays.columns[:delays.columns.index("geom_key")]
+    drawn = attach_geometry(delays, lines, "seg_stop1_id", "seg_stop2_id", "seg_geojson").withColumnRenamed("geom", "seg_geom")
+    return drawn.select(*before, "seg_geom", "seg_geojson", *delays.columns[len(before):])
+
+
+def delays_of(observed: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """The delay analysis of observed segments, without their lines."""
+    rows = observed.withColumns(_local_time("actual_arrival"))
     return attach_names(rows, routes, stops).select(
         "trip_instance_id", "trip_id", "route_short_name", "route_long_name", "route_type", "route_id",
         "service_date", F.col("stop_sequence").alias("from_seq"), F.col("next_stop_sequence").alias("to_seq"),
         F.col("stop_id").alias("from_stop_id"), F.col("next_stop_id").alias("to_stop_id"),
         "from_stop_name", "to_stop_name", "from_lat", "from_lon", "to_lat", "to_lon",
-        F.col("seg_length").alias("segment_length_m"), "seg_geom", as_geojson("seg_geom").alias("seg_geojson"),
+        F.col("seg_length").alias("segment_length_m"),
         "geom_key", "seg_stop1_id", "seg_stop2_id", "scheduled_seconds", "actual_seconds",
         F.col("arrival_delay_seconds").alias("from_delay"), F.col("next_delay_seconds").alias("to_delay"),
         (F.col("next_delay_seconds") - F.col("arrival_delay_seconds")).alias("segment_delay_change"),
@@ -256,9 +289,18 @@ def speed_metrics(speed_view: DataFrame) -> DataFrame:
     })
 
 
-def speed_with_geometry(speed_view: DataFrame, delay_view: DataFrame) -> DataFrame:
-    """Attach segment geometry from the delay view to the speed view on (trip instance, sequence)."""
-    geometry = delay_view.select(
-        "trip_instance_id", F.col("from_seq").alias("stop_sequence"), F.col("seg_geom").alias("geom")
-    )
-    return speed_view.join(geometry, ["trip_instance_id", "stop_sequence"], "left").where(F.col("geom").isNotNull())
+def speed_with_geometry(speed_view: DataFrame, delay_view: DataFrame, geometries: DataFrame | None = None) -> DataFrame:
+    """Attach segment geometry from the delay view to the speed view on (trip instance, sequence).
+
+    A delay view without lines has the keys of ``geometries``, which are joined last.
+    """
+    keys, at = ["trip_instance_id", "stop_sequence"], F.col("from_seq").alias("stop_sequence")
+    if geometries is None:
+        rows = speed_view.join(delay_view.select("trip_instance_id", at, F.col("seg_geom").alias("geom")), keys, "left")
+    else:
+        line = {"seg_stop1_id": "__stop1", "seg_stop2_id": "__stop2", "geom_key": "__line"}
+        named = delay_view.select("trip_instance_id", at, *[F.col(c).alias(n) for c, n in line.items()])
+        dim = geometries.select(F.col("stop1_id").alias("__stop1"), F.col("stop2_id").alias("__stop2"), F.col("geom_key").alias("__line"), "geom")
+        rows = speed_view.join(named, keys).join(dim, list(line.values())).drop(*line.values())
+        rows = rows.select(*keys, *(c for c in rows.columns if c not in keys))
+    return rows.where(F.col("geom").isNotNull())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from transitloom.functions import scalars as s
 from transitloom.operators import moving as m
 from transitloom.operators import realtime as r
+from transitloom.operators.lines import segment_geometries
 from transitloom.session import store_and_reload
 from transitloom.sources import feed, landed, tables
 
@@ -247,12 +248,14 @@ def refresh_views(updates: DataFrame, segments: DataFrame, ts: DataFrame, routes
     if service_dates is not None and not service_dates:
         return {}
     rows = updates if service_dates is None else updates.where(F.col("service_date").isin(service_dates))
-    # three views start from the latest predictions, which are found once
-    latest = store_and_reload(r.dedup_updates(rows, list(ties)), "latest")
+    # three views start from the latest predictions and two from the observed segments; each is found once
+    pairs = store_and_reload(r.next_stop(r.dedup_updates(rows, list(ties))), "latest")
+    observed = store_and_reload(r.updates_to_segments(pairs, segments.drop("seg_geom")), "observed")
+    lines = store_and_reload(segment_geometries(segments), "lines")
     views = {
-        "speed_comparison": r.speed_comparison(latest, segments, routes, stops),
-        "delay_analysis": r.delay_analysis(latest, segments, routes, stops),
-        "schedule_times": r.schedule_times(latest, ts, routes, stops),
+        "speed_comparison": r.drawn_speeds(r.speeds_of(observed, routes, stops), lines),
+        "delay_analysis": r.drawn_delays(r.delays_of(observed, routes, stops), lines),
+        "schedule_times": r.schedule_times(pairs.drop(*r.NEXT), ts, routes, stops),
     }
     sizes = {}
     for name, view in views.items():
