@@ -51,11 +51,11 @@ add("j03_valid_trips", lambda T: t.valid_trips(T.stop_times, _referenced(T)["tri
     f"SELECT trip_id, {SEQ} FROM x_stop_times WHERE trip_id IN (SELECT trip_id FROM x_kept_trips)")
 OBS = f"""trip_instance_id, {SEQ}, next_stop_id, CAST(scheduled_seconds AS BIGINT) AS scheduled_seconds, CAST(actual_seconds AS DOUBLE) AS actual_seconds, {r('seg_length', 'seg_length', 3)}"""
 add("j04_updates_to_segments",
-    lambda T: rt.updates_to_segments(rt.next_stop(T.deduped), T.segments).select("trip_instance_id", "stop_sequence", "next_stop_id", "scheduled_seconds", "actual_seconds", "seg_length"),
+    lambda T: rt.updates_to_segments(rt.next_stop(T.deduped), T.segment_rows).select("trip_instance_id", "stop_sequence", "next_stop_id", "scheduled_seconds", "actual_seconds", "seg_length"),
     f"SELECT {OBS} FROM x_observed", seg_length=3)
 add("j04_updates_to_segments_adjacent",
     # stops that report no delay are the gaps
-    lambda T: rt.updates_to_segments(rt.next_stop(T.deduped.where("arrival_delay_seconds IS NOT NULL")), T.segments, require_adjacent=True).select("trip_instance_id", "stop_sequence", "next_stop_id"),
+    lambda T: rt.updates_to_segments(rt.next_stop(T.deduped.where("arrival_delay_seconds IS NOT NULL")), T.segment_rows, require_adjacent=True).select("trip_instance_id", "stop_sequence", "next_stop_id"),
     f"""SELECT trip_instance_id, {SEQ}, next_stop_id FROM (
           SELECT *, lead(stop_sequence) OVER w AS nseq, lead(stop_id) OVER w AS next_stop_id, lead(arrival_epoch) OVER w AS nep FROM x_deduped WHERE delay IS NOT NULL
           WINDOW w AS (PARTITION BY trip_instance_id ORDER BY stop_sequence)) n

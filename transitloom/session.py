@@ -15,6 +15,16 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # rows that lie by trip meet others by trip and place without being moved again
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+# Used where the session does not say otherwise. Shuffles start in many partitions, however few the cluster sets, and AQE joins them to
+# pieces that a task sorts in memory, several at once: what spills is moved twice and grows faster than the input. Up to 200 of them
+# are written without a sort.
+SIZES = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
@@ -22,6 +32,9 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, value in SIZES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
