@@ -54,6 +54,64 @@ def test_calls_are_dealt_out_once(made):
     assert all(e.startswith("trip_id#") for e in exchanges(calls)) and len(exchanges(calls)) == 3
 
 
+def test_shuffles_start_in_many_partitions(made):
+    # however few the session sets, so that a task's rows fit its memory
+    made.spark.conf.set("spark.sql.shuffle.partitions", 3)
+    found = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), ENSURE", plan(realtime.dedup_updates(made.updates, TIES)))
+    made.spark.conf.unset("spark.sql.shuffle.partitions")
+    assert found and set(found) == {"200"}
+
+
+def test_scheduled_calls_meet_predictions_where_they_lie(made):
+    scheduled = realtime.attach_schedule(realtime.dedup_updates(made.updates, TIES), timetable.transit_stops(made.trips, made.stop_times))
+    # predictions are moved to their trips; the timetable is not moved again to trip and place
+    assert not [e for e in exchanges(scheduled) if "trip_id" in e and "stop_sequence" in e]
+    assert scheduled.where("trip_id = '2'").count() == 3 * 4 and scheduled.where("trip_id = '1'").count() == 3
+
+
+def test_runs_of_several_dates_are_dealt_out_once(made):
+    import __spark_entry__  # noqa: F401 - loads the catalog in its order
+    from catalog.tables import _three_days
+
+    before, after = _three_days(made)
+    pairs = realtime.next_stop(realtime.dedup_updates(before, TIES))
+    assert all(e.startswith("trip_instance_id#") and "stop_sequence" not in e for e in exchanges(pairs)) and len(exchanges(pairs)) == 3
+    assert {(r.trip_instance_id, str(r.service_date), str(r.arrival_time.date())) for r in before.collect()} == {
+        (f"{k}_{20240108 + k % 3}", f"2024-01-{8 + k % 3:02d}", f"2024-01-{8 + k % 3:02d}") for k in range(1, 7)}
+    assert {r.trip_id for r in after.collect()} == {"2", "3", "5", "6"}
+
+
+def test_headways_of_days_are_moved_once(spark):
+    rows = [("r", "s", f"2024-01-0{d}", f"2024-01-0{d} 0{h}:00:00", f"t{d}{h}") for d in (1, 2) for h in (1, 2)]
+    instants = spark.createDataFrame(rows, "route_id string, stop_id string, day string, at string, last_trip string").select(
+        "route_id", "stop_id", F.to_date("day").alias("day"), F.to_timestamp("at").alias("arrival_time"), "last_trip", F.col("last_trip").alias("trip_instance_id"))
+    part = F.pmod(F.xxhash64("route_id", "stop_id"), F.lit(16))
+    closings = realtime.closing_vehicles(instants, "day").withColumn("__slice", part)
+    instants = instants.withColumn("__slice", part)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    looked = realtime.prev_vehicle_of_days(instants.repartition("day", "__slice"), closings.repartition("day", "__slice"), "day", "__slice")
+    moved = [e for e in exchanges(looked) if "route_id" in e]
+    found = sorted((r.trip_instance_id, r.prev_trip_instance_id) for r in looked.collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == [("t11", None), ("t12", "t11"), ("t21", "t12"), ("t22", "t21")]
+    assert len(moved) == 1  # of the closing vehicles, which are few
+
+
+def test_partitions_are_replaced_by_one_write(spark, tmp_path, monkeypatch):
+    from datetime import date
+
+    from transitloom.sources import landed
+
+    days = [date(2024, 1, d) for d in (1, 2, 3)]
+    frame = lambda rows: spark.createDataFrame(rows, "x long, day date")
+    path = f"{tmp_path}/held"
+    frame([(i, day) for i, day in enumerate(days)] + [(9, None)]).write.partitionBy("day").parquet(path)
+    monkeypatch.setattr(landed, "store_and_reload", None)
+    n = landed.replace_partitions(frame([(7, days[0]), (8, days[0]), (5, days[2]), (6, None)]), path, "day", [days[0], days[1], None, None])
+    assert n == 3
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == sorted([(7, days[0]), (8, days[0]), (2, days[2]), (6, None)], key=str)
+
+
 def segments_of(spark):
     line = [(0.0, 0.0), (0.0, 1.0)]
     rows = [(f"t{i}", "r", "s", 1, 2, "a", "b", 0, 60, 500.0, 7, line if i else None) for i in range(4)]

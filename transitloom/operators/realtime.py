@@ -125,15 +125,17 @@ def closing_vehicles(instants: DataFrame, day: str) -> DataFrame:
     return instants.groupBy("route_id", "stop_id", day).agg(last).select("route_id", "stop_id", day, "__r.*")
 
 
-def prev_vehicle_of_days(instants: DataFrame, closings: DataFrame, day: str) -> DataFrame:
+def prev_vehicle_of_days(instants: DataFrame, closings: DataFrame, day: str, *within: str) -> DataFrame:
     """As ``prev_vehicle`` for the instants of some days, with the closing vehicles of the days before.
 
-    A vehicle that came more than a day before the first of a day is left out; such a gap is no headway.
+    A vehicle that came more than a day before the first of a day is left out; such a gap is no headway. Both sides may
+    lie by the day and further columns ``within``, which depend on (route, stop) only; no row is moved then.
     """
-    here = Window.partitionBy("route_id", "stop_id", day).orderBy("arrival_time")
-    before = closings.select("route_id", "stop_id", F.date_add(day, 1).alias(day), F.struct("arrival_time", "last_trip").alias("__before"))
+    keys = ["route_id", "stop_id", day, *within]
+    here = Window.partitionBy(*keys).orderBy("arrival_time")
+    before = closings.select("route_id", "stop_id", F.date_add(day, 1).alias(day), *within, F.struct("arrival_time", "last_trip").alias("__before"))
     near = instants.withColumn("__near", F.lag(F.struct("arrival_time", "last_trip")).over(here))
-    joined = near.join(before, ["route_id", "stop_id", day], "left").withColumn("__prev", F.coalesce("__near", "__before"))
+    joined = near.join(before, keys, "left").withColumn("__prev", F.coalesce("__near", "__before"))
     return joined.select("route_id", "stop_id", "arrival_time", "trip_instance_id", day, F.col("__prev.arrival_time").alias("prev_arrival"),
                          F.col("__prev.last_trip").alias("prev_trip_instance_id"))
 

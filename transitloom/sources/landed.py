@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from transitloom.session import store_and_reload
@@ -29,18 +29,21 @@ def _empty_partition(schema_of: DataFrame, path: str, column: str, value: date |
 def replace_partitions(df: DataFrame, path: str, column: str, values: list[date | None]) -> int:
     """Give each listed partition of a folder the rows ``df`` has for it, also if it has none; returns the rows written.
 
-    Rows of other partitions are not written. The number of jobs is one, and one for each partition that is emptied.
+    Rows of other partitions are not written. They are written once, by the tasks that make them, and counted on the way. The
+    number of jobs is one, and one for each partition that is emptied.
     """
-    listed = F.col(column).isin([v for v in values if v is not None])
-    wanted = F.coalesce(listed, F.lit(None in values))
-    staged = store_and_reload(df.where(wanted), "partitions")
-    counted = {r[0]: r[1] for r in staged.groupBy(column).count().collect()}
-    if counted:
-        staged.hint("rebalance", column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
-    for value in values:
-        if value not in counted:
+    values = list(dict.fromkeys(values))
+    at = F.col(column)
+    wanted = F.coalesce(at.isin([v for v in values if v is not None]), F.lit(None in values))
+    seen = Observation()
+    counts = [F.count_if(at.isNull() if v is None else at == F.lit(v)).alias(f"n{i}") for i, v in enumerate(values)]
+    rows = df.where(wanted).observe(seen, F.count(F.lit(1)).alias("n"), *counts)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    found = seen.get
+    for i, value in enumerate(values):
+        if not found[f"n{i}"]:
             _empty_partition(df, path, column, value)
-    return sum(counted.values())
+    return int(found["n"])
 
 
 def _delete(spark: SparkSession, path: str, dates: Column, doomed: Column, dry_run: bool) -> DataFrame:

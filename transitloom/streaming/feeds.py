@@ -192,6 +192,8 @@ def start_rebuild(stream: DataFrame, positions_path: str, trips: DataFrame, shap
 
 
 ARRIVAL_DAY = "arrival_date"
+# The (route, stop) of a day are dealt over this many tasks, which is also the most files a day has.
+DAY_SLICES = 16
 
 
 def refresh_headways(updates: DataFrame, routes: DataFrame, stops: DataFrame, folder: str, service_dates: list | None = None) -> int:
@@ -200,27 +202,32 @@ def refresh_headways(updates: DataFrame, routes: DataFrame, stops: DataFrame, fo
     Two small tables carry over. ``arrival_instants`` has what a headway needs of the predictions, by day of arrival and service
     date; ``closing_vehicles`` has the last vehicle of each (route, stop) on each day. The predictions of the given service dates
     are read; then the instants of the days they arrive on, or did before, and of the days after these; and the
-    closing vehicles of the days before. Other dates are not read. Headways lie in a folder for each day of arrival.
+    closing vehicles of the days before. Other dates are not read. Headways lie in a folder for each day of arrival. The instants
+    are moved once, to slices of their days: there they are combined, looked up and written.
     """
     spark, root = updates.sparkSession, folder.rstrip("/")
     held, closed, out = (f"{root}/{name}" for name in ("arrival_instants", "closing_vehicles", "headway_stats"))
     instants = r.arrival_instants(updates, "service_date").withColumn(ARRIVAL_DAY, F.to_date("arrival_time"))
 
-    def combined(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("route_id", "stop_id", "arrival_time", ARRIVAL_DAY).agg(
+    def sliced(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__slice", F.pmod(F.xxhash64("route_id", "stop_id"), F.lit(DAY_SLICES)))
+
+    def headways_of(rows: DataFrame, before: DataFrame) -> DataFrame:
+        combined = sliced(rows).repartition(ARRIVAL_DAY, "__slice").groupBy("route_id", "stop_id", "arrival_time", ARRIVAL_DAY, "__slice").agg(
             F.min("trip_instance_id").alias("trip_instance_id"), F.max("last_trip").alias("last_trip"))
+        return r.headways(r.prev_vehicle_of_days(combined, sliced(before), ARRIVAL_DAY, "__slice"), routes, stops, ARRIVAL_DAY)
 
     def read(path: str, like: DataFrame) -> DataFrame:
         return spark.read.schema(like.schema).parquet(path)
 
     if service_dates is None:
         instants.hint("rebalance", ARRIVAL_DAY).write.mode("overwrite").partitionBy(ARRIVAL_DAY, "service_date").parquet(held)
-        state = combined(read(held, instants))
+        state = read(held, instants)
         last = r.closing_vehicles(state, ARRIVAL_DAY)
         last.hint("rebalance", ARRIVAL_DAY).write.mode("overwrite").partitionBy(ARRIVAL_DAY).parquet(closed)
         seen = tables.Observation()
-        rows = r.headways(r.prev_vehicle_of_days(state, read(closed, last), ARRIVAL_DAY), routes, stops, ARRIVAL_DAY)
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", ARRIVAL_DAY).write.mode("overwrite").partitionBy(ARRIVAL_DAY).parquet(out)
+        rows = headways_of(state, read(closed, last))
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy(ARRIVAL_DAY).parquet(out)
         return int(seen.get["n"])
     pairs = lambda some: {(x[0], x[1]) for x in some.select(ARRIVAL_DAY, "service_date").distinct().collect()}
     fresh = store_and_reload(instants.where(F.col("service_date").isin(service_dates)), "instants")
@@ -231,12 +238,11 @@ def refresh_headways(updates: DataFrame, routes: DataFrame, stops: DataFrame, fo
         landed.replace_partitions(fresh.limit(0).drop(ARRIVAL_DAY), landed.partition_path(held, ARRIVAL_DAY, day), "service_date", [of])
     days = sorted({day for day, _ in had | has})
     affected = sorted({*days, *(day + timedelta(days=1) for day in days)})
-    state = combined(read(held, instants).where(F.col(ARRIVAL_DAY).isin(affected)))
+    state = read(held, instants).where(F.col(ARRIVAL_DAY).isin(affected))
     last = r.closing_vehicles(state.where(F.col(ARRIVAL_DAY).isin(days)), ARRIVAL_DAY)
     landed.replace_partitions(last, closed, ARRIVAL_DAY, days)
     before = read(closed, last).where(F.col(ARRIVAL_DAY).isin([day - timedelta(days=1) for day in affected]))
-    rows = r.headways(r.prev_vehicle_of_days(state, before, ARRIVAL_DAY), routes, stops, ARRIVAL_DAY)
-    return landed.replace_partitions(rows, out, ARRIVAL_DAY, affected)
+    return landed.replace_partitions(headways_of(state, before), out, ARRIVAL_DAY, affected)
 
 
 def refresh_views(updates: DataFrame, segments: DataFrame, ts: DataFrame, routes: DataFrame, stops: DataFrame,
