@@ -62,6 +62,41 @@ def test_shuffles_start_in_many_partitions(made):
     assert found and set(found) == {"200"}
 
 
+def test_shuffles_start_in_as_many_partitions_as_the_session_sets(made):
+    from transitloom.session import START, configure
+
+    start = lambda parts: (made.spark.conf.set("spark.sql.shuffle.partitions", parts), configure(made.spark).conf.get(START))[1]
+    found = [start(n) for n in (600, 3, 250)]
+    made.spark.conf.set(START, 50)
+    found.append(start(600))
+    made.spark.conf.unset("spark.sql.shuffle.partitions")
+    made.spark.conf.unset(START)
+    assert found == ["600", "200", "250", "50"] and configure(made.spark).conf.get(START) == "200"
+
+
+def test_place_and_least_part_come_from_one_pass(made):
+    assert plan(made.updates).count("Window [") == 1
+    least = {(r.trip_id, r.stop_sequence, r.arrival_time) for r in made.updates.where("trip_id = '3' and stop_sequence = 2").collect()}
+    # line 2 of order 3 is there with parts 32 and 33; the least of them is in both predictions
+    scheduled = 1704700800 + 21600 + 21 * 60 + 2 * 240 + 32
+    assert sorted(at.timestamp() for _, _, at in least) == [scheduled - 100, scheduled - 80]
+
+
+def test_instants_are_found_once_for_all_days(made):
+    # arrivals of one route at one stop on two days, some of them together
+    rows = [("r", "s", f"2024-01-0{d} 0{h}:00:00", f"t{d}{h}{i}") for d in (1, 2) for h in (1, 2) for i in (0, 1)]
+    updates = made.spark.createDataFrame(rows, "route_id string, stop_id string, at string, trip_instance_id string").withColumn(
+        "arrival_time", F.to_timestamp("at"))
+    found = realtime.prev_vehicle(updates)
+    got = sorted((r.trip_instance_id, r.prev_trip_instance_id) for r in found.collect())
+    assert got == [("t110", None), ("t120", "t111"), ("t210", "t121"), ("t220", "t211")]
+    # the closing vehicles are read from the rows that were moved to their days, not aggregated again
+    ran = plan(found).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in ran and len(re.findall(r"functions=\[min\(trip_instance_id", ran)) == 1
+    packed = re.findall(r"Exchange hashpartitioning\(route_id#\d+, stop_id#\d+, __slice[^\n]*\n[^\n]*\n[^\n]*", ran)
+    assert packed and not [p for p in packed if "struct(arrival_time" in p]
+
+
 def test_scheduled_calls_meet_predictions_where_they_lie(made):
     scheduled = realtime.attach_schedule(realtime.dedup_updates(made.updates, TIES), timetable.transit_stops(made.trips, made.stop_times))
     # predictions are moved to their trips; the timetable is not moved again to trip and place

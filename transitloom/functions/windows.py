@@ -16,9 +16,10 @@ def sliced_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     windowed per (key, slice). Only the first row of a slice needs the slice before: its value
     comes from a table with one closing row per (key, slice).
     """
-    # every column takes part, so that both branches need the same input and share its shuffle
+    # every column takes part, so that both branches need the same input and share its shuffle: ``df`` is not made again for the
+    # closing rows, and the packed copy of a row is not moved with it
     cols = list(dict.fromkeys([*order, *carry, *[c for c in df.columns if c not in keys]]))
-    rows = df.withColumn("__slice", slice_by)
+    rows = df.withColumn("__slice", slice_by).repartition(*keys, "__slice")
     here = Window.partitionBy(*keys, "__slice").orderBy(*order)
     closing = (
         rows.groupBy(*keys, "__slice")

@@ -20,14 +20,26 @@ REQUIRED = {
 }
 # Used where the session does not say otherwise. Shuffles start in many partitions, however few the cluster sets, and AQE joins them to
 # pieces that a task sorts in memory, several at once: what spills is moved twice and grows faster than the input. Up to 200 of them
-# are written without a sort.
+# are written without a sort; a session that sets more for a larger input gets as many.
+START = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+LEAST_START = 200
 SIZES = {
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
+_started: dict[str, str] = {}
+
+
+def _set_start(spark: SparkSession) -> None:
+    """Partitions that shuffles start in; a value that is not from here is the session's own and is kept."""
+    app, have = spark.sparkContext.applicationId, spark.conf.get(START, None)
+    if have is None or have == _started.get(app):
+        _started[app] = str(max(LEAST_START, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        spark.conf.set(START, _started[app])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED.items():
         if spark.conf.get(key, None) != value:
@@ -35,6 +47,7 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SIZES.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
+    _set_start(spark)
     return spark
 
 
