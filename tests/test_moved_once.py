@@ -74,6 +74,19 @@ def test_shuffles_start_in_as_many_partitions_as_the_session_sets(made):
     assert found == ["600", "200", "250", "50"] and configure(made.spark).conf.get(START) == "200"
 
 
+def test_files_are_read_in_bounded_pieces(made):
+    from transitloom.session import configure
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before = made.spark.conf.get(key, None)
+    made.spark.conf.unset(key)
+    unset = configure(made.spark).conf.get(key)
+    made.spark.conf.set(key, "8m")
+    kept = configure(made.spark).conf.get(key)
+    made.spark.conf.set(key, before or unset)
+    assert (unset, kept) == ("32m", "8m")
+
+
 def test_place_and_least_part_come_from_one_pass(made):
     assert plan(made.updates).count("Window [") == 1
     least = {(r.trip_id, r.stop_sequence, r.arrival_time) for r in made.updates.where("trip_id = '3' and stop_sequence = 2").collect()}

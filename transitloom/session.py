@@ -20,11 +20,13 @@ REQUIRED = {
 }
 # Used where the session does not say otherwise. Shuffles start in many partitions, however few the cluster sets, and AQE joins them to
 # pieces that a task sorts in memory, several at once: what spills is moved twice and grows faster than the input. Up to 200 of them
-# are written without a sort; a session that sets more for a larger input gets as many.
+# are written without a sort; a session that sets more for a larger input gets as many, and a task then sorts what it reads: files are
+# read in pieces of which the rows, many times larger than the file, fit its memory.
 START = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 LEAST_START = 200
 SIZES = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
