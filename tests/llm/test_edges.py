@@ -122,3 +122,17 @@ def test_a_key_in_pieces_links_the_same(spark, monkeypatch):
     whole = find()
     monkeypatch.setattr(simhash, "PIECE", 16)
     assert find() == whole and whole
+
+
+def test_exploded_keys_and_documents_are_not_broadcast(spark):
+    # two fingerprints in reach of each other and one alone, in tables far below any limit of size
+    df = spark.createDataFrame([(5,), (7,), (-2,)], "fp bigint")
+    plan = lambda made: made._jdf.queryExecution().executedPlan().toString()
+    linked = simhash.links(df, store_and_reload)
+    assert "Broadcast" not in plan(linked) and "SortMergeJoin [key" in plan(linked)
+    assert [tuple(r) for r in linked.collect()] == [(5, 7)]
+    assert "Broadcast" not in plan(linked)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x")], "doc_id bigint, text string")
+    classed = simhash.classes(docs, store_and_reload)
+    assert "SortMergeJoin [fp" in plan(classed)
+    assert sorted((r.doc_id, r.component_id) for r in classed.collect()) == [(1, 1), (2, 1), (3, 3)]

@@ -135,7 +135,8 @@ def links(distinct: DataFrame, store: Store) -> DataFrame:
     keyed = store(known, "simhash-pivots").select("fp", "pivots", F.explode(_keys(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1")
     pieces = F.ceil(F.col("count") / PIECE).cast("int")
-    met = keyed.join(shared, "key").withColumns({"pieces": pieces, "piece": F.pmod(F.xxhash64("fp"), pieces).cast("int")})
+    # the planner sizes the twenty rows of a fingerprint as the stored one, and would send them all through the driver
+    met = keyed.hint("merge").join(shared, "key").withColumns({"pieces": pieces, "piece": F.pmod(F.xxhash64("fp"), pieces).cast("int")})
     # a key in p pieces becomes the p (p + 1) / 2 pairs of its pieces; nearly all keys have one
     lower = F.transform(F.sequence(F.lit(0), F.col("piece")), lambda o: F.struct(o.alias("a"), F.col("piece").alias("b")))
     upper = F.transform(F.sequence(F.col("piece"), F.col("pieces") - 1), lambda o: F.struct(F.col("piece").alias("a"), o.alias("b")))
@@ -218,7 +219,8 @@ def classes(docs: DataFrame, store: Store, k: int = 3) -> DataFrame:
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select(F.col("fp").alias("own"), "component_id")
-    return made.join(of, F.col("fp") == F.col("own")).select(
+    # equal fingerprints take next to no room where they are stored, so that size tells little of the rows
+    return made.hint("merge").join(of, F.col("fp") == F.col("own")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
