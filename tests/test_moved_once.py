@@ -1,10 +1,13 @@
 """What the shared steps move, read off their plans, and rows that repeat."""
 
+import gzip
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import standins
 from catalog.standins import TIES, Transit
 from transitloom.operators import layers, lines, realtime, spatial, timetable
 from transitloom.plans import timetable as plans
@@ -212,3 +215,37 @@ def test_stages_of_segments(spark, made):
     # calls are written once, with the next call beside them; trips that are left out have been found before the segments move
     assert len(staged) == 4 and "stop2_sequence" in staged[0] and staged[-1] == ["trip_id"]
     assert rows.count() > 0 and "__place" not in rows.columns
+
+
+def packed(folder):
+    """Documents of each file of a folder; every file is packed."""
+    files = [f for f in os.listdir(folder) if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
+    return [len(gzip.open(f"{folder}/{f}").read().splitlines()) for f in files]
+
+
+def test_landed_predictions_are_packed_in_small_files(made, tmp_path, monkeypatch):
+    path = f"{tmp_path}/packed"
+    monkeypatch.setattr(standins, "scratch_path", lambda spark, label: path)
+    folder = made.landed(made.update_snapshots.coalesce(1), "any", 10)
+    assert sorted(packed(folder)) == [4, *[10] * 5]
+    assert sorted(made.spark.read.text(folder).collect()) == sorted(made.update_snapshots.collect())
+
+
+@pytest.fixture
+def streams(made, tmp_path, monkeypatch):
+    """The registered queries on the rows of `made`, with what they write below a folder of its own."""
+    from __spark_entry__ import queries
+
+    from catalog import tables
+
+    for of in (standins, tables):
+        monkeypatch.setattr(of, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    return queries()
+
+
+def test_latest_predictions_come_from_packed_documents(made, streams, tmp_path):
+    got = streams["st04_latest_update_state"](made.spark, made.folder).collect()
+    assert sum(packed(f"{tmp_path}/latest")) == 54
+    latest = made.updates.groupBy("trip_instance_id", "stop_sequence").agg(F.unix_micros(F.max("fetch_timestamp"))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, latest))
