@@ -272,8 +272,8 @@ def _run(query):
     query.awaitTermination()
 
 
-def _streamed(T, snapshots, landing, name, wanted, ts="entity_timestamp"):
-    folder, out = T.landed(snapshots, name), scratch_path(T.spark, f"{name}-table")
+def _streamed(T, snapshots, landing, name, wanted, ts="entity_timestamp", most=None):
+    folder, out = T.landed(snapshots, name, most), scratch_path(T.spark, f"{name}-table")
     _run(feeds.start_append(landing(T.spark, folder), out, scratch_path(T.spark, f"{name}-checkpoint"), ts))
     return T.spark.read.parquet(out).select(*wanted)
 
@@ -282,7 +282,7 @@ add("st01_stream_positions", lambda T: _streamed(T, T.position_snapshots, feeds.
 add("st01_stream_positions_filtered",
     lambda T: _streamed(T, T.position_snapshots, lambda spark, folder: feeds.stream_positions(spark, folder, routes=T.routes.where("route_type = '1'")), "positions-1", _POS),
     _LANDED + " WHERE route_id IN (SELECT route_id FROM x_routes WHERE route_type = '1')")
-add("st02_stream_updates", lambda T: _streamed(T, T.update_snapshots, feeds.stream_updates, "updates", _UPD, "arrival_time"), _UPDATES)
+add("st02_stream_updates", lambda T: _streamed(T, T.update_snapshots, feeds.stream_updates, "updates", _UPD, "arrival_time", PACKED), _UPDATES)
 
 
 def _one_file_at_a_time(T):

@@ -249,3 +249,10 @@ def test_latest_predictions_come_from_packed_documents(made, streams, tmp_path):
     assert sum(packed(f"{tmp_path}/latest")) == 54
     latest = made.updates.groupBy("trip_instance_id", "stop_sequence").agg(F.unix_micros(F.max("fetch_timestamp"))).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, latest))
+
+
+def test_predictions_are_streamed_from_packed_documents(made, streams, tmp_path):
+    got = streams["st02_stream_updates"](made.spark, made.folder).collect()
+    assert sum(packed(f"{tmp_path}/updates")) == 54 == len(got)
+    wanted = made.updates.select("trip_instance_id", F.col("stop_sequence").cast("long"), "stop_id", F.unix_micros("fetch_timestamp"), F.unix_micros("arrival_time"))
+    assert sorted((r.trip_instance_id, r.stop_sequence, r.stop_id, r.fetch_timestamp, r.arrival_time) for r in got) == sorted(map(tuple, wanted.collect()))
